@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,5 +76,91 @@ def kept(frame: DataFrame) -> DataFrame:
     again nor depends on the executors that made it."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/pagequire-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(tidy, None)
+    spark.conf.set(tidy, "true")  # the shuffle files of this write go when it ends
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.unset(tidy) if was is None else spark.conf.set(tidy, was)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes whose hashes are computed at once.
+CHUNK_BYTES = 1 << 20
+_separates = np.isin(np.arange(256), list(SPACES))
+_lowered = np.frombuffer(LOWER, np.uint8)
+#: A random 64-bit number for each byte.
+_values = mix64(np.arange(1, 257, dtype=np.uint64) * BASE)
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 .. n - 1, and to those powers negated, modulo 2**64."""
+    up = np.full(n, BASE, np.uint64)
+    down = np.full(n, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of a batch of texts, text after text, and the words of each text.
+
+    A word's hash is the sum of its bytes' numbers times powers of an odd base: sums over all prefixes of the bytes give
+    every word by one subtraction, and dividing by the power at its start makes it independent of its place.
+    """
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    counts = np.zeros(len(texts), np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint64), counts
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    out, at, size = [], 0, len(raw)
+    while at < size:
+        end = min(at + CHUNK_BYTES, size)
+        while end < size:  # cut between two words
+            gap = np.flatnonzero(_separates[raw[end : end + 4096]])
+            edge = offsets[np.searchsorted(offsets, end)]
+            stop = min(end + int(gap[0]) if len(gap) else min(end + 4096, size), int(edge))
+            if len(gap) or stop == edge:
+                end = stop
+                break
+            end = stop
+        part = raw[at:end]
+        word = ~_separates[part]
+        first = np.ones(len(part) + 1, bool)
+        first[1:-1] = False
+        first[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at] = True
+        begins = np.flatnonzero(word & (first[:-1] | ~np.r_[False, word[:-1]]))
+        ends = np.flatnonzero(word & (first[1:] | ~np.r_[word[1:], False])) + 1
+        if len(begins):
+            up, down = _powers(1 << max(20, (len(part) - 1).bit_length()))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_values[_lowered[part]] * up[: len(part)], out=sums[1:])
+            out.append(mix64((sums[ends] - sums[begins]) * down[begins]))
+            counts += np.bincount(np.searchsorted(offsets, begins + at, "right") - 1, minlength=len(counts))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), counts
+
+
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of the n-word shingles of each text: with fewer words, of the whole sequence; without
+    words, none."""
+    words, counts = word_hashes(texts)
+    rolled = words[: max(0, len(words) - n + 1)].copy()
+    for k in range(1, n):
+        rolled = rolled * BASE + words[k : k + len(rolled)]
+    rolled = mix64(rolled)
+    ends = np.cumsum(counts)
+    out = []
+    for end, count in zip(ends.tolist(), counts.tolist(), strict=True):
+        if count >= n:
+            one = np.sort(rolled[end - count : end - n + 1])
+            out.append(one[np.r_[True, one[1:] != one[:-1]]])
+        elif count:
+            out.append(mix64(np.sum(words[end - count : end] * _powers(1 << 20)[0][1 : count + 1], keepdims=True) + np.uint64(count)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
