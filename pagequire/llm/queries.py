@@ -68,7 +68,14 @@ def op9_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op4_jaccard_join, op5_filter_urls, op8_top_k, op9_scan_licenses)}
+def op10_dedup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .span_dedup import dedup_spans
+
+    done = dedup_spans(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "n_sentences", "n_removed", "removed", F.array_sort("first_ids").alias("first_ids"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op4_jaccard_join, op5_filter_urls, op8_top_k, op9_scan_licenses, op10_dedup_spans)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
