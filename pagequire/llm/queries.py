@@ -51,6 +51,20 @@ def op5_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain junk, toxic over the labels, scored on all documents."""
+    from .toxicity import score_chain
+
+    chain = {"junk": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    return score_chain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), chain)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "p_low", "kept")
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of floor(256 x) of every fiftieth vector with all others."""
     from .topk_search import top_k
@@ -75,7 +89,7 @@ def op10_dedup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_sentences", "n_removed", "removed", F.array_sort("first_ids").alias("first_ids"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op4_jaccard_join, op5_filter_urls, op8_top_k, op9_scan_licenses, op10_dedup_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op4_jaccard_join, op5_filter_urls, op6_toxicity, op7_quality_classifier, op8_top_k, op9_scan_licenses, op10_dedup_spans)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

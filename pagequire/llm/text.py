@@ -104,17 +104,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of a batch of texts, text after text, and the words of each text.
+def word_hashes(texts: pa.Array, affixes: tuple[int, ...] = (), lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a batch of texts, in lower case (A-Z) unless told not to, text after text, and the
+    words of each text. With affixes there is a column for the word and one for each affix: so many first bytes, or, if
+    negative, last bytes of the word.
 
     A word's hash is the sum of its bytes' numbers times powers of an odd base: sums over all prefixes of the bytes give
     every word by one subtraction, and dividing by the power at its start makes it independent of its place.
     """
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    counts = np.zeros(len(texts), np.int64)
+    counts, none = np.zeros(len(texts), np.int64), np.zeros((0, 1 + len(affixes)) if affixes else 0, np.uint64)
     if offsets[-1] == offsets[0]:
-        return np.zeros(0, np.uint64), counts
+        return none, counts
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     out, at, size = [], 0, len(raw)
@@ -138,11 +140,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(begins):
             up, down = _powers(1 << max(20, (len(part) - 1).bit_length()))
             sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_values[_lowered[part]] * up[: len(part)], out=sums[1:])
-            out.append(mix64((sums[ends] - sums[begins]) * down[begins]))
+            np.cumsum(_values[_lowered[part] if lower else part] * up[: len(part)], out=sums[1:])
+            hashes = [mix64((sums[ends] - sums[begins]) * down[begins])]
+            for n in affixes:
+                lo, hi = (begins, np.minimum(begins + n, ends)) if n > 0 else (np.maximum(ends + n, begins), ends)
+                hashes.append(mix64((sums[hi] - sums[lo]) * down[lo] + np.uint64(abs(n) + (n < 0) * 64)))
+            out.append(np.stack(hashes, 1) if affixes else hashes[0])
             counts += np.bincount(np.searchsorted(offsets, begins + at, "right") - 1, minlength=len(counts))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), counts
+    return np.concatenate(out) if out else none, counts
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
