@@ -6,8 +6,9 @@ the pairs found, overlap counts are accumulated over blocks of all columns, and
 and what is left of both rows cannot reach the bound that follows from its sizes.
 
 Rows with the same set are one node. A column held by many nodes is not turned into all its pairs: its nodes are
-compared with one of them, and those linked to it leave the column; the rest goes on to the next round. What this leaves
-out is settled by the triangle inequality of the Jaccard distance, or compared at the end where two classes meet.
+compared with the most central of them, the leader, and then the leader's columns are struck out of their rows. Two
+linked nodes are now either both linked to the leader, or share a column that is left (or, for sizes just at the bound,
+are compared one by one); so the next round runs on what is left of the rows, with new rarest columns.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -31,10 +32,6 @@ SMALL = 16
 BLOCKS = 8
 
 
-def _ceil(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / b)
-
-
 def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of the shingles that recur within batches of different texts, the most frequent FREQUENT."""
 
@@ -50,127 +47,155 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarra
     return h[order], np.array([r.n for r in top], np.int64)[order]
 
 
-def shingle_rows(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int) -> DataFrame:
-    """id, n_shingles, node (a hash of the set; null without words) and prefix: the rarest columns, of which a row linked
-    to this one shares one at least."""
-    hot, times = frequent_shingles(docs, text_col, n)
+def overlap(a: np.ndarray, b: np.ndarray, need: int) -> int | None:
+    """The common columns of two rows, accumulated over blocks of columns; None as soon as `need` is out of reach."""
+    edges = np.array([i << (64 - BLOCKS.bit_length() + 1) for i in range(1, BLOCKS)], np.uint64)
+    cut_a, cut_b = ([0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (a, b))
+    got = 0
+    for i in range(BLOCKS):
+        both = np.sort(np.concatenate([a[cut_a[i] : cut_a[i + 1]], b[cut_b[i] : cut_b[i + 1]]]))
+        got += int(np.count_nonzero(both[1:] == both[:-1]))
+        if got + min(len(a) - cut_a[i + 1], len(b) - cut_b[i + 1]) < need:
+            return None
+    return got
 
-    def row(batch: pa.RecordBatch) -> dict:
-        sizes, nodes, prefixes = [], [], []
-        for one in shingle_sets(batch.column(1), n):
-            sizes.append(len(one))
-            nodes.append(int.from_bytes(hashlib.blake2b(one.tobytes(), digest_size=8).digest(), "little", signed=True) if len(one) else None)
-            most = len(one) - -(-percent * len(one) // 100) + 1 if len(one) else 0
-            if len(hot) and len(one):
-                at = np.minimum(np.searchsorted(hot, one), len(hot) - 1)
-                one = one[np.argsort(np.where(hot[at] == one, times[at], 0), kind="stable")]
-            prefixes.append(one[:most].astype(np.int64))
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-        return {id_col: batch.column(0), "n_shingles": sizes, "node": nodes, "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text_col), row, f"`{id_col}` {kind}, n_shingles long, node long, prefix array<long>")
+def rarest_first(one: np.ndarray, hot: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A row's columns in the order common to all rows: by their count among the frequent ones (else 0), then by hash."""
+    if not len(hot) or not len(one):
+        return one
+    at = np.minimum(np.searchsorted(hot, one), len(hot) - 1)
+    return one[np.argsort(np.where(hot[at] == one, times[at], 0), kind="stable")]
 
 
-def overlaps(batch: pa.RecordBatch, percent: int) -> dict:
-    """Accumulate each pair's overlap over blocks of columns; null where the bound of `percent` is out of reach."""
-    edges = np.array([i << (64 - BLOCKS.bit_length() + 1) for i in range(1, BLOCKS)], np.uint64)
-    out = []
-    for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        need = -(-percent * (len(a) + len(b)) // (100 + percent))
-        cut_a, cut_b = ([0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (a, b))
-        got = 0
-        for i in range(BLOCKS):
-            both = np.sort(np.concatenate([a[cut_a[i] : cut_a[i + 1]], b[cut_b[i] : cut_b[i + 1]]]))
-            got += int(np.count_nonzero(both[1:] == both[:-1]))
-            if got + min(len(a) - cut_a[i + 1], len(b) - cut_b[i + 1]) < need:
-                got = None
-                break
-        out.append(got)
-    return {"u": batch.column(0), "v": batch.column(1), "overlap": out}
+def node_of(one: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(one.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 class Join:
-    """The product's rounds over one table."""
+    """The product's rounds over one table. A round's columns are (path, key, node, n): the path names the leaders whose
+    columns are struck out, keys are hashes cut to 40 bits, which can only add pairs to compare, n is a node's size."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, n: int):
         self.docs, self.id, self.text, self.percent, self.n = docs, id_col, text_col, percent, n
-        self.rows = kept(shingle_rows(docs, id_col, text_col, percent, n))
+        self.hot, self.times = frequent_shingles(docs, text_col, n)
+        self.rows = kept(self.shingle_rows())
         self.nodes = self.rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
 
-    def columns(self) -> DataFrame:
-        """key, node and n of the prefix columns that several nodes hold; keys are hashes cut to 40 bits, which can only
-        add pairs to compare."""
-        every = self.nodes.select("node", "n", F.explode("prefix").alias("h")).select(F.shiftrightunsigned("h", 24).alias("key"), "node", "n")
-        again = every.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-        return kept(every.join(again, "key"))
-
-    def compare(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """u, v, overlap, nu and nv of the pairs (u, nu, v, nv), overlap null below `percent`; each pair once."""
-        pairs = kept(pairs.filter(f"least(nu, nv) * 100 >= greatest(nu, nv) * {percent}").distinct())
+    def shingle_rows(self) -> DataFrame:
+        """id, n_shingles, node (a hash of the set; null without words) and prefix: the rarest columns, of which a row
+        linked to this one shares one at least."""
+        percent, n, hot, times = self.percent, self.n, self.hot, self.times
+
+        def row(batch: pa.RecordBatch) -> dict:
+            sets = shingle_sets(batch.column(1), n)
+            prefixes = [rarest_first(s, hot, times)[: len(s) - -(-percent * len(s) // 100) + 1].astype(np.int64) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+            flat = pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]))
+            return {self_id: batch.column(0), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "prefix": pa.ListArray.from_arrays(pa.array(ends), flat)}
+
+        self_id = self.id
+        kind = self.docs.schema[self.id].dataType.simpleString()
+        return map_rows(self.docs.select(self.id, self.text), row, f"`{self.id}` {kind}, n_shingles long, node long, prefix array<long>")
+
+    def shared(self, rows: DataFrame) -> DataFrame:
+        """The columns of (path, node, n, prefix) that several nodes hold."""
+        every = rows.select("path", "node", "n", F.explode("prefix").alias("h")).select("path", F.shiftrightunsigned("h", 24).alias("key"), "node", "n")
+        again = every.groupBy("path", "key").agg(F.count("*").alias("m")).filter("m > 1")
+        return kept(every.join(again, ["path", "key"]))
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """node and set (binary) of the nodes u and v of the pairs, from their texts."""
         wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         wanted = self.nodes.select("node", "id").join(wanted, "node").select("id").distinct()
         n = self.n
 
         def pack(batch: pa.RecordBatch) -> dict:
-            sets = [s for s in shingle_sets(batch.column(0), n) if len(s)]
-            return {"node": [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], "set": [s.tobytes() for s in sets]}
+            found = [s for s in shingle_sets(batch.column(0), n) if len(s)]
+            return {"node": [node_of(s) for s in found], "set": [s.tobytes() for s in found]}
 
         texts = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("text")).join(wanted, "id", "left_semi").select("text")
-        sets = kept(map_rows(texts, pack, "node long, set binary"))  # ids that repeat with another text bring further sets
-        sets = sets.dropDuplicates(["node"])
-        met = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-        done = map_rows(met.select("u", "v", "a", "b"), lambda b: overlaps(b, percent), "u long, v long, overlap long")
-        return kept(done.join(pairs, ["u", "v"]))
+        return kept(map_rows(texts, pack, "node long, set binary")).dropDuplicates(["node"])  # equal texts, or ids that repeat
 
-    def linked(self, p: int) -> Column:
-        return 100 * F.col("overlap") >= p * (F.col("nu") + F.col("nv") - F.col("overlap"))
+    def met(self, pairs: DataFrame) -> DataFrame:
+        sets = self.sets(pairs)
+        return pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
 
-    def promising(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose prefixes share enough columns: what is missing to the bound must fit into one row's other columns."""
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """The links (u, v) among pairs (u, nu, v, nv) that their sizes and prefixes allow."""
         p = self.percent
+        need = F.floor((p * (F.col("nu") + F.col("nv")) + (99 + p)) / (100 + p))
+        pairs = kept(pairs.filter((F.col("u") != F.col("v")) & (100 * F.least("nu", "nv") >= p * F.greatest("nu", "nv"))).select(F.least("u", "v").alias("u"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv")).distinct())
         prefix = self.nodes.select("node", "prefix")
-        pairs = kept(pairs.filter(f"least(nu, nv) * 100 >= greatest(nu, nv) * {p}").distinct())
-        met = pairs.join(prefix.select(F.col("node").alias("u"), F.col("prefix").alias("a")), "u").join(prefix.select(F.col("node").alias("v"), F.col("prefix").alias("b")), "v")
-        left = F.greatest(F.col("nu") - F.size("a"), F.col("nv") - F.size("b"))
-        return met.filter(F.size(F.array_intersect("a", "b")) + left >= _ceil(p * (F.col("nu") + F.col("nv")), 100 + p)).select("u", "nu", "v", "nv")
+        both = pairs.join(prefix.select(F.col("node").alias("u"), F.col("prefix").alias("a")), "u").join(prefix.select(F.col("node").alias("v"), F.col("prefix").alias("b")), "v")
+        left = F.greatest(F.col("nu") - F.size("a"), F.col("nv") - F.size("b"))  # what is missing must fit into one row's other columns
+        pairs = kept(both.filter(F.size(F.array_intersect("a", "b")) + left >= need).select("u", "v"))
+
+        def linked(batch: pa.RecordBatch) -> dict:
+            out = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                out.append(overlap(a, b, -(-p * (len(a) + len(b)) // (100 + p))) is not None)
+            some = pa.array(out)
+            return {"u": batch.column(0).filter(some), "v": batch.column(1).filter(some)}
+
+        return kept(map_rows(self.met(pairs).select("u", "v", "a", "b"), linked, "u long, v long"))
+
+    def strike(self, stars: DataFrame, rest: DataFrame | None) -> DataFrame:
+        """Compare nodes v with leaders u of stars (path, u, v), and strike out the leaders' columns: path (the next one),
+        u, v, linked, n, least_n (the leader's), the columns left, and their prefix. `rest` has what earlier rounds left."""
+        p, hot, times = self.percent, self.hot, self.times
+        met = self.met(stars)
+        met = met.withColumn("c", F.col("b")) if rest is None else met.join(rest.select("path", F.col("node").alias("v"), F.col("left").alias("c")), ["path", "v"])
+
+        def work(batch: pa.RecordBatch) -> dict:
+            linked, sizes, others, lefts, prefixes = [], [], [], [], []
+            for a, b, c in zip(*[batch.column(i).to_pylist() for i in (3, 4, 5)], strict=True):
+                a, b, c = (np.frombuffer(x, np.uint64) for x in (a, b, c))
+                linked.append(overlap(a, b, -(-p * (len(a) + len(b)) // (100 + p))) is not None)
+                left = c[~np.isin(c, a, assume_unique=True)]
+                sizes.append(len(b))
+                others.append(len(a))
+                lefts.append(left.tobytes())
+                prefixes.append(rarest_first(left, hot, times)[: len(b) - -(-p * len(b) // 100) + 1].astype(np.int64))
+            return {"path": batch.column(0), "u": batch.column(1), "node": batch.column(2), "linked": linked, "n": sizes, "leader_n": others, "left": lefts, "prefix": prefixes}
+
+        done = map_rows(met.select(F.xxhash64("path", "u").alias("path"), "u", "v", "a", "b", "c"), work, "path long, u long, node long, linked boolean, n long, leader_n long, left binary, prefix array<long>")
+        return kept(done)
 
     def links(self) -> DataFrame:
         """u, v: enough links between nodes to join whatever is linked at all."""
         p = self.percent
-        near = max(1, 100 - 2 * (100 - p))  # a node below this to a third one cannot be linked to what is linked to that
-        columns, links, close = self.columns(), [], []
+        columns = self.shared(self.nodes.select(F.lit(0).cast("long").alias("path"), "node", "n", "prefix"))
+        rest, pairs, links = None, [], []
         while True:
-            size = columns.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("first"))
-            sized = columns.select("key", "node", "n").join(size, "key")
-            few = sized.filter((F.col("m") > 1) & (F.col("m") <= SMALL)).select("key", "node", "n")
-            pairs = few.select("key", F.col("node").alias("u"), F.col("n").alias("nu")).join(few.select("key", F.col("node").alias("v"), F.col("n").alias("nv")), "key").filter("u < v").select("u", "nu", "v", "nv")
-            links.append(self.compare(self.promising(pairs), p).filter(self.linked(p)).select("u", "v"))
-            many = sized.filter((F.col("m") > SMALL) & (F.col("node") != F.col("first.node"))).select("key", F.col("first.node").alias("u"), F.col("first.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
-            many = kept(many)
+            sized = columns.join(columns.groupBy("path", "key").agg(F.count("*").alias("size")), ["path", "key"])
+            few = sized.filter(F.col("size") <= SMALL).select("path", "key", "node", "n")
+            other = few.select("path", "key", F.col("node").alias("v"), F.col("n").alias("nv"))
+            pairs.append(few.join(other, ["path", "key"]).filter("node < v").select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv"))
+            many = kept(sized.filter(F.col("size") > SMALL))
             if many.isEmpty():
                 break
-            seen = self.compare(many.select("u", "nu", "v", "nv"), near)
-            joined = seen.filter(self.linked(p)).select("u", "v")
-            links.append(joined)
-            close.append((joined.join(seen.select("u", "v", "nv"), ["u", "v"]).select("u", F.col("v").alias("x"), F.col("nv").alias("nx")), seen.filter(self.linked(near) & ~self.linked(p)).select("u", F.col("v").alias("y"), F.col("nv").alias("ny"))))
-            columns = kept(many.join(joined, ["u", "v"], "left_anti").select("key", F.col("v").alias("node"), F.col("nv").alias("n")))
-        found = links[0]
-        for more in links[1:]:
+            # the most central node holds the largest share of its own rare columns together with others
+            share = many.groupBy("path", "node").agg((F.count("*") / F.max("n")).alias("share"))
+            many = many.join(share, ["path", "node"])
+            leader = many.groupBy("path", "key").agg(F.max(F.struct("share", "node")).alias("leader"))
+            stars = kept(many.join(leader, ["path", "key"]).filter("node <> leader.node").select("path", F.col("leader.node").alias("u"), F.col("node").alias("v")).distinct())
+            rest = self.strike(stars, rest)
+            links.append(rest.filter("linked").select("u", F.col("node").alias("v")))
+            # at sizes just at the bound, two nodes can be linked by struck columns alone without both being linked to the leader
+            struck = rest.select("path", "node", "n", "linked", (F.col("n") - F.length("left") / 8).cast("long").alias("struck")).filter(f"struck * 100 >= {p} * n")
+            odd = struck.join(struck.groupBy("path").agg(F.min("n").alias("least_n")), "path").filter(~F.col("linked") & (F.col("struck") * (100 + p) >= p * (F.col("n") + F.col("least_n"))))
+            other = struck.select("path", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("struck").alias("sv"))
+            pairs.append(odd.join(other, "path").filter(f"least(struck, sv) * {100 + p} >= {p} * (n + nv)").select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv"))
+            columns = self.shared(rest)
+        every = pairs[0]
+        for more in pairs[1:]:
+            every = every.unionByName(more)
+        found = self.compare(every)
+        for more in links:
             found = found.unionByName(more)
-        found = kept(found)
-        if not close or all(y.isEmpty() for _, y in close):
-            return found
-        of = components(found)
-        meet = None
-        for x, y in close:  # linked to the same node as another one that is nearly linked to it, but of another class
-            both = x.join(y, "u").select("x", "nx", "y", "ny")
-            both = both.join(of.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x").join(of.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y", "left")
-            both = both.filter(~F.col("rx").eqNullSafe(F.col("ry"))).select(F.least("x", "y").alias("u"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("nu"), F.greatest("x", "y").alias("v"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nv"))
-            meet = both if meet is None else meet.unionByName(both)
-        more = self.compare(self.promising(meet), p).filter(self.linked(p)).select("u", "v")
-        return found.unionByName(more)
+        return found
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n: int = 5) -> DataFrame:

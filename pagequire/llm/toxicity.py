@@ -19,9 +19,9 @@ from .text import map_rows
 
 #: Labelled texts that the models are fitted on at most, and their distinct features at most: what comes to the driver
 #: is bounded by the product. Scoring covers all rows and all words.
-MAX_LABELLED, MAX_FEATURES = 6000, 8192
+MAX_LABELLED, MAX_FEATURES = 5000, 8192
 #: Beginnings of words in bytes: inflected forms share them.
-AFFIXES = (4, 5, 6)
+AFFIXES = (4, 6, 8)
 FOLDS = 3
 
 
@@ -39,7 +39,7 @@ class Chain:
         return out
 
 
-def fit_chain(rows: Rows, labels: np.ndarray, names: list[str], folds: int = FOLDS, ridge: float = 1.0) -> Chain:
+def fit_chain(rows: Rows, labels: np.ndarray, names: list[str], folds: int = FOLDS, ridge: float = 3.0) -> Chain:
     """labels: a row per text, a 0/1 column per category."""
     n = len(rows)
     fold = np.arange(n) % folds
@@ -50,8 +50,8 @@ def fit_chain(rows: Rows, labels: np.ndarray, names: list[str], folds: int = FOL
         for f in range(folds):
             fit, out = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             if len(fit) and len(out):
-                held[out] = fit_logistic(rows.take(fit), earlier[fit], labels[fit, k], ridge=ridge, steps=30).logit(rows.take(out), earlier[out])
-        models.append(fit_logistic(rows, earlier, labels[:, k], ridge=ridge, steps=30))
+                held[out] = fit_logistic(rows.take(fit), earlier[fit], labels[fit, k], ridge=ridge, steps=60).logit(rows.take(out), earlier[out])
+        models.append(fit_logistic(rows, earlier, labels[:, k], ridge=ridge, steps=60))
         thresholds.append(best_threshold(sigmoid(held), labels[:, k]))
         earlier = np.column_stack([earlier, held])
     return Chain(names, models, thresholds)
