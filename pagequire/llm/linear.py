@@ -13,16 +13,18 @@ from .text import word_hashes
 BITS = 18
 
 
-def hashed_features(texts: pa.Array, affixes: tuple[int, ...], lower: bool, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each text the sorted distinct features of its words and their affixes, its words, and its distinct words."""
+def hashed_features(texts: pa.Array, affixes: tuple[int, ...], lower: bool, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text the sorted distinct features of its words and their affixes; and its numbers of words, of distinct
+    words, and of words that repeat the one before."""
     hashes, counts = word_hashes(texts, affixes, lower)
     ids = (hashes & np.uint64((1 << bits) - 1)).astype(np.int32)
     ends = np.cumsum(counts)
-    found, fresh = [], np.zeros(len(counts), np.int64)
+    found, facts = [], np.zeros((len(counts), 3), np.int64)
     for i, (end, count) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
         found.append(np.unique(ids[end - count : end]))
-        fresh[i] = len(np.unique(hashes[end - count : end, 0]))
-    return found, counts, fresh
+        one = hashes[end - count : end, 0]
+        facts[i] = count, len(np.unique(one)), np.count_nonzero(one[1:] == one[:-1])
+    return found, facts
 
 
 @dataclass
@@ -50,26 +52,31 @@ class Rows:
 
 @dataclass
 class Logistic:
-    """weights over features, weights over dense columns, and a bias."""
+    """weights over features, weights over dense columns, and a bias; even: features count less the more a row has."""
 
     weights: np.ndarray
     dense: np.ndarray
     bias: float
+    even: bool = False
 
     def logit(self, rows: Rows, dense: np.ndarray) -> np.ndarray:
-        return rows.sums(self.weights) + dense @ self.dense + self.bias
+        return rows.sums(self.weights) / evened(rows, self.even) + dense @ self.dense + self.bias
+
+
+def evened(rows: Rows, even: bool) -> np.ndarray | float:
+    return np.sqrt(np.maximum(1, np.diff(np.concatenate([[0], rows.ends])))) if even else 1.0
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, dims: int = 1 << BITS, steps: int = 60, ridge: float = 1.0) -> Logistic:
+def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, dims: int = 1 << BITS, steps: int = 60, ridge: float = 1.0, even: bool = False) -> Logistic:
     """Logistic regression on features scaled by their log count ratio between the classes, by full-batch Adam steps; the
     ridge pulls the scaled weights to their mean contribution. One class alone gives a constant."""
     y = y.astype(float)
     if not len(y) or y.min() == y.max():
-        return Logistic(np.zeros(dims), np.zeros(dense.shape[1]), 0.0 if not len(y) else (8.0 if y[0] else -8.0))
+        return Logistic(np.zeros(dims), np.zeros(dense.shape[1]), 0.0 if not len(y) else (8.0 if y[0] else -8.0), even)
     n = np.diff(np.concatenate([[0], rows.ends]))
     row = np.repeat(np.arange(len(rows)), n)
     up = np.bincount(rows.flat, y[row], dims)
@@ -81,14 +88,15 @@ def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, dims: int = 1 <<
     used = np.unique(rows.flat)
     place = np.searchsorted(used, rows.flat)
     scale = ratio[used]
+    less = evened(rows, even)
     w, d, b = np.full(len(used), 0.05), np.zeros(dense.shape[1]), np.log(y.mean() / (1 - y.mean()))
     m = [np.zeros_like(w), np.zeros_like(d), 0.0]
     v = [np.zeros_like(w), np.zeros_like(d), 0.0]
     for t in range(1, steps + 1):
         total = np.concatenate([[0.0], np.cumsum((w * scale)[place])])
-        z = total[rows.ends] - total[np.concatenate([[0], rows.ends[:-1]]).astype(np.int64)] + dense @ d + b
+        z = (total[rows.ends] - total[np.concatenate([[0], rows.ends[:-1]]).astype(np.int64)]) / less + dense @ d + b
         g = (sigmoid(z) - y) / len(y)
-        grads = [np.bincount(place, g[row], len(used)) * scale + ridge * w / len(y), dense.T @ g + ridge * d / len(y), g.sum()]
+        grads = [np.bincount(place, (g / less)[row], len(used)) * scale + ridge * w / len(y), dense.T @ g + ridge * d / len(y), g.sum()]
         for i, x in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * x
             v[i] = 0.99 * v[i] + 0.01 * x * x
@@ -96,7 +104,7 @@ def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, dims: int = 1 <<
         w, d, b = w - move[0], d - move[1], b - move[2]
     weights = np.zeros(dims)
     weights[used] = w * scale
-    return Logistic(weights, d, float(b))
+    return Logistic(weights, d, float(b), even)
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:

@@ -28,17 +28,14 @@ _mark = np.zeros(256, bool)
 _mark[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
-def text_view(texts: pa.Array) -> list[np.ndarray]:
-    """Features of the wording: words as written, their first and last bytes, and how many of the words are distinct."""
-    found, words, fresh = hashed_features(texts, AFFIXES, False)
-    out = []
-    for f, n, d in zip(found, words.tolist(), fresh.tolist(), strict=True):
-        shape = xxhash.xxh3_64_intdigest(f"distinct {int(20 * d / n) if n else -1} of {n.bit_length() // 2}") & ((1 << BITS) - 1)
-        out.append(np.append(f, np.int32(shape)))
-    return out
+def text_view(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features of the wording: words as written, their first and last bytes; how many words come anew or repeat."""
+    found, facts = hashed_features(texts, AFFIXES, False)
+    words = np.maximum(facts[:, 0], 1)
+    return found, np.column_stack([5 * facts[:, 1] / words, 5 * facts[:, 2] / words, 5.0 * (facts[:, 2] > 2), np.log1p(facts[:, 0]) / 2])
 
 
-def page_view(texts: pa.Array, meta: list[pa.Array]) -> list[np.ndarray]:
+def page_view(texts: pa.Array, meta: list[pa.Array]) -> tuple[list[np.ndarray], np.ndarray]:
     """Features of the page: each metadata column's value (numbers by magnitude), and the layout in steps."""
     out = []
     columns = [c.to_pylist() for c in meta]
@@ -49,7 +46,26 @@ def page_view(texts: pa.Array, meta: list[pa.Array]) -> list[np.ndarray]:
         facts = [("size", size.bit_length()), ("lines", lines.bit_length()), ("line", int(2 * np.log2(size / lines + 1))), ("upper", int(25 * np.count_nonzero(_upper[raw]) / size)), ("marks", int(25 * np.count_nonzero(_mark[raw]) / size)), ("spaces", int(25 * t.count(b" ") / size))]
         facts += [(k, c[i].bit_length() if isinstance(c[i], int) else c[i]) for k, c in enumerate(columns)]
         out.append(np.unique(np.array([xxhash.xxh3_64_intdigest(f"{k}={v}") & ((1 << BITS) - 1) for k, v in facts], np.int32)))
-    return out
+    return out, np.zeros((len(out), 0))
+
+
+@dataclass
+class View:
+    """Some texts as one view sees them."""
+
+    rows: Rows
+    dense: np.ndarray
+
+    @classmethod
+    def of(cls, seen: tuple[list[np.ndarray], np.ndarray]) -> View:
+        return cls(Rows.of(seen[0]), seen[1])
+
+    def take(self, which: np.ndarray) -> View:
+        return View(self.rows.take(which), self.dense[which])
+
+    def __add__(self, other: View) -> View:
+        a, b = self.rows, other.rows
+        return View(Rows(np.concatenate([a.flat, b.flat]), np.concatenate([a.ends, b.ends + len(a.flat)])), np.concatenate([self.dense, other.dense]))
 
 
 @dataclass
@@ -61,44 +77,43 @@ class Views:
     prior: float
     threshold: float
 
-    def logit(self, rows: list[Rows]) -> np.ndarray:
+    def logit(self, seen: list[View]) -> np.ndarray:
         """Calibrated log-odds of low quality: views independent given the class add up their evidence over the prior."""
-        none = np.zeros((len(rows[0]), 0))
-        return sum(a * m.logit(r, none) + b - self.prior for m, r, (a, b) in zip(self.models, rows, self.lines, strict=True)) + self.prior
+        return sum(a * m.logit(v.rows, v.dense) + b - self.prior for m, v, (a, b) in zip(self.models, seen, self.lines, strict=True)) + self.prior
 
 
-def co_train(rows: list[Rows], y: np.ndarray, pool: list[Rows]) -> Views:
-    """rows: the labelled texts in both views; y: 1 for low quality; pool: unlabelled texts in both views."""
-    n, m = len(y), len(pool[0])
+def co_train(known: list[View], y: np.ndarray, pool: list[View]) -> Views:
+    """known: the labelled texts in both views; y: 1 for low quality; pool: unlabelled texts in both views."""
+    n, m = len(y), len(pool[0].rows)
     held = np.arange(n) % 3 == 0
-    fit = np.flatnonzero(~held)
+    fit, away = np.flatnonzero(~held), np.flatnonzero(held)
     given = [np.full(m, -1), np.full(m, -1)]  # what each view has been taught about the pool
 
     def fitted(view: int) -> Logistic:
         more = np.flatnonzero(given[view] >= 0)
-        both, extra = rows[view].take(fit), pool[view].take(more)
-        joined = Rows(np.concatenate([both.flat, extra.flat]), np.concatenate([both.ends, extra.ends + len(both.flat)]))
-        return fit_logistic(joined, np.zeros((len(joined), 0)), np.concatenate([y[fit], given[view][more]]), steps=30)
+        both = known[view].take(fit) + pool[view].take(more)
+        return fit_logistic(both.rows, both.dense, np.concatenate([y[fit], given[view][more]]), steps=60, even=True)
 
     models = [fitted(0), fitted(1)]
     for _ in range(ROUNDS if m else 0):
         for view in (0, 1):
-            p = sigmoid(models[view].logit(pool[view], np.zeros((m, 0))))
+            p = sigmoid(models[view].logit(pool[view].rows, pool[view].dense))
             other = given[1 - view]
             for label, sure in ((1, p), (0, 1 - p)):
                 fresh = np.flatnonzero((other < 0) & (sure >= SURE))
                 best = fresh[np.argsort(-sure[fresh], kind="stable")]
                 other[best[: int(TEACH * m * (y.mean() if label else 1 - y.mean())) + 1]] = label
         models = [fitted(0), fitted(1)]
-    away, empty = np.flatnonzero(held), Rows.of([np.zeros(0, np.int32)] * int(held.sum()))
+    empty = Rows.of([np.zeros(0, np.int32)] * len(away))
     prior = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     lines = []
     for view in (0, 1):
-        z = models[view].logit(rows[view].take(away), np.zeros((len(away), 0)))
+        own = known[view].take(away)
+        z = models[view].logit(own.rows, own.dense)
         line = fit_logistic(empty, z[:, None], y[away], steps=200) if len(set(y[away].tolist())) == 2 else None
         lines.append((float(line.dense[0]), line.bias) if line else (0.0, prior))
     views = Views(models, lines, prior, 0.5)
-    views.threshold = best_threshold(sigmoid(views.logit([r.take(away) for r in rows])), y[away])
+    views.threshold = max(0.5, best_threshold(sigmoid(views.logit([v.take(away) for v in known])), y[away]))  # in doubt a text stays
     return views
 
 
@@ -110,21 +125,23 @@ def fit_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     chosen = sample.unionByName(rest.select("__id", F.lit(-1).alias("__y"))).dropDuplicates(["__id"])
 
     def work(batch: pa.RecordBatch) -> dict:
-        a, b = text_view(batch.column(0)), page_view(batch.column(0), batch.columns[3:])
+        (a, dense), (b, _) = text_view(batch.column(0)), page_view(batch.column(0), batch.columns[3:])
         ok = [i for i, f in enumerate(a) if len(f) <= MAX_FEATURES]
-        return {"id": batch.column(1).take(pa.array(ok, pa.int64())), "y": batch.column(2).take(pa.array(ok, pa.int64())), "a": [a[i].tobytes() for i in ok], "b": [b[i].tobytes() for i in ok]}
+        return {"id": batch.column(1).take(pa.array(ok, pa.int64())), "y": batch.column(2).take(pa.array(ok, pa.int64())), "a": [a[i].tobytes() for i in ok], "dense": [dense[i].tobytes() for i in ok], "b": [b[i].tobytes() for i in ok]}
 
     some = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("__id"), F.col(id_col).cast("string").alias("__key"), *[F.col(c).alias(f"__m{i}") for i, c in enumerate(meta)]).join(F.broadcast(chosen), "__id")
-    got = map_rows(some.select("__text", "__key", "__y", *[f"__m{i}" for i in range(len(meta))]), work, "id string, y int, a binary, b binary").toArrow().sort_by("id")
+    got = map_rows(some.select("__text", "__key", "__y", *[f"__m{i}" for i in range(len(meta))]), work, "id string, y int, a binary, dense binary, b binary").toArrow().sort_by("id")
     y = got["y"].to_numpy()
-    both = [[np.frombuffer(x, np.int32) for x in got[k].to_pylist()] for k in "ab"]
+    a, b = ([np.frombuffer(x, np.int32) for x in got[k].to_pylist()] for k in "ab")
+    dense = np.array([np.frombuffer(x) for x in got["dense"].to_pylist()]).reshape(len(a), -1)
+    both = [View.of((a, dense)), View.of((b, np.zeros((len(b), 0))))]
     known, free = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    return co_train([Rows.of([v[i] for i in known]) for v in both], y[known].astype(int), [Rows.of([v[i] for i in free]) for v in both])
+    return co_train([v.take(known) for v in both], y[known].astype(int), [v.take(free) for v in both])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
     """Return all columns with p_low, the probability of low quality, and kept, below the threshold of the best F1 on the
-    labelled texts kept apart.
+    labelled texts kept apart, one half at least.
 
     Labels: 1 good, 0 low; of several for one id the lowest counts, null ones and those without a text do not. Null and
     empty texts are scored by their page alone; null metadata is a value of its own. Rows that are equal score alike.
@@ -138,7 +155,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def work(batch: pa.RecordBatch) -> dict:
         cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-        p = sigmoid(views.logit([Rows.of(text_view(cols[text_col])), Rows.of(page_view(cols[text_col], [cols[c] for c in meta]))]))
+        p = sigmoid(views.logit([View.of(text_view(cols[text_col])), View.of(page_view(cols[text_col], [cols[c] for c in meta]))]))
         return {c: cols[c] for c in names} | {"p_low": p, "kept": p < views.threshold}
 
     return map_rows(docs.select(*names), work, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", p_low double, kept boolean")

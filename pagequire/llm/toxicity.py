@@ -65,7 +65,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
     n = len(categories)
 
     def work(batch: pa.RecordBatch) -> dict:
-        found, _, _ = hashed_features(batch.column(0), AFFIXES, True)
+        found, _ = hashed_features(batch.column(0), AFFIXES, True)
         ok = np.array([len(f) <= MAX_FEATURES for f in found])
         return {"f": [f.tobytes() for f, x in zip(found, ok, strict=True) if x], "id": batch.column(1).filter(pa.array(ok)), "y": [bytes(v) for v, x in zip(zip(*[batch.column(2 + i).to_pylist() for i in range(n)], strict=True), ok, strict=True) if x]}
 
@@ -89,7 +89,7 @@ def score_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
         m.weights = m.weights.astype(np.float32)  # 1 MB for each category goes to the tasks
 
     def work(batch: pa.RecordBatch) -> dict:
-        found, _, _ = hashed_features(batch.column(1), AFFIXES, True)
+        found, _ = hashed_features(batch.column(1), AFFIXES, True)
         p = sigmoid(chain.logits(Rows.of(found)))
         return {id_col: batch.column(0)} | {f"p_{c}": p[:, k] for k, c in enumerate(chain.names)} | {c: p[:, k] >= chain.thresholds[k] for k, c in enumerate(chain.names)}
 
