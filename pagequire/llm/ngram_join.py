@@ -36,11 +36,11 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarra
     """Hashes and counts of the shingles that recur within batches of different texts, the most frequent FREQUENT."""
 
     def count(batch: pa.RecordBatch) -> dict:
-        sets = {s.tobytes(): s for s in shingle_sets(batch.column(0), n) if len(s)}
+        sets = {s.tobytes(): s for lo in range(0, batch.num_rows, 1000) for s in shingle_sets(batch.column(0).slice(lo, 1000), n) if len(s)}
         every, times = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
         return {"h": every[times > 1].astype(np.int64), "n": times[times > 1]}
 
-    counts = map_rows(docs.select(text_col), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8")
+    counts = map_rows(docs.select(text_col), count, "h long, n long", 10_000).groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8")
     top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     h = np.array([r.h for r in top], np.int64).astype(np.uint64)
     order = np.argsort(h)
@@ -80,7 +80,7 @@ class Join:
         self.docs, self.id, self.text, self.percent, self.n = docs, id_col, text_col, percent, n
         self.hot, self.times = frequent_shingles(docs, text_col, n)
         self.rows = kept(self.shingle_rows())
-        self.nodes = self.rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+        self.nodes = kept(self.rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")))
 
     def shingle_rows(self) -> DataFrame:
         """id, n_shingles, node (a hash of the set; null without words) and prefix: the rarest columns, of which a row
@@ -141,6 +141,18 @@ class Join:
 
         return kept(map_rows(self.met(pairs).select("u", "v", "a", "b"), linked, "u long, v long"))
 
+    def counted(self, pairs: DataFrame, many: DataFrame) -> DataFrame:
+        """The pairs, one row for each prefix column they share, whose sizes allow a link and whose count does: with the
+        columns that both hold in large lists, where they were not counted, and all of one row outside its prefix."""
+        p = self.percent
+        rest = lambda n: F.floor((p * F.col(n) + 99) / 100) - 1
+        need = F.floor((p * (F.col("nu") + F.col("nv")) + (99 + p)) / (100 + p))
+        sums = pairs.filter(100 * F.least("nu", "nv") >= p * F.greatest("nu", "nv")).groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("got"))
+        large = many.groupBy("node").agg(F.count("*").alias("m"))
+        sums = sums.join(large.select(F.col("node").alias("u"), F.col("m").alias("mu")), "u", "left").join(large.select(F.col("node").alias("v"), F.col("m").alias("mv")), "v", "left")
+        more = F.coalesce(F.least("mu", "mv"), F.lit(0)) * F.when(F.col("mu").isNull() | F.col("mv").isNull(), 0).otherwise(1)
+        return sums.filter(F.col("got") + more + F.greatest(rest("nu"), rest("nv")) >= need).select("u", "nu", "v", "nv")
+
     def strike(self, stars: DataFrame, rest: DataFrame | None) -> DataFrame:
         """Compare nodes v with leaders u of stars (path, u, v), and strike out the leaders' columns: path (the next one),
         u, v, linked, n, least_n (the leader's), the columns left, and their prefix. `rest` has what earlier rounds left."""
@@ -172,8 +184,9 @@ class Join:
             sized = columns.join(columns.groupBy("path", "key").agg(F.count("*").alias("size")), ["path", "key"])
             few = sized.filter(F.col("size") <= SMALL).select("path", "key", "node", "n")
             other = few.select("path", "key", F.col("node").alias("v"), F.col("n").alias("nv"))
-            pairs.append(few.join(other, ["path", "key"]).filter("node < v").select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv"))
+            some = few.join(other, ["path", "key"]).filter(F.col("node") < F.col("v")).select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv")
             many = kept(sized.filter(F.col("size") > SMALL))
+            pairs.append(self.counted(some, many) if rest is None else some)
             if many.isEmpty():
                 break
             # the most central node holds the largest share of its own rare columns together with others

@@ -22,8 +22,8 @@ def byte_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_rows(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """mapInArrow for functions that turn one batch into a dict of columns (or several)."""
+def map_rows(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, step: int = 2048) -> DataFrame:
+    """mapInArrow for functions that turn a batch of at most `step` rows into a dict of columns (or several)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -31,8 +31,8 @@ def map_rows(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] |
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                made = work(batch)
+            for lo in range(0, batch.num_rows, step):
+                made = work(batch.slice(lo, step))
                 for part in [made] if isinstance(made, dict) else made:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type, from_pandas=True) for x, f in zip((part[f.name] for f in out), out, strict=True)], schema=out)
 
