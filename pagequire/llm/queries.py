@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The model file of the standard encoder.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every document, and whether the best decodes to its text."""
+    from .pieces import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents"), PIECES, 4)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by source: 150 % of all words shared by the weights 3, 1, 2, at most 2 times a source."""
     from .mixing import mix, shares, text_sizes
@@ -89,7 +100,7 @@ def op10_dedup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_sentences", "n_removed", "removed", F.array_sort("first_ids").alias("first_ids"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op3_quality_rules, op4_jaccard_join, op5_filter_urls, op6_toxicity, op7_quality_classifier, op8_top_k, op9_scan_licenses, op10_dedup_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_quality_rules, op4_jaccard_join, op5_filter_urls, op6_toxicity, op7_quality_classifier, op8_top_k, op9_scan_licenses, op10_dedup_spans)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

@@ -96,7 +96,7 @@ _values = mix64(np.arange(1, 257, dtype=np.uint64) * BASE)
 
 
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the powers 0 .. n - 1, and to those powers negated, modulo 2**64."""
     up = np.full(n, BASE, np.uint64)
     down = np.full(n, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
@@ -138,7 +138,7 @@ def word_hashes(texts: pa.Array, affixes: tuple[int, ...] = (), lower: bool = Tr
         begins = np.flatnonzero(word & (first[:-1] | ~np.r_[False, word[:-1]]))
         ends = np.flatnonzero(word & (first[1:] | ~np.r_[word[1:], False])) + 1
         if len(begins):
-            up, down = _powers(1 << max(20, (len(part) - 1).bit_length()))
+            up, down = powers(1 << max(20, (len(part) - 1).bit_length()))
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_values[_lowered[part] if lower else part] * up[: len(part)], out=sums[1:])
             hashes = [mix64((sums[ends] - sums[begins]) * down[begins])]
@@ -166,7 +166,7 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
             one = np.sort(rolled[end - count : end - n + 1])
             out.append(one[np.r_[True, one[1:] != one[:-1]]])
         elif count:
-            out.append(mix64(np.sum(words[end - count : end] * _powers(1 << 20)[0][1 : count + 1], keepdims=True) + np.uint64(count)))
+            out.append(mix64(np.sum(words[end - count : end] * powers(1 << 20)[0][1 : count + 1], keepdims=True) + np.uint64(count)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
