@@ -114,8 +114,8 @@ class Join:
             found = [s for s in shingle_sets(batch.column(0), n) if len(s)]
             return {"node": [node_of(s) for s in found], "set": [s.tobytes() for s in found]}
 
-        texts = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("text")).join(wanted, "id", "left_semi").select("text")
-        return kept(map_rows(texts, pack, "node long, set binary")).dropDuplicates(["node"])  # equal texts, or ids that repeat
+        texts = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+        return kept(map_rows(texts.select("text"), pack, "node long, set binary"))
 
     def met(self, pairs: DataFrame) -> DataFrame:
         sets = self.sets(pairs)

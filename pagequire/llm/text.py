@@ -76,13 +76,19 @@ def kept(frame: DataFrame) -> DataFrame:
     again nor depends on the executors that made it."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/pagequire-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(tidy, None)
-    spark.conf.set(tidy, "true")  # the shuffle files of this write go when it ends
+    during = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # the shuffle files of this write go when it ends
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",  # rows of many columns can be large
+        "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    }
+    before = {k: spark.conf.get(k, None) for k in during}
+    for k, v in during.items():
+        spark.conf.set(k, v)
     try:
         frame.write.parquet(path)
     finally:
-        spark.conf.unset(tidy) if was is None else spark.conf.set(tidy, was)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(frame.schema).parquet(path)
 
 
