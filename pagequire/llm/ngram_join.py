@@ -117,8 +117,7 @@ class Join:
         texts = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
         return kept(map_rows(texts.select("text"), pack, "node long, set binary"))
 
-    def met(self, pairs: DataFrame) -> DataFrame:
-        sets = self.sets(pairs)
+    def met(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
@@ -139,7 +138,7 @@ class Join:
             some = pa.array(out)
             return {"u": batch.column(0).filter(some), "v": batch.column(1).filter(some)}
 
-        return kept(map_rows(self.met(pairs).select("u", "v", "a", "b"), linked, "u long, v long"))
+        return kept(map_rows(self.met(pairs, self.sets(pairs)).select("u", "v", "a", "b"), linked, "u long, v long"))
 
     def counted(self, pairs: DataFrame, many: DataFrame) -> DataFrame:
         """The pairs, one row for each prefix column they share, whose sizes allow a link and whose count does: with the
@@ -153,40 +152,45 @@ class Join:
         more = F.coalesce(F.least("mu", "mv"), F.lit(0)) * F.when(F.col("mu").isNull() | F.col("mv").isNull(), 0).otherwise(1)
         return sums.filter(F.col("got") + more + F.greatest(rest("nu"), rest("nv")) >= need).select("u", "nu", "v", "nv")
 
-    def strike(self, stars: DataFrame, rest: DataFrame | None) -> DataFrame:
-        """Compare nodes v with leaders u of stars (path, u, v), and strike out the leaders' columns: path (the next one),
-        u, v, linked, n, least_n (the leader's), the columns left, and their prefix. `rest` has what earlier rounds left."""
+    def strike(self, stars: DataFrame, struck: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Compare nodes v with leaders u of stars (path, u, v), and strike out the leaders' columns. Returns path (the
+        next one), u, node, linked, n, struck (how many of its columns are gone) and the prefix of the others; and for
+        each next path all columns struck on it, as `struck` has them for the paths so far."""
         p, hot, times = self.percent, self.hot, self.times
-        met = self.met(stars)
-        met = met.withColumn("c", F.col("b")) if rest is None else met.join(rest.select("path", F.col("node").alias("v"), F.col("left").alias("c")), ["path", "v"])
+        sets = self.sets(stars)
+        met = self.met(stars, sets)
+        met = met.withColumn("c", F.lit(b"")) if struck is None else met.join(struck.select("path", F.col("columns").alias("c")), "path")
 
         def work(batch: pa.RecordBatch) -> dict:
-            linked, sizes, others, lefts, prefixes = [], [], [], [], []
+            linked, sizes, gone, prefixes = [], [], [], []
             for a, b, c in zip(*[batch.column(i).to_pylist() for i in (3, 4, 5)], strict=True):
                 a, b, c = (np.frombuffer(x, np.uint64) for x in (a, b, c))
                 linked.append(overlap(a, b, -(-p * (len(a) + len(b)) // (100 + p))) is not None)
-                left = c[~np.isin(c, a, assume_unique=True)]
+                left = np.setdiff1d(np.setdiff1d(b, a, assume_unique=True), c, assume_unique=True)
                 sizes.append(len(b))
-                others.append(len(a))
-                lefts.append(left.tobytes())
+                gone.append(len(b) - len(left))
                 prefixes.append(rarest_first(left, hot, times)[: len(b) - -(-p * len(b) // 100) + 1].astype(np.int64))
-            return {"path": batch.column(0), "u": batch.column(1), "node": batch.column(2), "linked": linked, "n": sizes, "leader_n": others, "left": lefts, "prefix": prefixes}
+            return {"path": batch.column(0), "u": batch.column(1), "node": batch.column(2), "linked": linked, "n": sizes, "struck": gone, "prefix": prefixes}
 
-        done = map_rows(met.select(F.xxhash64("path", "u").alias("path"), "u", "v", "a", "b", "c"), work, "path long, u long, node long, linked boolean, n long, leader_n long, left binary, prefix array<long>")
-        return kept(done)
+        here = F.xxhash64("path", "u").alias("path")
+        done = kept(map_rows(met.select(here, "u", "v", "a", "b", "c"), work, "path long, u long, node long, linked boolean, n long, struck long, prefix array<long>"))
+        led = stars.select("path", "u").distinct().join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
+        led = led.withColumn("c", F.lit(b"")) if struck is None else led.join(struck.select("path", F.col("columns").alias("c")), "path")
+        union = lambda b: {"path": b.column(0), "columns": [np.union1d(np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64)).tobytes() for a, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]}
+        return done, kept(map_rows(led.select(here, "a", "c"), union, "path long, columns binary"))
 
     def links(self) -> DataFrame:
         """u, v: enough links between nodes to join whatever is linked at all."""
         p = self.percent
         columns = self.shared(self.nodes.select(F.lit(0).cast("long").alias("path"), "node", "n", "prefix"))
-        rest, pairs, links = None, [], []
+        struck, pairs, links = None, [], []
         while True:
             sized = columns.join(columns.groupBy("path", "key").agg(F.count("*").alias("size")), ["path", "key"])
             few = sized.filter(F.col("size") <= SMALL).select("path", "key", "node", "n")
             other = few.select("path", "key", F.col("node").alias("v"), F.col("n").alias("nv"))
             some = few.join(other, ["path", "key"]).filter(F.col("node") < F.col("v")).select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv")
             many = kept(sized.filter(F.col("size") > SMALL))
-            pairs.append(self.counted(some, many) if rest is None else some)
+            pairs.append(self.counted(some, many) if struck is None else some)
             if many.isEmpty():
                 break
             # the most central node holds the largest share of its own rare columns together with others
@@ -194,12 +198,12 @@ class Join:
             many = many.join(share, ["path", "node"])
             leader = many.groupBy("path", "key").agg(F.max(F.struct("share", "node")).alias("leader"))
             stars = kept(many.join(leader, ["path", "key"]).filter("node <> leader.node").select("path", F.col("leader.node").alias("u"), F.col("node").alias("v")).distinct())
-            rest = self.strike(stars, rest)
+            rest, struck = self.strike(stars, struck)
             links.append(rest.filter("linked").select("u", F.col("node").alias("v")))
             # at sizes just at the bound, two nodes can be linked by struck columns alone without both being linked to the leader
-            struck = rest.select("path", "node", "n", "linked", (F.col("n") - F.length("left") / 8).cast("long").alias("struck")).filter(f"struck * 100 >= {p} * n")
-            odd = struck.join(struck.groupBy("path").agg(F.min("n").alias("least_n")), "path").filter(~F.col("linked") & (F.col("struck") * (100 + p) >= p * (F.col("n") + F.col("least_n"))))
-            other = struck.select("path", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("struck").alias("sv"))
+            near = rest.select("path", "node", "n", "linked", "struck").filter(f"struck * 100 >= {p} * n")
+            odd = near.join(near.groupBy("path").agg(F.min("n").alias("least_n")), "path").filter(~F.col("linked") & (F.col("struck") * (100 + p) >= p * (F.col("n") + F.col("least_n"))))
+            other = near.select("path", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("struck").alias("sv"))
             pairs.append(odd.join(other, "path").filter(f"least(struck, sv) * {100 + p} >= {p} * (n + nv)").select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv"))
             columns = self.shared(rest)
         every = pairs[0]

@@ -22,7 +22,7 @@ def byte_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_rows(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, step: int = 2048) -> DataFrame:
+def map_rows(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, step: int = 512) -> DataFrame:
     """mapInArrow for functions that turn a batch of at most `step` rows into a dict of columns (or several)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
