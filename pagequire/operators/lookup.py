@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import casefold
 from ..functions.values import flag, has_text
 
 
@@ -93,10 +95,33 @@ def term_changes(stored: DataFrame, imported: DataFrame, key: str) -> DataFrame:
     return imported.join(old, key, "left").groupBy(kind.alias("change")).agg(F.count("*").alias("terms"))
 
 
-def relevant_terms(terms: DataFrame, texts: DataFrame, batch: str, text: str, tokens: Column, parts: Column) -> DataFrame:
-    """The terms whose source stands in a text of a batch. `tokens` are the parts of a text and `parts` those of a term's
-    source, cut alike: a term meets only the texts that hold its longest part, and is then searched for as a whole."""
-    longest = F.element_at(F.sort_array(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))), asc=False), 1)["p"]
-    keyed = terms.withColumn("__part", longest)
-    held = texts.select(F.col(batch), F.lower(text).alias("__text"), F.explode(F.array_distinct(tokens)).alias("__part"))
-    return held.join(keyed, "__part").filter(F.col("__text").contains(F.lower("source"))).select(batch, *terms.columns).distinct()
+#: Terms that a search takes at most; each task keeps them.
+MAX_TERMS = 200_000
+
+
+def relevant_terms(terms: DataFrame, texts: DataFrame, batch: str, text: str) -> DataFrame:
+    """The terms whose source stands anywhere in a text of a batch, in any case: batch with the terms' columns.
+
+    All sources are searched in one pass over each text, by an automaton over the folded sources; a list of over MAX_TERMS
+    sources is an error."""
+    folded = casefold(F.col("source"))
+    keyed = terms.filter(has_text(F.col("source"))).withColumn("__key", folded)
+    sources = [r[0] for r in keyed.select("__key").distinct().limit(MAX_TERMS + 1).collect()]
+    if len(sources) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+
+    def search(frames):
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        for s in sources:
+            tree.add_word(s, s)
+        if sources:
+            tree.make_automaton()
+        for frame in frames:
+            hits = [{w for _, w in tree.iter(t.casefold())} if t and sources else () for t in frame[text]]
+            yield pd.DataFrame({batch: frame[batch], "__key": [sorted(h) for h in hits]}).explode("__key").dropna()
+
+    kind = texts.schema[batch].dataType.simpleString()
+    found = texts.select(batch, text).mapInPandas(search, f"`{batch}` {kind}, __key string").distinct()
+    return found.join(keyed, "__key").select(batch, *terms.columns)

@@ -89,12 +89,12 @@ def balanced_slots(slots: DataFrame, boxes: DataFrame, minimum_gap: int) -> Data
         if not len(page):
             return empty
         page = page.sort_values("ord")
-        tops = place_in_order(page, free, int(page.mark_height.iloc[0]) + minimum_gap)
+        tops = place_in_order(page, free.rename(columns={"__slot": "slot_id"}), int(page.mark_height.iloc[0]) + minimum_gap)
         return empty if tops is None else pd.DataFrame({"page_key": page.page_key, "slot_id": page.slot_id, "x": page.x, "y": tops})
 
-    free = free_rows(slots, boxes).join(slots.select("slot_id", "page_key"), "slot_id")
+    free = free_rows(slots, boxes).select(F.col("page_key").alias("__page"), F.col("slot_id").alias("__slot"), "start", "end")
     key, slot = (slots.schema[c].dataType.simpleString() for c in ("page_key", "slot_id"))
-    return slots.groupBy("page_key").cogroup(free.groupBy("page_key")).applyInPandas(place, f"page_key {key}, slot_id {slot}, x long, y long")
+    return slots.groupBy("page_key").cogroup(free.groupBy("__page")).applyInPandas(place, f"page_key {key}, slot_id {slot}, x long, y long")
 
 
 def balanced_lines(words: list[str], widths: list[float], space: float, most: float) -> list[str]:

@@ -1 +1,147 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries of lookups, merges, terms and positional pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import history, lookup, terms
+from .base import Collector, Tables
+
+query = Collector()
+
+
+@query("SELECT d.doc_id, lang, quality FROM documents d JOIN labels USING (doc_id)")
+def j1_cached_readings(t: Tables) -> DataFrame:
+    return lookup.hits_and_pending(t.documents.select("doc_id", "lang"), t.labels, "doc_id", "quality")[0]
+
+
+@query("SELECT DISTINCT c_nationkey AS key FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 4000)")
+def j2_pending_keys(t: Tables) -> DataFrame:
+    cache = t.supplier.filter("s_acctbal > 4000").select(F.col("s_nationkey").alias("key"), F.col("s_name").alias("text"))
+    return lookup.hits_and_pending(t.customer.select(F.col("c_nationkey").alias("key")), cache, "key", "text")[1]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS key, p_name AS text FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5")
+def j3_spread_results(t: Tables) -> DataFrame:
+    results = t.part.filter("p_size > 5").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text"))
+    return lookup.spread_results(t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("key")), results, "key")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'token ' || p_partkey WHEN p_partkey % 5 = 0 THEN 'key ' || p_partkey ELSE p_name END AS text,
+CASE WHEN p_partkey % 5 = 0 AND p_partkey % 3 <> 0 THEN true ELSE false END AS ocr_checked FROM part""")
+def j4_merge_results(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    regions = t.part.select(k.alias("id"), F.concat(F.lit("t"), k.cast("string")).alias("token"), F.col("p_name").alias("text"), F.lit(False).alias("ocr_checked"))
+    by_token = t.part.filter(k % 3 == 0).select(F.concat(F.lit("t"), k.cast("string")).alias("token"), k.alias("id"), F.concat(F.lit("token "), k.cast("string")).alias("text"), F.lit(None).cast("boolean").alias("ocr_checked"))
+    by_key = t.part.filter(k % 5 == 0).select(F.lit(None).cast("string").alias("token"), k.alias("id"), F.concat(F.lit("key "), k.cast("string")).alias("text"), F.lit(True).alias("ocr_checked"))
+    gone = by_key.withColumn("id", -1 - F.col("id"))
+    return lookup.merge_results(regions, by_token.unionByName(by_key).unionByName(gone), "token", "id", ["text", "ocr_checked"]).select("id", "text", "ocr_checked")
+
+
+@query("SELECT doc_id, coalesce('label ' || quality, lang) AS lang FROM documents LEFT JOIN labels USING (doc_id)")
+def j5_apply_values(t: Tables) -> DataFrame:
+    return lookup.apply_values(t.documents.select("doc_id", "lang"), t.labels.select("doc_id", F.concat(F.lit("label "), F.col("quality").cast("string")).alias("lang")), "doc_id", "lang")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def a9_latest(t: Tables) -> DataFrame:
+    return lookup.latest(t.events.select("user_id", "ts", "event_id", "event_type", "value"), "user_id", F.struct("ts", "event_id")).select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def o4_keep_newest(t: Tables) -> DataFrame:
+    return lookup.keep_newest(t.events, 500, F.desc("ts"), F.desc("event_id")).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
+def o5_keep_newest_per_key(t: Tables) -> DataFrame:
+    return lookup.keep_newest_per_key(t.events, ["user_id"], 3, F.desc("ts"), F.desc("event_id")).select("event_id", "user_id")
+
+
+PLACED = """WITH r AS (SELECT l_orderkey AS page, l_linenumber AS ord, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM lineitem WHERE l_returnflag <> 'R'),
+e AS (SELECT l_orderkey + 1 AS page, l_linenumber AS entry, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM lineitem) """
+
+
+def _placed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    regions = t.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ord"), "l_returnflag")
+    entries = t.lineitem.select((F.col("l_orderkey") + 1).alias("page"), F.col("l_linenumber").alias("entry"))
+    return lookup.pair_by_place(regions, entries, "page", [F.col("ord")], [F.col("entry")], F.col("l_returnflag") != "R")
+
+
+@query(PLACED + "SELECT page, place, ord, entry FROM r JOIN e USING (page, place)")
+def j10_pairs_by_place(t: Tables) -> DataFrame:
+    return _placed(t)[0].select("page", "place", "ord", "entry")
+
+
+@query(PLACED + "SELECT page, place, entry FROM e ANTI JOIN r USING (page, place)")
+def j9_entries_left(t: Tables) -> DataFrame:
+    return _placed(t)[1].select("page", "place", "entry")
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, lower(c_name || '.png') AS n, lower(c_name) AS s FROM customer), a AS (SELECT o_orderkey AS entry, CASE WHEN o_orderkey % 2 = 0 THEN 'CUSTOMER#' || lpad((o_orderkey % 200)::VARCHAR, 9, '0') ELSE 'Customer#' || lpad((o_orderkey % 300)::VARCHAR, 9, '0') || '.PNG' END AS page_name FROM orders)
+SELECT entry, page_name, coalesce((SELECT max(k) FROM p WHERE n = lower(page_name)), (SELECT max(k) FROM p WHERE s = lower(page_name))) AS page_key FROM a""")
+def j11_pages_by_name(t: Tables) -> DataFrame:
+    pages = t.customer.select(F.col("c_custkey").alias("page_key"), F.col("c_custkey").alias("ord"), F.concat("c_name", F.lit(".png")).alias("name"))
+    k = F.col("o_orderkey")
+    number = lambda m: F.lpad((k % m).cast("string"), 9, "0")
+    names = t.orders.select(k.alias("entry"), F.when(k % 2 == 0, F.concat(F.lit("CUSTOMER#"), number(200))).otherwise(F.concat(F.lit("Customer#"), number(300), F.lit(".PNG"))).alias("page_name"))
+    return lookup.by_name_or_stem(pages, names, "ord")
+
+
+TERMS = "SELECT p_partkey AS ord, p_brand AS source, p_name AS target, 'término' AS category, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END AS note FROM part"
+FIRST = "arg_min(target, o) AS target, arg_min(category, o) AS category, coalesce(arg_min(note, o) FILTER (WHERE note <> ''), '') AS note"
+
+
+def _terms(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("source"), F.col("p_name").alias("target"), F.lit("término").alias("category"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise("").alias("note"))
+
+
+@query(f"SELECT min(ord) AS ord, source, {FIRST} FROM (SELECT *, ord AS o FROM ({TERMS})) GROUP BY source")
+def f13_first_terms(t: Tables) -> DataFrame:
+    return lookup.first_per_key(_terms(t), F.lower("source"), F.col("ord")).select("ord", "source", "target", "category", "note")
+
+
+@query(f"SELECT arg_min(ord, o) AS ord, source, {FIRST} FROM (SELECT *, (CASE WHEN ord % 10 = 0 THEN 0 ELSE 1 END, ord) AS o FROM ({TERMS})) GROUP BY source")
+def f15_merged_terms(t: Tables) -> DataFrame:
+    rows = _terms(t)
+    return lookup.merge_terms(rows.filter("ord % 10 = 0"), rows.filter("ord % 10 <> 0"), F.lower("source"), "ord").select("ord", "source", "target", "category", "note")
+
+
+@query(f"WITH t AS ({TERMS}), s AS (SELECT source, arg_min(target, ord) AS target FROM t WHERE ord % 2 = 0 GROUP BY source), i AS (SELECT source, arg_min(target, ord) AS target FROM t WHERE ord % 3 = 0 GROUP BY source) SELECT CASE WHEN s.source IS NULL THEN 'new' WHEN s.target <> i.target THEN 'changed' ELSE 'same' END AS change, count(*) AS terms FROM i LEFT JOIN s USING (source) GROUP BY ALL")
+def j13_term_changes(t: Tables) -> DataFrame:
+    first = lambda rows: rows.groupBy("source").agg(F.min_by("target", "ord").alias("target"))
+    return lookup.term_changes(first(_terms(t).filter("ord % 2 = 0")), first(_terms(t).filter("ord % 3 = 0")), "source")
+
+
+@query("""WITH t AS (SELECT item_id, regexp_extract(text, '^[^ ]+ [^ ]+') AS source FROM benchmark), d AS (SELECT doc_id, lower(text) AS text FROM documents)
+SELECT DISTINCT doc_id, item_id, source FROM d JOIN t ON contains(text, lower(source)) WHERE source <> ''""")
+def j12_relevant_terms(t: Tables) -> DataFrame:
+    found = t.benchmark.select("item_id", F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("source")).filter("source <> ''")
+    return lookup.relevant_terms(found, t.documents.select("doc_id", "text"), "doc_id", "text")
+
+
+@query("""WITH o AS (SELECT p_partkey AS id, p_name AS name, p_size AS depth, p_brand AS kind FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT p_partkey + (p_partkey % 5 = 0)::INT * 1000000 AS id, p_name AS name, p_size AS depth, p_brand AS kind FROM part WHERE p_partkey % 11 <> 0),
+k AS (SELECT n.id, o.id AS old_key FROM n JOIN o ON n.id = o.id AND n.name = o.name), ln AS (SELECT id, depth, kind, row_number() OVER (PARTITION BY depth, kind ORDER BY id) AS k FROM n WHERE id NOT IN (SELECT id FROM k)), lo AS (SELECT id AS old_key, depth, kind, row_number() OVER (PARTITION BY depth, kind ORDER BY id) AS k FROM o WHERE id NOT IN (SELECT old_key FROM k))
+SELECT id, old_key FROM k UNION ALL SELECT id, old_key FROM ln JOIN lo USING (depth, kind, k)""")
+def j14_reconciled(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    cols = [F.col("p_name").alias("name"), F.col("p_size").alias("depth"), F.col("p_brand").alias("kind")]
+    old = t.part.filter(k % 7 != 0).select(k.alias("id"), *cols)
+    new = t.part.filter(k % 11 != 0).select((k + F.when(k % 5 == 0, 1000000).otherwise(0)).alias("id"), *cols)
+    return history.reconciled(old, new, "id", ["name"], ["depth", "kind"], "id")
+
+
+
+@query("""WITH l AS (SELECT p_partkey AS id, p_partkey % 8 AS k, replace(p_name, ' ', '') AS s, replace(p_type, ' ', '') AS t FROM part)
+SELECT id, CASE WHEN k = 7 THEN s || t ELSE s END AS source, CASE WHEN k = 7 THEN s || t ELSE t END AS target, CASE WHEN k = 3 THEN 'lugar' ELSE 'término' END AS category, CASE WHEN k = 3 THEN 'n' || id ELSE '' END AS note FROM l WHERE id % 9 <> 0""")
+def f11_parsed_terms(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    tie = F.when(k % 8 == 0, " => ").when(k % 8 == 1, ": ").when(k % 8 == 2, "\t").when(k % 8 == 3, " | ").when(k % 8 == 4, ", ").when(k % 8 == 5, "; ").when(k % 8 == 6, "   ").otherwise("")
+    bullet = F.when(k % 2 == 0, "- ").otherwise(" 3. ")
+    tail = F.when(k % 8 == 3, F.concat(F.lit(" | Lugar | n"), k.cast("string"))).otherwise("")
+    line = F.when(k % 9 == 0, "# heading").otherwise(F.concat(bullet, F.replace("p_name", F.lit(" "), F.lit("")), tie, F.replace("p_type", F.lit(" "), F.lit("")), tail))
+    return terms.parse_terms(t.part.select(k.alias("id"), line.alias("line")), "line").drop("line")
+
+
+QUERIES, ORACLE_SQL = query.queries, query.sql
