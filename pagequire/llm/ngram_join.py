@@ -25,7 +25,7 @@ from .text import kept, map_rows, shingle_sets
 
 #: The most frequent shingles, which are moved to the end of every row's order: at most so many are sent to the tasks.
 #: They only steer which columns are rare; any list gives the same links.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 20
 #: Columns with at most so many nodes give all their pairs at once, at most half as many as nodes times this.
 SMALL = 16
 #: Blocks of columns in the final product.
@@ -40,11 +40,18 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarra
         every, times = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
         return {"h": every[times > 1].astype(np.int64), "n": times[times > 1]}
 
-    counts = map_rows(docs.select(text_col), count, "h long, n long", 10_000).groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8")
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h = np.array([r.h for r in top], np.int64).astype(np.uint64)
+    counts = kept(map_rows(docs.select(text_col), count, "h long, n long", 10_000).groupBy("h").agg(F.sum("n").alias("n")))
+    steps = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect()
+    least, total = 1001, 0
+    for r in steps:  # the lowest count from which on the shingles are few enough
+        total += r.m
+        if total > FREQUENT:
+            break
+        least = r.n
+    top = counts.filter(F.col("n") >= least).toArrow()
+    h, n = top["h"].to_numpy().astype(np.uint64), top["n"].to_numpy()
     order = np.argsort(h)
-    return h[order], np.array([r.n for r in top], np.int64)[order]
+    return h[order], n[order].astype(np.int32)
 
 
 def overlap(a: np.ndarray, b: np.ndarray, need: int) -> int | None:
@@ -73,8 +80,9 @@ def node_of(one: np.ndarray) -> int:
 
 
 class Join:
-    """The product's rounds over one table. A round's columns are (path, key, node, n): the path names the leaders whose
-    columns are struck out, keys are hashes cut to 40 bits, which can only add pairs to compare, n is a node's size."""
+    """The product's rounds over one table. A round's columns are (path, key, node, n, tied): the path names the leaders whose
+    columns are struck out, keys are hashes cut to 40 bits, which can only add pairs to compare, n is a node's size, and
+    tied the leaders on the path that it is linked to: nodes tied to the same one need not be compared."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, n: int):
         self.docs, self.id, self.text, self.percent, self.n = docs, id_col, text_col, percent, n
@@ -99,8 +107,8 @@ class Join:
         return map_rows(self.docs.select(self.id, self.text), row, f"`{self.id}` {kind}, n_shingles long, node long, prefix array<long>")
 
     def shared(self, rows: DataFrame) -> DataFrame:
-        """The columns of (path, node, n, prefix) that several nodes hold."""
-        every = rows.select("path", "node", "n", F.explode("prefix").alias("h")).select("path", F.shiftrightunsigned("h", 24).alias("key"), "node", "n")
+        """The columns of (path, node, n, tied, prefix) that several nodes hold."""
+        every = rows.select("path", "node", "n", "tied", F.explode("prefix").alias("h")).select("path", F.shiftrightunsigned("h", 24).alias("key"), "node", "n", "tied")
         again = every.groupBy("path", "key").agg(F.count("*").alias("m")).filter("m > 1")
         return kept(every.join(again, ["path", "key"]))
 
@@ -120,11 +128,17 @@ class Join:
     def met(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
 
-    def compare(self, pairs: DataFrame) -> DataFrame:
-        """The links (u, v) among pairs (u, nu, v, nv) that their sizes and prefixes allow."""
+    def compare(self, pairs: DataFrame, led: DataFrame | None) -> DataFrame:
+        """The links (u, v) among pairs (u, nu, v, nv) that their sizes and prefixes allow; nodes that `led` links (u, v)
+        to the same leader u, or one to the other, are left out."""
         p = self.percent
         need = F.floor((p * (F.col("nu") + F.col("nv")) + (99 + p)) / (100 + p))
         pairs = kept(pairs.filter((F.col("u") != F.col("v")) & (100 * F.least("nu", "nv") >= p * F.greatest("nu", "nv"))).select(F.least("u", "v").alias("u"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv")).distinct())
+        if led is not None:
+            ties = led.select(F.col("v").alias("node"), F.col("u").alias("tie")).unionByName(led.select(F.col("u").alias("node"), F.col("u").alias("tie")))
+            ties = kept(ties.groupBy("node").agg(F.collect_set("tie").alias("ties")))  # at most one for each column of a prefix
+            both = pairs.join(ties.select(F.col("node").alias("u"), F.col("ties").alias("tu")), "u", "left").join(ties.select(F.col("node").alias("v"), F.col("ties").alias("tv")), "v", "left")
+            pairs = kept(both.filter(~F.coalesce(F.arrays_overlap("tu", "tv"), F.lit(False))).drop("tu", "tv"))
         prefix = self.nodes.select("node", "prefix")
         both = pairs.join(prefix.select(F.col("node").alias("u"), F.col("prefix").alias("a")), "u").join(prefix.select(F.col("node").alias("v"), F.col("prefix").alias("b")), "v")
         left = F.greatest(F.col("nu") - F.size("a"), F.col("nv") - F.size("b"))  # what is missing must fit into one row's other columns
@@ -158,22 +172,23 @@ class Join:
         each next path all columns struck on it, as `struck` has them for the paths so far."""
         p, hot, times = self.percent, self.hot, self.times
         sets = self.sets(stars)
-        met = self.met(stars, sets)
+        met = self.met(stars, sets)  # with the leaders that v is tied to so far
         met = met.withColumn("c", F.lit(b"")) if struck is None else met.join(struck.select("path", F.col("columns").alias("c")), "path")
 
         def work(batch: pa.RecordBatch) -> dict:
             linked, sizes, gone, prefixes = [], [], [], []
-            for a, b, c in zip(*[batch.column(i).to_pylist() for i in (3, 4, 5)], strict=True):
+            for a, b, c in zip(*[batch.column(i).to_pylist() for i in (4, 5, 6)], strict=True):
                 a, b, c = (np.frombuffer(x, np.uint64) for x in (a, b, c))
                 linked.append(overlap(a, b, -(-p * (len(a) + len(b)) // (100 + p))) is not None)
                 left = np.setdiff1d(np.setdiff1d(b, a, assume_unique=True), c, assume_unique=True)
                 sizes.append(len(b))
                 gone.append(len(b) - len(left))
                 prefixes.append(rarest_first(left, hot, times)[: len(b) - -(-p * len(b) // 100) + 1].astype(np.int64))
-            return {"path": batch.column(0), "u": batch.column(1), "node": batch.column(2), "linked": linked, "n": sizes, "struck": gone, "prefix": prefixes}
+            return {"path": batch.column(0), "u": batch.column(1), "node": batch.column(2), "before": batch.column(3), "linked": linked, "n": sizes, "struck": gone, "prefix": prefixes}
 
         here = F.xxhash64("path", "u").alias("path")
-        done = kept(map_rows(met.select(here, "u", "v", "a", "b", "c"), work, "path long, u long, node long, linked boolean, n long, struck long, prefix array<long>"))
+        done = map_rows(met.select(here, "u", "v", "tied", "a", "b", "c"), work, "path long, u long, node long, before array<long>, linked boolean, n long, struck long, prefix array<long>")
+        done = kept(done.withColumn("tied", F.when(F.col("linked"), F.array_append("before", F.col("u"))).otherwise(F.col("before"))).drop("before"))
         led = stars.select("path", "u").distinct().join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
         led = led.withColumn("c", F.lit(b"")) if struck is None else led.join(struck.select("path", F.col("columns").alias("c")), "path")
         union = lambda b: {"path": b.column(0), "columns": [np.union1d(np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64)).tobytes() for a, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]}
@@ -182,13 +197,14 @@ class Join:
     def links(self) -> DataFrame:
         """u, v: enough links between nodes to join whatever is linked at all."""
         p = self.percent
-        columns = self.shared(self.nodes.select(F.lit(0).cast("long").alias("path"), "node", "n", "prefix"))
+        columns = self.shared(self.nodes.select(F.lit(0).cast("long").alias("path"), "node", "n", F.array().cast("array<long>").alias("tied"), "prefix"))
         struck, pairs, links = None, [], []
         while True:
             sized = columns.join(columns.groupBy("path", "key").agg(F.count("*").alias("size")), ["path", "key"])
-            few = sized.filter(F.col("size") <= SMALL).select("path", "key", "node", "n")
-            other = few.select("path", "key", F.col("node").alias("v"), F.col("n").alias("nv"))
-            some = few.join(other, ["path", "key"]).filter(F.col("node") < F.col("v")).select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv")
+            few = sized.filter(F.col("size") <= SMALL).select("path", "key", "node", "n", "tied")
+            other = few.select("path", "key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("tied").alias("tv"))
+            apart = F.lit(True) if struck is None else ~F.arrays_overlap("tied", "tv")
+            some = few.join(other, ["path", "key"]).filter((F.col("node") < F.col("v")) & apart & (100 * F.least("n", "nv") >= p * F.greatest("n", "nv"))).select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv")
             many = kept(sized.filter(F.col("size") > SMALL))
             pairs.append(self.counted(some, many) if struck is None else some)
             if many.isEmpty():
@@ -197,22 +213,23 @@ class Join:
             share = many.groupBy("path", "node").agg((F.count("*") / F.max("n")).alias("share"))
             many = many.join(share, ["path", "node"])
             leader = many.groupBy("path", "key").agg(F.max(F.struct("share", "node")).alias("leader"))
-            stars = kept(many.join(leader, ["path", "key"]).filter("node <> leader.node").select("path", F.col("leader.node").alias("u"), F.col("node").alias("v")).distinct())
+            stars = kept(many.join(leader, ["path", "key"]).filter("node <> leader.node").select("path", F.col("leader.node").alias("u"), F.col("node").alias("v"), "tied").distinct())
             rest, struck = self.strike(stars, struck)
             links.append(rest.filter("linked").select("u", F.col("node").alias("v")))
             # at sizes just at the bound, two nodes can be linked by struck columns alone without both being linked to the leader
-            near = rest.select("path", "node", "n", "linked", "struck").filter(f"struck * 100 >= {p} * n")
+            near = rest.select("path", "node", "n", "tied", "linked", "struck").filter(f"struck * 100 >= {p} * n")
             odd = near.join(near.groupBy("path").agg(F.min("n").alias("least_n")), "path").filter(~F.col("linked") & (F.col("struck") * (100 + p) >= p * (F.col("n") + F.col("least_n"))))
-            other = near.select("path", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("struck").alias("sv"))
-            pairs.append(odd.join(other, "path").filter(f"least(struck, sv) * {100 + p} >= {p} * (n + nv)").select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv"))
+            other = near.select("path", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("tied").alias("tv"), F.col("struck").alias("sv"))
+            pairs.append(odd.join(other, "path").filter(~F.arrays_overlap("tied", "tv")).filter(f"least(struck, sv) * {100 + p} >= {p} * (n + nv)").select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv"))
             columns = self.shared(rest)
         every = pairs[0]
         for more in pairs[1:]:
             every = every.unionByName(more)
-        found = self.compare(every)
+        led = None
         for more in links:
-            found = found.unionByName(more)
-        return found
+            led = more if led is None else led.unionByName(more)
+        found = self.compare(every, led)
+        return found if led is None else found.unionByName(led)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n: int = 5) -> DataFrame:
