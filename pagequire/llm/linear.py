@@ -46,8 +46,12 @@ class Rows:
         return Rows.of([self.flat[starts[i] : self.ends[i]] for i in which])
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(weights[self.flat])])
-        return total[self.ends] - total[np.concatenate([[0], self.ends[:-1]]).astype(np.int64)]
+        """The sum of each row's weights, the same wherever the row stands."""
+        starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        some, out = self.ends > starts, np.zeros(len(self.ends))
+        if some.any():
+            out[some] = np.add.reduceat(weights[self.flat].astype(np.float64), starts[some])
+        return out
 
 
 @dataclass

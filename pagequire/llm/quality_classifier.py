@@ -95,7 +95,7 @@ def co_train(known: list[View], y: np.ndarray, pool: list[View]) -> Views:
         return fit_logistic(both.rows, both.dense, np.concatenate([y[fit], given[view][more]]), steps=60, even=True)
 
     models = [fitted(0), fitted(1)]
-    for _ in range(ROUNDS if m else 0):
+    for _ in range(ROUNDS if m and n else 0):
         for view in (0, 1):
             p = sigmoid(models[view].logit(pool[view].rows, pool[view].dense))
             other = given[1 - view]
@@ -130,10 +130,10 @@ def fit_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
         return {"id": batch.column(1).take(pa.array(ok, pa.int64())), "y": batch.column(2).take(pa.array(ok, pa.int64())), "a": [a[i].tobytes() for i in ok], "dense": [dense[i].tobytes() for i in ok], "b": [b[i].tobytes() for i in ok]}
 
     some = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("__id"), F.col(id_col).cast("string").alias("__key"), *[F.col(c).alias(f"__m{i}") for i, c in enumerate(meta)]).join(F.broadcast(chosen), "__id")
-    got = map_rows(some.select("__text", "__key", "__y", *[f"__m{i}" for i in range(len(meta))]), work, "id string, y int, a binary, dense binary, b binary").toArrow().sort_by("id")
+    got = map_rows(some.select("__text", "__key", "__y", *[f"__m{i}" for i in range(len(meta))]), work, "id string, y int, a binary, dense binary, b binary").toArrow().sort_by([("id", "ascending"), ("a", "ascending")])
     y = got["y"].to_numpy()
     a, b = ([np.frombuffer(x, np.int32) for x in got[k].to_pylist()] for k in "ab")
-    dense = np.array([np.frombuffer(x) for x in got["dense"].to_pylist()]).reshape(len(a), -1)
+    dense = np.array([np.frombuffer(x) for x in got["dense"].to_pylist()]).reshape(len(a), 4)  # the columns of text_view
     both = [View.of((a, dense)), View.of((b, np.zeros((len(b), 0))))]
     known, free = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
     return co_train([v.take(known) for v in both], y[known].astype(int), [v.take(free) for v in both])
@@ -156,6 +156,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def work(batch: pa.RecordBatch) -> dict:
         cols = dict(zip(batch.schema.names, batch.columns, strict=True))
         p = sigmoid(views.logit([View.of(text_view(cols[text_col])), View.of(page_view(cols[text_col], [cols[c] for c in meta]))]))
-        return {c: cols[c] for c in names} | {"p_low": p, "kept": p < views.threshold}
+        return {c: cols[c] for c in names} | {"p_low": p, "kept": p <= views.threshold}
 
     return map_rows(docs.select(*names), work, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", p_low double, kept boolean")

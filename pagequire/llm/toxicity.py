@@ -70,7 +70,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
         return {"f": [f.tobytes() for f, x in zip(found, ok, strict=True) if x], "id": batch.column(1).filter(pa.array(ok)), "y": [bytes(v) for v, x in zip(zip(*[batch.column(2 + i).to_pylist() for i in range(n)], strict=True), ok, strict=True) if x]}
 
     some = docs.select(F.col(text_col).alias("__text"), F.col(id_col).cast("string").alias("__key"), F.col(id_col).alias("__id")).join(F.broadcast(sample), "__id")
-    got = map_rows(some.select("__text", "__key", *[f"__{i}" for i in range(n)]), work, "f binary, id string, y binary").toArrow().sort_by("id")
+    got = map_rows(some.select("__text", "__key", *[f"__{i}" for i in range(n)]), work, "f binary, id string, y binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])
     rows = Rows.of([np.frombuffer(f, np.int32) for f in got["f"].to_pylist()])
     return rows, np.array([list(y) for y in got["y"].to_pylist()], int).reshape(-1, n)
 
