@@ -62,13 +62,15 @@ def cut(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="pagequire-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; only where the session names none (as in tests), one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="pagequire-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return found or _own_folder(spark.sparkContext.applicationId)
 
 
 def kept(frame: DataFrame) -> DataFrame:

@@ -39,11 +39,13 @@ def test_cut_keeps_large_rows_alone():
     assert text.cut(np.array([0]), 10) == []
 
 
-def test_kept_uses_the_shared_folder(spark, tmp_path):
-    was = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert text.kept(spark.range(5)).count() == 5
-        assert list(tmp_path.glob("pagequire-*/*/*.parquet"))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if was is None else spark.conf.set("spark.checkpoint.dir", was)
+def test_kept_writes_a_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "shared_folder", lambda _: str(tmp_path))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert text.kept(spark.range(5)).count() == 5
+    assert list(tmp_path.glob("pagequire-*/*/*.parquet"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == was
+
+
+def test_shared_folder_without_a_setting(spark):
+    assert text.shared_folder(spark) == text.shared_folder(spark)
