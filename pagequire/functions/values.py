@@ -47,7 +47,7 @@ def natural_key(name: Column) -> Column:
 
 def size_label(length: Column) -> Column:
     """Bytes as megabytes with one decimal."""
-    return F.concat(F.format_number(F.bround(length / 1048576, 1), "0.0"), F.lit(" MB"))
+    return F.format_string("%.1f MB", F.bround(length / 1048576, 1))
 
 
 def version_key(version: Column) -> Column:
