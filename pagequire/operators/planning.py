@@ -85,7 +85,7 @@ def balanced_slots(slots: DataFrame, boxes: DataFrame, minimum_gap: int) -> Data
     least `minimum_gap` apart; a page whose slots cannot all be placed has none."""
 
     def place(key, page: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"page_key": [], "slot_id": [], "x": [], "y": []})
+        empty = pd.DataFrame({"page_key": page.page_key[:0], "slot_id": page.slot_id[:0], "x": page.x[:0].astype("int64"), "y": pd.Series([], dtype="int64")})
         if not len(page):
             return empty
         page = page.sort_values("ord")
