@@ -27,7 +27,7 @@ from .text import kept, map_rows, shingle_sets
 #: They only steer which columns are rare; any list gives the same links.
 FREQUENT = 1 << 20
 #: Columns with at most so many nodes give all their pairs at once, at most half as many as nodes times this.
-SMALL = 16
+SMALL = 32
 #: Blocks of columns in the final product.
 BLOCKS = 8
 
@@ -115,14 +115,14 @@ class Join:
     def sets(self, pairs: DataFrame) -> DataFrame:
         """node and set (binary) of the nodes u and v of the pairs, from their texts."""
         wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        wanted = self.nodes.select("node", "id").join(wanted, "node").select("id").distinct()
+        wanted = self.nodes.select("node", "id").join(wanted, "node").select(F.col("id").alias("wanted")).distinct()
         n = self.n
 
         def pack(batch: pa.RecordBatch) -> dict:
             found = [s for s in shingle_sets(batch.column(0), n) if len(s)]
             return {"node": [node_of(s) for s in found], "set": [s.tobytes() for s in found]}
 
-        texts = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+        texts = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").dropDuplicates(["id", "text"])
         return kept(map_rows(texts.select("text"), pack, "node long, set binary"))
 
     def met(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -237,7 +237,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are lower-cased in A-Z. A set holds the n-word shingles, or the whole sequence of a shorter text; two rows are
     linked when 100 * intersection >= percent * union. Null, empty and word-less texts have 0 shingles and are a class of
-    their own, their id; equal sets are always linked; rows that repeat an id keep one row each. An empty table gives no
+    their own, their id; equal sets are always linked; rows that repeat an id keep one row each; a null id is no smallest
+    id, and stays null where the class has no other. An empty table gives no
     rows; other columns are not read. Shingles are 64-bit hashes.
     """
     join = Join(docs, id_col, text_col, percent, n)

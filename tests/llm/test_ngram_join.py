@@ -67,8 +67,8 @@ def test_classes_equal_brute_force(spark, table, monkeypatch, small):
 
 def test_repeated_ids_long_texts_and_empty_tables(spark, table):
     long = " ".join(f"v{i}" for i in range(50000))
-    out = jaccard_classes(table([(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words stand in this one"), (2, "a b c d e f g"), (5, long), (4, long + " end"), (9, None)])).collect()
-    assert len(out) == 7 and {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (4, 4), (5, 4), (9, 9)}
+    out = jaccard_classes(table([(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words stand in this one"), (2, "a b c d e f g"), (5, long), (4, long + " end"), (9, None), (None, long + " final end"), (None, "on its own")])).collect()
+    assert len(out) == 9 and {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (4, 4), (5, 4), (9, 9), (None, 4), (None, None)}
     assert jaccard_classes(table([(1, "x")]).limit(0)).count() == 0
     assert {(r.doc_id, r.component_id) for r in jaccard_classes(table([(3, "")])).collect()} == {(3, 3)}
 
