@@ -26,7 +26,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of the Jaccard join; of rows with one id, one stays."""
+    """The document with the smallest id of each class of the Jaccard join; of rows with one id, one stays. Rows
+    without an id go."""
     first = jaccard_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
@@ -40,7 +41,7 @@ def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them: each once, and half as many words again by repetition, shared out
-    by the square roots of the sources' sizes, so that small sources gain; no document is read more than twice."""
+    by the square roots of the sources' sizes, so that small sources gain; no document is read more than twice. Rows without an id go."""
     sizes = kept(text_sizes(docs, ["doc_id", "source"], "text", "size"))
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()  # one row per source
     total = {"-" if r.source is None else f"={r.source}": r.n for r in by_source}
@@ -48,7 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     more = shares(total, weights, 0.5 * sum(total.values()), 1)
     source = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))
     taken = mix(sizes.withColumn("source_key", source), "doc_id", "size", F.array("source_key"), {s: n + round(more[s]) for s, n in total.items()}, 2, 0)
-    taken = taken.filter("copies > 0").select("doc_id", "copies")
+    taken = taken.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))  # rows that repeat an id go alike
     copies = docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
     return copies.select(*docs.columns)
 
