@@ -36,7 +36,7 @@ class Rows:
 
     @classmethod
     def of(cls, lists: list[np.ndarray]) -> Rows:
-        return cls(np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64), np.cumsum([len(x) for x in lists], dtype=np.int64))
+        return cls(np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32, copy=False), np.cumsum([len(x) for x in lists], dtype=np.int64))
 
     def __len__(self) -> int:
         return len(self.ends)
@@ -82,23 +82,30 @@ def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, dims: int = 1 <<
     if not len(y) or y.min() == y.max():
         return Logistic(np.zeros(dims), np.zeros(dense.shape[1]), 0.0 if not len(y) else (8.0 if y[0] else -8.0), even)
     n = np.diff(np.concatenate([[0], rows.ends]))
-    row = np.repeat(np.arange(len(rows)), n)
-    up = np.bincount(rows.flat, y[row], dims)
-    down = np.bincount(rows.flat, minlength=dims) - up
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+    less = evened(rows, even)
+    # features of one row alone say nothing about another
+    keep = np.bincount(rows.flat, minlength=dims)[rows.flat] > 1
+    flat, row = rows.flat[keep], row[keep]
+    ends = np.cumsum(np.bincount(row, minlength=len(rows)))
+    starts = np.concatenate([[0], ends[:-1]])
+    up = np.bincount(flat, y[row], dims)
+    down = np.bincount(flat, minlength=dims) - up
     alpha = 0.5
     ratio = np.log((up + alpha) / (y.sum() + 2 * alpha)) - np.log((down + alpha) / ((1 - y).sum() + 2 * alpha))
     # a feature of few rows says little: its ratio shrinks with the rows that have it
     ratio *= (up + down) / (up + down + 3.0)
-    used = np.unique(rows.flat)
-    place = np.searchsorted(used, rows.flat)
+    used = np.flatnonzero(up + down)
+    place = np.searchsorted(used, flat)
+    del flat, keep
     scale = ratio[used]
-    less = evened(rows, even)
     w, d, b = np.full(len(used), 0.05), np.zeros(dense.shape[1]), np.log(y.mean() / (1 - y.mean()))
     m = [np.zeros_like(w), np.zeros_like(d), 0.0]
     v = [np.zeros_like(w), np.zeros_like(d), 0.0]
     for t in range(1, steps + 1):
         total = np.concatenate([[0.0], np.cumsum((w * scale)[place])])
-        z = (total[rows.ends] - total[np.concatenate([[0], rows.ends[:-1]]).astype(np.int64)]) / less + dense @ d + b
+        z = (total[ends] - total[starts]) / less + dense @ d + b
+        del total
         g = (sigmoid(z) - y) / len(y)
         grads = [np.bincount(place, (g / less)[row], len(used)) * scale + ridge * w / len(y), dense.T @ g + ridge * d / len(y), g.sum()]
         for i, x in enumerate(grads):

@@ -136,6 +136,7 @@ def fit_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     dense = np.array([np.frombuffer(x) for x in got["dense"].to_pylist()]).reshape(len(a), 4)  # the columns of text_view
     both = [View.of((a, dense)), View.of((b, np.zeros((len(b), 0))))]
     known, free = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    del got, a, b
     return co_train([v.take(known) for v in both], y[known].astype(int), [v.take(free) for v in both])
 
 
