@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 Texts are cut into sentences; every run of several consecutive sentences is hashed and joined with all other runs. The
-first place of a repeated run, by id and position, keeps its sentences; sentences that any other place covers go.
+first place of a repeated run, by id and position, keeps its sentences; sentences that any other place covers go. Runs
+of any number of short sentences meet by the shortest that reach WHOLE words, from each start and to each end.
 """
 
 from __future__ import annotations
@@ -14,14 +15,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BASE, byte_texts, kept, map_rows, mix64
+from .text import BASE, byte_texts, kept, map_rows, mix64, powers
 
 #: A sentence ends at a line's end, or at marks followed by white space.
 END = re.compile(rb"\n|[.!?]+[ \t\n\x0b\x0c\r]+")
-#: Sentences of a run, and the words it needs: shorter runs must hold a whole passage.
-RUNS = {1: 50, 2: 50, 3: 15}
+#: Words of a whole passage.
+WHOLE = 50
+#: Sentences of a run, and the words it needs: all runs but those of 3 sentences must hold a whole passage. Every sentence
+#: has a word, so no shortest run that holds one is longer.
+RUNS = {n: 15 if n == 3 else WHOLE for n in range(1, WHOLE + 1)}
 #: Longer sentences, as in texts without marks, are cut further behind about every 16th word, chosen by the word itself.
 LONG_WORDS = 60
+#: Over the sentences of any run.
+SPAN = 64
 
 
 def sentences(text: bytes) -> list[tuple[int, int, int, int]]:
@@ -52,8 +58,24 @@ def sentences(text: bytes) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def long_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs with WHOLE words from each sentence and back from each sentence, of over 3
+    sentences. A repeated run of WHOLE words is the union of such runs. Those whose runs of 3 sentences all count go: the
+    runs of 3 cover them."""
+    n, before = len(words), np.concatenate([[0], np.cumsum(words)])
+    ends = np.searchsorted(before, before[:-1] + WHOLE)
+    starts = np.searchsorted(before, before[1:] - WHOLE, "right") - 1
+    first, last = np.flatnonzero(ends <= n), np.flatnonzero(before[1:] >= WHOLE)
+    both = np.unique(np.concatenate([first * (n + 1) + ends[first], starts[last] * (n + 1) + last + 1]))
+    lo, hi = both // (n + 1), both % (n + 1)
+    lo, hi = lo[hi - lo > 3], hi[hi - lo > 3]
+    few = np.concatenate([[0], np.cumsum(before[3:] - before[:-3] < RUNS[3])])
+    uneven = few[hi - 2] > few[lo]
+    return lo[uneven], hi[uneven]
+
+
 def runs(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of a text, and for each run its first sentence times 4 plus its number of sentences."""
+    """Hashes of the runs of a text, and for each run its first sentence times SPAN plus its number of sentences."""
     found = sentences(text) if text else []
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -61,19 +83,22 @@ def runs(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     one = np.array([s[3] for s in found], np.uint64)
     hashes, places = [], []
     rolled, total = one, words
-    for n in range(1, max(RUNS) + 1):
+    for n in range(1, 4):
         if n > 1:
             rolled = rolled[: max(0, len(one) - n + 1)] * BASE + one[n - 1 :]
             total = total[: max(0, len(one) - n + 1)] + words[n - 1 :]
-        if n in RUNS:
-            at = np.flatnonzero(total >= RUNS[n])
-            hashes.append(mix64(rolled[at] + np.uint64(n)).astype(np.int64))
-            places.append(at * 4 + n)
+        at = np.flatnonzero(total >= RUNS[n])
+        hashes.append(mix64(rolled[at] + np.uint64(n)).astype(np.int64))
+        places.append(at * SPAN + n)
+    if len(one) > 3:
+        for lo, hi in zip(*(x.tolist() for x in long_runs(words)), strict=True):
+            hashes.append(mix64(np.sum(one[lo:hi] * powers(SPAN)[0][: hi - lo], keepdims=True) + np.uint64(hi - lo)).astype(np.int64))
+            places.append(np.array([lo * SPAN + hi - lo]))
     return np.concatenate(hashes), np.concatenate(places)
 
 
 def covered_sentences(places: list[int]) -> set[int]:
-    return {s for p in places for s in range(p // 4, p // 4 + p % 4)}
+    return {s for p in places for s in range(p // SPAN, p // SPAN + p % SPAN)}
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,10 +121,10 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = map_rows(docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col), hashed, f"id {kind}, h array<long>, at array<long>")
-    spans = kept(found.select("id", F.explode(F.arrays_zip("h", "at")).alias("s")).select("id", F.col("s.h").alias("h"), F.col("s.at").cast("int").alias("at")))
+    spans = kept(found.select("id", F.explode(F.arrays_zip("h", "at")).alias("s")).select("id", F.col("s.h").alias("h"), F.col("s.at").alias("at")))
     first = spans.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     hits = spans.join(first, "h").filter(F.struct("id", "at") != F.col("first")).select("id", "at", F.col("first.id").alias("first_id"))
-    # a document has at most as many runs as sentences times the run lengths
+    # a document has at most five runs for each sentence
     gone = hits.groupBy("id").agg(F.collect_set("at").alias("__places"), F.collect_set("first_id").alias("__first"))
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed", "first_ids")]
     joined = docs.select(*names).join(kept(gone).withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
