@@ -2,7 +2,10 @@
 
 Texts are cut into sentences; every run of several consecutive sentences is hashed and joined with all other runs. The
 first place of a repeated run, by id and position, keeps its sentences; sentences that any other place covers go. Runs
-of any number of short sentences meet by the shortest that reach WHOLE words, from each start and to each end.
+of any number of short sentences meet by the shortest that reach WHOLE words, from each start and to each end. Passages
+whose edges lie inside sentences meet by windows of WINDOW words, wherever sentences end: a window starts at the word of
+the smallest hash of any STARTS words in a row, so that equal stretches have the same windows, and every stretch of
+WINDOW + STARTS - 1 words has one.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BASE, byte_texts, kept, map_rows, mix64, powers
+from .text import BASE, byte_texts, kept, map_rows, mix64, powers, word_hashes
 
 #: A sentence ends at a line's end, or at marks followed by white space.
 END = re.compile(rb"\n|[.!?]+[ \t\n\x0b\x0c\r]+")
@@ -26,6 +29,9 @@ WHOLE = 50
 RUNS = {n: 15 if n == 3 else WHOLE for n in range(1, WHOLE + 1)}
 #: Longer sentences, as in texts without marks, are cut further behind about every 16th word, chosen by the word itself.
 LONG_WORDS = 60
+WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
+#: Words of a window, a power of 2, and the words of which one starts a window at least.
+WINDOW, STARTS = 32, 12
 #: Over the sentences of any run.
 SPAN = 64
 
@@ -97,24 +103,66 @@ def runs(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def covered_sentences(places: list[int]) -> set[int]:
-    return {s for p in places for s in range(p // SPAN, p // SPAN + p % SPAN)}
+def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of a text, given its words' hashes, and for each its first word times SPAN."""
+    if len(words) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    picked = np.lib.stride_tricks.sliding_window_view(words, STARTS).argmin(1) + np.arange(len(words) - STARTS + 1)
+    at = picked[np.r_[True, picked[1:] != picked[:-1]]]  # picks never go back
+    at = at[at <= len(words) - WINDOW]
+    rolled, n = words, 1
+    while n < WINDOW:
+        rolled = rolled[:-n] * np.uint64(pow(int(BASE), n, 1 << 64)) + rolled[n:]
+        n *= 2
+    return mix64(rolled[at] + np.uint64(SPAN)).astype(np.int64), at * SPAN
+
+
+def without(text: bytes, cut: list[tuple[int, int, int, int]], places: list[int]) -> tuple[bytes, list[int]]:
+    """The text without what the places cover, and the sentences that lose words. White space goes with the words before
+    it; of a sentence that keeps words, its end stays."""
+    words = [m.span() for m in WORD.finditer(text)]
+    firsts = np.concatenate([[0], np.cumsum([s[2] for s in cut])])
+    gone = np.zeros(len(words), bool)
+    for p in places:
+        if n := p % SPAN:
+            gone[firsts[p // SPAN] : firsts[p // SPAN + n]] = True
+        else:
+            gone[p // SPAN : p // SPAN + WINDOW] = True
+    if gone.all():
+        return b"", list(range(len(cut)))
+    lost, out = [], [text[: cut[0][0]]]
+    for i, (start, end, *_) in enumerate(cut):
+        some = gone[firsts[i] : firsts[i + 1]]
+        if not some.any():
+            out.append(text[start:end])
+            continue
+        lost.append(i)
+        if some.all():
+            continue
+        own, at = words[firsts[i] : firsts[i + 1]], start
+        for k in np.flatnonzero(some).tolist():
+            if at < own[k][0]:
+                out.append(text[at : own[k][0]])
+            at = own[k + 1][0] if k + 1 < len(own) else own[k][1]
+        out.append(text[at:end])
+    return b"".join(out), lost
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return all columns of the table with the text after removal, and n_sentences, n_removed, removed (the sentences'
-    numbers from 0) and first_ids (the ids that keep them).
+    """Return all columns of the table with the text after removal, and n_sentences, n_removed, removed (the numbers
+    from 0 of the sentences that lose words) and first_ids (the ids that keep them).
 
     Null texts stay null and word-less ones as they are, with 0 sentences; a text that is covered wholly becomes empty. Of
     equal runs the one with the smallest id, then position, is first; ties of id and position, as between repeated rows,
-    are the same place. Rows that share an id are one document: what goes at a position goes in each. Texts differ in
+    are the same place. A window may take some words of a sentence and leave others. Rows that share an id are one document: what goes at a position goes in each. Texts differ in
     runs only by words, lower-cased in A-Z. Rows with a null id are left as they are. Columns named n_sentences, n_removed,
     removed or first_ids are replaced; tables without rows give none. Runs are combined before the shuffle, so that a
     passage held by a third of all rows is one row per task.
     """
 
     def hashed(batch: pa.RecordBatch) -> dict:
-        found = [runs(t) for t in byte_texts(batch.column(1))]
+        words, counts = word_hashes(batch.column(1))
+        found = [tuple(np.concatenate(x) for x in zip(runs(t), windows(words[end - n : end]), strict=True)) for t, end, n in zip(byte_texts(batch.column(1)), np.cumsum(counts).tolist(), counts.tolist(), strict=True)]
         ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h, _ in found])]), pa.int32())
         flat = [np.concatenate([x[k] for x in found]) for k in (0, 1)]
         return {"id": batch.column(0), "h": pa.ListArray.from_arrays(ends, pa.array(flat[0])), "at": pa.ListArray.from_arrays(ends, pa.array(flat[1]))}
@@ -124,7 +172,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spans = kept(found.select("id", F.explode(F.arrays_zip("h", "at")).alias("s")).select("id", F.col("s.h").alias("h"), F.col("s.at").alias("at")))
     first = spans.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     hits = spans.join(first, "h").filter(F.struct("id", "at") != F.col("first")).select("id", "at", F.col("first.id").alias("first_id"))
-    # a document has at most five runs for each sentence
+    # a document has at most five runs for each sentence and a window for each word
     gone = hits.groupBy("id").agg(F.collect_set("at").alias("__places"), F.collect_set("first_id").alias("__first"))
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed", "first_ids")]
     joined = docs.select(*names).join(kept(gone).withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
@@ -134,14 +182,10 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         texts, sizes, lost = [], [], []
         for text, places in zip(byte_texts(cols[text_col]), cols["__places"].to_pylist(), strict=True):
             cut = sentences(text) if text else []
-            out = covered_sentences(places or ()) & set(range(len(cut)))
-            if out:
-                text = text[: cut[0][0]] + b"".join(text[s[0] : s[1]] for i, s in enumerate(cut) if i not in out)
-                if len(out) == len(cut):
-                    text = b""
+            text, out = without(text, cut, places) if cut and places else (text, [])
             texts.append(text)
             sizes.append(len(cut))
-            lost.append(sorted(out))
+            lost.append(out)
         new = pa.array(texts, pa.binary()).cast(pa.string())
         return {c: cols[c] for c in names} | {text_col: new, "n_sentences": sizes, "n_removed": [len(x) for x in lost], "removed": lost, "first_ids": cols["__first"]}
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from pagequire.llm.span_dedup import dedup_spans, long_runs
+from pagequire.llm.span_dedup import dedup_spans, long_runs, windows
 
 
 def test_passages_of_short_lines_go(spark, table):
@@ -26,3 +26,50 @@ def test_long_runs_cover_all_repeated_runs():
                 got = {s for x, y in zip(lo, hi, strict=True) if a <= x and y <= b for s in range(x, y)}
                 got |= {s for i in range(a, b) for n in (1, 2, 3) if i + n <= b and words[i : i + n].sum() >= (15 if n == 3 else 50) for s in range(i, i + n)}
                 assert got == set(range(a, b))
+
+
+def fresh(r, n):
+    return ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def marked(r, words):
+    """Words with marks behind some of them, so that sentences have any length."""
+    return [w + r.choice([".", "!\n", ",", "", "", ""]) for w in words]
+
+
+def test_passages_planted_inside_sentences_and_lines_go(spark, table):
+    """25* + 30 + 20* words, 55 words without marks on a line of their own and inside a long line, and any others of 51
+    to 75: all but 11 words at the head and 12 at the tail go at least, and no word outside."""
+    r = random.Random(11)
+    edges = fresh(r, 75)
+    edges[24] += "."
+    edges[54] += "."
+    bare = fresh(r, 55)
+    planted = [(edges, " "), (bare, "\n"), *((marked(r, fresh(r, r.randrange(51, 76))), " ") for _ in range(40))]
+    rows = []
+    for i, (passage, gap) in enumerate(planted):
+        rows.append((2 * i, " ".join(fresh(r, 9)) + gap + " ".join(passage) + gap + " ".join(fresh(r, 9))))
+        rows.append((2 * i + 1, " ".join(fresh(r, 40)) + " " + " ".join(passage) + " " + " ".join(fresh(r, 30))))
+    out = {x.doc_id: x for x in dedup_spans(table(rows)).collect()}
+    for i, (passage, _) in enumerate(planted):
+        assert out[2 * i].text == rows[2 * i][1] and out[2 * i].n_removed == 0
+        before, after = rows[2 * i + 1][1].split(), out[2 * i + 1].text.split()
+        assert len(passage) - 23 <= len(before) - len(after) <= len(passage) and out[2 * i + 1].first_ids == [2 * i]
+        assert after[:40] == before[:40] and after[-30:] == before[-30:]
+
+
+def test_every_stretch_has_the_same_windows_anywhere():
+    r = np.random.default_rng(2)
+    for n in (43, 51, 80):
+        shared = r.integers(0, 1 << 63, n).astype(np.uint64)
+        h = [set(windows(np.concatenate([r.integers(0, 1 << 63, a).astype(np.uint64), shared, r.integers(0, 1 << 63, b).astype(np.uint64)]))[0].tolist()) for a, b in ((0, 0), (7, 90), (300, 1), (50, 50))]
+        assert h[0] & h[1] & h[2] & h[3]
+
+
+def test_what_stays_keeps_its_line_ends(spark, table):
+    r = random.Random(4)
+    shared = " ".join(fresh(r, 60))
+    rows = [(1, shared), (2, f"keep this {shared}\nnext line"), (3, "same " * 400), (4, None)]
+    out = {x.doc_id: x for x in dedup_spans(table(rows)).collect()}
+    assert out[2].text.startswith("keep this ") and out[2].text.endswith("\nnext line") and 0 < out[2].n_removed < out[2].n_sentences
+    assert set(out[3].text.split()) == {"same"} and out[4].text is None
