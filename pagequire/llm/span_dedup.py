@@ -3,8 +3,8 @@
 Texts are cut into sentences; every run of several consecutive sentences is hashed and joined with all other runs. The
 first place of a repeated run, by id and position, keeps its sentences; sentences that any other place covers go. Runs
 of any number of short sentences meet by the shortest that reach WHOLE words, from each start and to each end. Passages
-whose edges lie inside sentences meet by windows of WINDOW words, wherever sentences end: a window starts at the word of
-the smallest hash of any STARTS words in a row, so that equal stretches have the same windows, and every stretch of
+whose edges lie inside sentences meet by windows of WINDOW words, wherever sentences end: of any STARTS windows in a
+row the one with the smallest hash is taken, so that equal stretches have the same windows, and every stretch of
 WINDOW + STARTS - 1 words has one.
 """
 
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BASE, byte_texts, kept, map_rows, mix64, powers, word_hashes
+from .text import BASE, SPACES, byte_texts, kept, map_rows, mix64, powers, word_hashes
 
 #: A sentence ends at a line's end, or at marks followed by white space.
 END = re.compile(rb"\n|[.!?]+[ \t\n\x0b\x0c\r]+")
@@ -29,9 +29,8 @@ WHOLE = 50
 RUNS = {n: 15 if n == 3 else WHOLE for n in range(1, WHOLE + 1)}
 #: Longer sentences, as in texts without marks, are cut further behind about every 16th word, chosen by the word itself.
 LONG_WORDS = 60
-WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
-#: Words of a window, a power of 2, and the words of which one starts a window at least.
-WINDOW, STARTS = 32, 12
+#: Words of a window, and the words of which one starts a window at least; powers of 2.
+WINDOW, STARTS = 32, 16
 #: Over the sentences of any run.
 SPAN = 64
 
@@ -105,46 +104,53 @@ def runs(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of a text, given its words' hashes, and for each its first word times SPAN."""
-    if len(words) < WINDOW:
+    if len(words) < WINDOW + STARTS - 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    picked = np.lib.stride_tricks.sliding_window_view(words, STARTS).argmin(1) + np.arange(len(words) - STARTS + 1)
-    at = picked[np.r_[True, picked[1:] != picked[:-1]]]  # picks never go back
-    at = at[at <= len(words) - WINDOW]
     rolled, n = words, 1
     while n < WINDOW:
         rolled = rolled[:-n] * np.uint64(pow(int(BASE), n, 1 << 64)) + rolled[n:]
         n *= 2
+    least, n = rolled, 1
+    while n < STARTS:
+        least = np.minimum(least[:-n], least[n:])
+        n *= 2
+    edge, n = np.zeros(STARTS - 1, np.uint64), 1
+    least = np.concatenate([edge, least, edge])
+    while n < STARTS:
+        least = np.maximum(least[:-n], least[n:])
+        n *= 2
+    at = np.flatnonzero(least == rolled)  # the smallest of some STARTS in a row
     return mix64(rolled[at] + np.uint64(SPAN)).astype(np.int64), at * SPAN
 
 
 def without(text: bytes, cut: list[tuple[int, int, int, int]], places: list[int]) -> tuple[bytes, list[int]]:
     """The text without what the places cover, and the sentences that lose words. White space goes with the words before
-    it; of a sentence that keeps words, its end stays."""
-    words = [m.span() for m in WORD.finditer(text)]
+    it; of a sentence that keeps words, its end stays. Places beyond the text, of other rows of the id, cover nothing."""
+    edges = np.diff(np.concatenate([[True], np.isin(np.frombuffer(text, np.uint8), list(SPACES)), [True]]).astype(np.int8))
+    starts, stops = np.flatnonzero(edges == -1).tolist(), np.flatnonzero(edges == 1).tolist()
     firsts = np.concatenate([[0], np.cumsum([s[2] for s in cut])])
-    gone = np.zeros(len(words), bool)
-    for p in places:
-        if n := p % SPAN:
-            gone[firsts[p // SPAN] : firsts[p // SPAN + n]] = True
-        else:
-            gone[p // SPAN : p // SPAN + WINDOW] = True
+    at, n = np.divmod(np.array(places, np.int64), SPAN)
+    lo = np.minimum(np.where(n > 0, firsts[np.minimum(at, len(cut))], at), len(starts))
+    hi = np.minimum(np.where(n > 0, firsts[np.minimum(at + n, len(cut))], at + WINDOW), len(starts))
+    gone = np.cumsum(np.bincount(lo, minlength=len(starts) + 1) - np.bincount(hi, minlength=len(starts) + 1))[:-1] > 0
+    so_far = np.concatenate([[0], np.cumsum(gone)])
+    less = np.diff(so_far[firsts])
+    lost = np.flatnonzero(less).tolist()
     if gone.all():
-        return b"", list(range(len(cut)))
-    lost, out = [], [text[: cut[0][0]]]
-    for i, (start, end, *_) in enumerate(cut):
-        some = gone[firsts[i] : firsts[i + 1]]
-        if not some.any():
-            out.append(text[start:end])
-            continue
-        lost.append(i)
-        if some.all():
-            continue
-        own, at = words[firsts[i] : firsts[i + 1]], start
-        for k in np.flatnonzero(some).tolist():
-            if at < own[k][0]:
-                out.append(text[at : own[k][0]])
-            at = own[k + 1][0] if k + 1 < len(own) else own[k][1]
-        out.append(text[at:end])
+        return b"", lost
+    out, done = [], 0
+    for i in lost:
+        start, end, size, _ = cut[i]
+        out.append(text[done:start])
+        if less[i] < size:
+            done, last = start, int(firsts[i + 1])
+            for k in (np.flatnonzero(gone[firsts[i] : last]) + firsts[i]).tolist():
+                if done < starts[k]:
+                    out.append(text[done : starts[k]])
+                done = starts[k + 1] if k + 1 < last else stops[k]
+            out.append(text[done:end])
+        done = end
+    out.append(text[done:])
     return b"".join(out), lost
 
 
