@@ -96,9 +96,11 @@ def runs(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         hashes.append(mix64(rolled[at] + np.uint64(n)).astype(np.int64))
         places.append(at * SPAN + n)
     if len(one) > 3:
-        for lo, hi in zip(*(x.tolist() for x in long_runs(words)), strict=True):
-            hashes.append(mix64(np.sum(one[lo:hi] * powers(SPAN)[0][: hi - lo], keepdims=True) + np.uint64(hi - lo)).astype(np.int64))
-            places.append(np.array([lo * SPAN + hi - lo]))
+        lo, hi = long_runs(words)
+        up, down = powers(1 << max(20, (len(one) - 1).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * up[: len(one)], dtype=np.uint64)])
+        hashes.append(mix64((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)).astype(np.int64))
+        places.append(lo * SPAN + hi - lo)
     return np.concatenate(hashes), np.concatenate(places)
 
 
