@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.values import floor_div
+
 
 def offsets(pages: DataFrame, chapter: str = "chapter_id", order: str = "ord", placed: Column | None = None) -> DataFrame:
     """Pages with y, the heights before them, and x, centred in the widest page. `placed`: pages that take up room."""
@@ -26,11 +28,15 @@ def tallest_by_width(pages: DataFrame, chapter: str = "chapter_id") -> DataFrame
     return pages.groupBy(chapter, "width").agg(F.max("height").alias("tallest"))
 
 
-def intersecting(placed: DataFrame, ranges: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+def intersecting(placed: DataFrame, ranges: DataFrame, chapter: str = "chapter_id", cell: int = 4096) -> DataFrame:
     """Placed pages with the ranges (range_id, top, bottom) of their chapter that they meet; a range without length
-    meets none."""
-    over = (F.col("y") < F.col("bottom")) & (F.col("y") + F.col("height") > F.col("top")) & (F.col("bottom") > F.col("top"))
-    return ranges.join(placed, chapter).filter(over)
+    meets none. Pages and ranges meet by cells of y, and a pair is taken in the first cell that both lie in."""
+    cells = lambda start, end: F.explode(F.sequence(floor_div(start, F.lit(cell)), floor_div(F.greatest(start, end), F.lit(cell))))
+    over = (F.col("y") < F.col("bottom")) & (F.col("y") + F.col("height") > F.col("top"))
+    spread = ranges.filter("bottom > top").withColumn("__cell", cells(F.col("top"), F.col("bottom")))
+    pages = placed.withColumn("__cell", cells(F.col("y"), F.col("y") + F.col("height")))
+    first = F.col("__cell") == floor_div(F.greatest("y", "top"), F.lit(cell))
+    return spread.join(pages, [chapter, "__cell"]).filter(over & first).drop("__cell")
 
 
 def page_at(placed: DataFrame, points: DataFrame, chapter: str = "chapter_id", order: str = "ord") -> DataFrame:
@@ -49,6 +55,12 @@ def neighbours(pages: DataFrame, active: Column, radius: int, order: str = "ord"
     return pages.filter(F.abs(F.col(order) - active) <= radius)
 
 
+def neighbours_of_all(pages: DataFrame, radius: int, order: str = "ord") -> DataFrame:
+    """The neighbours of every page, with its place as `active`. Whole-number places meet by equality."""
+    active = pages.select(F.col(order).alias("active")).withColumn(order, F.explode(F.sequence(F.col("active") - radius, F.col("active") + radius)))
+    return pages.join(active, order)
+
+
 def recent_context(pairs: DataFrame, page: Column, order: list[str], group: str, most: int = 40, chars: int = 5000) -> DataFrame:
     """Per group the last `most` source and target pairs of pages before the given one, joined, its last characters."""
     turn = W.partitionBy(group).orderBy(*[F.desc(c) for c in order])

@@ -88,6 +88,11 @@ def j24_free_rows(t: Tables) -> DataFrame:
     return boxes.free_rows(_slots(t), some).select("slot_id", "start", "end")
 
 
+@query()
+def j24_free_rows_of_all(t: Tables) -> DataFrame:
+    return boxes.free_rows(_slots(t), t.boxes()).select("slot_id", "start", "end")
+
+
 def _slots(t: Tables) -> DataFrame:
     k = F.col("page_key")
     return t.boxes().select("page_key").distinct().select(k, k.alias("slot_id"), F.lit(0).alias("ord"), (k * 97 % 700).cast("int").alias("x"), F.lit(0).alias("low"), F.lit(1940).alias("high"), F.lit(40).alias("mark_width"), F.lit(60).alias("mark_height"), F.lit(970.0).alias("ideal"))
@@ -98,6 +103,11 @@ def g11_balanced_slots(t: Tables) -> DataFrame:
     return planning.balanced_slots(_slots(t), t.boxes().filter("idx % 10 = 0"), 100)
 
 
+@query()
+def g11_balanced_slots_of_all(t: Tables) -> DataFrame:
+    return planning.balanced_slots(_slots(t), t.boxes(), 100)
+
+
 PLACED = f"{STRIPS}, placed_ AS (SELECT *, coalesce(sum(height) OVER (PARTITION BY chapter_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS y, (max(width) OVER (PARTITION BY chapter_id) - width) // 2 AS x FROM strips_)"
 
 
@@ -128,6 +138,15 @@ def j16_intersecting(t: Tables) -> DataFrame:
     return strips.intersecting(strips.offsets(t.strip_pages()), ranges).select("range_id", "page_key")
 
 
+@query()
+def j16_intersecting_all(t: Tables) -> DataFrame:
+    """Every document as a range, spread over the whole of its strip."""
+    k, placed = F.col("doc_id"), strips.offsets(t.strip_pages())
+    whole = strips.strip_size(t.strip_pages()).select("chapter_id", F.col("height").alias("__size"))
+    ranges = t.documents.select(k.alias("range_id"), F.col("source").alias("chapter_id"), "doc_id").join(whole, "chapter_id").withColumn("top", k * 7919 % F.greatest("__size", F.lit(1)))
+    return strips.intersecting(placed, ranges.select("range_id", "chapter_id", "top", (F.col("top") + 800).alias("bottom"))).select("range_id", "page_key")
+
+
 @query(f"""WITH {PLACED}, q AS (SELECT doc_id AS point_id, source AS chapter_id, (doc_id * 17 % 300000 - 500)::DOUBLE AS place FROM documents), h AS (SELECT * FROM placed_ WHERE height > 0)
 SELECT point_id, coalesce(arg_max(page_key, y) FILTER (WHERE y <= place), arg_min(page_key, y)) AS page_key FROM q JOIN h USING (chapter_id) GROUP BY point_id""")
 def j17_page_at(t: Tables) -> DataFrame:
@@ -140,6 +159,11 @@ def w10_neighbours(t: Tables) -> DataFrame:
     return strips.neighbours(t.documents, F.lit(100), 7, "doc_id").select("doc_id")
 
 
+@query("SELECT a.doc_id AS active_id, b.doc_id FROM documents a JOIN documents b ON b.doc_id BETWEEN a.doc_id - 7 AND a.doc_id + 7")
+def w10_neighbours_of_all(t: Tables) -> DataFrame:
+    return strips.neighbours_of_all(t.documents.select("doc_id"), 7, "doc_id").select(F.col("active").alias("active_id"), "doc_id")
+
+
 @query("""WITH l AS (SELECT conv_id, turn, left(text, 20) AS s, role AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE turn < 5 AND text <> '' AND role <> '')
 SELECT conv_id, right(string_agg(s || ' → ' || g, chr(10) ORDER BY turn), 5000) AS context FROM l WHERE n <= 40 GROUP BY conv_id""")
 def w7_recent_context(t: Tables) -> DataFrame:
@@ -147,6 +171,13 @@ def w7_recent_context(t: Tables) -> DataFrame:
     return strips.recent_context(pairs, F.lit(5), ["page_ord"], "conv_id")
 
 
+@query("""WITH l AS (SELECT conv_id, turn, text AS s, role AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE turn < 5 AND text <> '' AND role <> '')
+SELECT conv_id, right(string_agg(s || ' → ' || g, chr(10) ORDER BY turn), 5000) AS context FROM l WHERE n <= 40 GROUP BY conv_id""")
+def w7_recent_context_of_whole_texts(t: Tables) -> DataFrame:
+    pairs = t.conversations.select("conv_id", F.col("turn").alias("page_ord"), F.col("text").alias("source"), F.col("role").alias("target"))
+    return strips.recent_context(pairs, F.lit(5), ["page_ord"], "conv_id")
+
+
 @query(f"""WITH {BOXES}, g AS (SELECT page_key, idx, y - lag(y) OVER w - lag(height) OVER w AS gap, max(height) OVER (PARTITION BY page_key) AS h FROM boxes_ WINDOW w AS (PARTITION BY page_key ORDER BY y, idx)) SELECT page_key, idx, gap, coalesce(gap > 1.5 * h, false) AS wide FROM g""")
 def w6_gaps(t: Tables) -> DataFrame:
     return strips.gaps(t.boxes(), "page_key", ["y", "idx"]).select("page_key", "idx", "gap", "wide")
