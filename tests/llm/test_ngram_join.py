@@ -78,3 +78,27 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 80, 90: 80, 80: 80, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def near_copies(n, seed=5):
+    r = random.Random(seed)
+    base = [f"w{r.randrange(3000)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        words = base[:]
+        for _ in range(r.randrange(1, 4)):
+            words[r.randrange(120)] = f"z{r.randrange(100000)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_one_large_group_of_near_copies(spark, table, monkeypatch):
+    """The classes are right, and the pairs that are compared grow with the rows, not with their pairs."""
+    compared = []
+    compare = ngram_join.Join.compare
+    monkeypatch.setattr(ngram_join.Join, "compare", lambda self, pairs, led: compared.append(pairs.distinct().count()) or compare(self, pairs, led))
+    rows = near_copies(1000)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(table(rows)).collect()}
+    assert got == brute_force(rows)
+    assert jaccard_classes(table(near_copies(3000))).count() == 3000
+    assert compared[0] < 5 * 1000 and compared[1] < 4 * compared[0]
