@@ -36,6 +36,8 @@ SMALL = 32
 #: Nodes of a large column that its centre is taken from, and nodes of one that meet one copy of the centre. Both steer
 #: cost only: any centre gives the same links.
 SAMPLE, PIECE = 33, 1024
+#: So many ids of wanted texts at most are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST = 1 << 20
 #: Blocks of columns in the final product.
 BLOCKS = 8
 
@@ -152,7 +154,9 @@ class Join:
 
     def sets(self, some: DataFrame) -> DataFrame:
         """node and set (binary) of the nodes of a table, from their texts."""
-        wanted = self.nodes.select("node", "id").join(some.select("node").distinct(), "node").select(F.col("id").alias("wanted")).distinct()
+        wanted = kept(self.nodes.select("node", "id").join(some.select("node").distinct(), "node").select(F.col("id").alias("wanted")).distinct())
+        if wanted.count() <= BROADCAST:  # then no text is shuffled to be left behind
+            wanted = F.broadcast(wanted)
         n = self.n
 
         def pack(batch: pa.RecordBatch) -> dict:
