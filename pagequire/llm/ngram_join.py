@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .components import components
-from .text import kept, map_rows, shingle_sets
+from .text import kept, map_rows, scratch, shingle_sets
 
 #: The most frequent shingles, which are moved to the end of every row's order: at most so many are sent to the tasks.
 #: They only steer which columns are rare; any list gives the same links.
@@ -317,9 +317,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, and stays null where the class has no other. An empty table gives no
     rows; other columns are not read. Shingles are 64-bit hashes.
     """
-    join = Join(docs, id_col, text_col, percent, n)
-    of = components(join.links())
-    roots = join.rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("least")).join(of, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    roots = kept(roots)
-    named = roots.select("node", "root").join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return join.rows.select(id_col, "n_shingles", "node").join(named, "node", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
+    with scratch(docs.sparkSession) as spare:
+        join = Join(docs, id_col, text_col, percent, n)
+        of = components(join.links())
+        roots = join.rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("least")).join(of, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        roots = kept(roots)
+        named = roots.select("node", "root").join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+        found = join.rows.select(id_col, "n_shingles", "node").join(named, "node", "left")
+        return spare(found.select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id")))

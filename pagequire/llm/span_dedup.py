@@ -1,176 +1,110 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences; every run of several consecutive sentences is hashed and joined with all other runs. The
-first place of a repeated run, by id and position, keeps its sentences; sentences that any other place covers go. Runs
-of any number of short sentences meet by the shortest that reach WHOLE words, from each start and to each end. Passages
-whose edges lie inside sentences meet by windows of WINDOW words, wherever sentences end: of any STARTS windows in a
-row the one with the smallest hash is taken, so that equal stretches have the same windows, and every stretch of
-WINDOW + STARTS - 1 words has one.
+Texts are cut into pieces of at most REACH words: at the ends of sentences and lines, and inside longer sentences at
+words chosen by their hash: of any REACH words in a row without such an end, behind the one with the smallest hash. So
+equal stretches are cut alike, whatever stands around them.
+Every shortest run of consecutive pieces with LEAST words, from each piece and to each piece, is hashed and joined with
+all others. The first place of a repeated run, by id and position, stays; pieces that any other place covers go.
+
+A stretch of n words that two texts share loses its common runs wherever it stands, at least n - 2 * REACH + 1 words
+of it, if these are LEAST or more: every passage of over 50 words.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BASE, SPACES, byte_texts, kept, map_rows, mix64, powers, word_hashes
-
-#: A sentence ends at a line's end, or at marks followed by white space.
-END = re.compile(rb"\n|[.!?]+[ \t\n\x0b\x0c\r]+")
-#: Words of a whole passage.
-WHOLE = 50
-#: Sentences of a run, and the words it needs: all runs but those of 3 sentences must hold a whole passage. Every sentence
-#: has a word, so no shortest run that holds one is longer.
-RUNS = {n: 15 if n == 3 else WHOLE for n in range(1, WHOLE + 1)}
-#: Longer sentences, as in texts without marks, are cut further behind about every 16th word, chosen by the word itself.
-LONG_WORDS = 60
-#: Words of a window, and the words of which one starts a window at least; powers of 2.
-WINDOW, STARTS = 32, 16
-#: Over the sentences of any run.
-SPAN = 64
-
+from .text import SPACES, byte_texts, free, kept, map_rows, mix64, powers, word_hashes
 
-def sentences(text: bytes) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash of the lower-cased words) of each sentence that has words; ends include white space, and
-    what has no words belongs to the sentence before."""
-    out, at = [], 0
-    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
-        words = text[at:end].lower().split()
-        if not words:
-            if out:
-                out[-1] = (out[-1][0], end, *out[-1][2:])
-            at = end if out else at
-            continue
-        if len(words) <= LONG_WORDS:
-            out.append((at, end, len(words), xxhash.xxh3_64_intdigest(b" ".join(words))))
-        else:
-            part: list[bytes] = []
-            for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*", text[at:end].lower()):
-                part.append(word := m[0].rstrip())
-                if xxhash.xxh3_64_intdigest(word) % 16 == 0:
-                    out.append((at if not out or out[-1][1] < at else out[-1][1], at + m.end(), len(part), xxhash.xxh3_64_intdigest(b" ".join(part))))
-                    part = []
-            if part:
-                out.append((max(at, out[-1][1]) if out else at, end, len(part), xxhash.xxh3_64_intdigest(b" ".join(part))))
-            else:
-                out[-1] = (out[-1][0], end, *out[-1][2:])
-        at = end
-    return out
-
-
-def long_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the shortest runs with WHOLE words from each sentence and back from each sentence, of over 3
-    sentences. A repeated run of WHOLE words is the union of such runs. Those whose runs of 3 sentences all count go: the
-    runs of 3 cover them."""
-    n, before = len(words), np.concatenate([[0], np.cumsum(words)])
-    ends = np.searchsorted(before, before[:-1] + WHOLE)
-    starts = np.searchsorted(before, before[1:] - WHOLE, "right") - 1
-    first, last = np.flatnonzero(ends <= n), np.flatnonzero(before[1:] >= WHOLE)
-    both = np.unique(np.concatenate([first * (n + 1) + ends[first], starts[last] * (n + 1) + last + 1]))
-    lo, hi = both // (n + 1), both % (n + 1)
-    lo, hi = lo[hi - lo > 3], hi[hi - lo > 3]
-    few = np.concatenate([[0], np.cumsum(before[3:] - before[:-3] < RUNS[3])])
-    uneven = few[hi - 2] > few[lo]
-    return lo[uneven], hi[uneven]
-
-
-def runs(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of a text, and for each run its first sentence times SPAN plus its number of sentences."""
-    found = sentences(text) if text else []
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = np.array([s[2] for s in found], np.int64)
-    one = np.array([s[3] for s in found], np.uint64)
-    hashes, places = [], []
-    rolled, total = one, words
-    for n in range(1, 4):
-        if n > 1:
-            rolled = rolled[: max(0, len(one) - n + 1)] * BASE + one[n - 1 :]
-            total = total[: max(0, len(one) - n + 1)] + words[n - 1 :]
-        at = np.flatnonzero(total >= RUNS[n])
-        hashes.append(mix64(rolled[at] + np.uint64(n)).astype(np.int64))
-        places.append(at * SPAN + n)
-    if len(one) > 3:
-        lo, hi = long_runs(words)
-        up, down = powers(1 << max(20, (len(one) - 1).bit_length()))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * up[: len(one)], dtype=np.uint64)])
-        hashes.append(mix64((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)).astype(np.int64))
-        places.append(lo * SPAN + hi - lo)
-    return np.concatenate(hashes), np.concatenate(places)
-
-
-def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of a text, given its words' hashes, and for each its first word times SPAN."""
-    if len(words) < WINDOW + STARTS - 1:
+#: Words of a piece at most, and of a run at least: what any 51 words in a row hold between their first and last cut.
+REACH = 8
+LEAST = 51 - 2 * REACH + 1
+#: Over the pieces of any run; a power of 2.
+SPAN = 64
+#: Hashes of the marks that end a sentence.
+_marks = word_hashes(pa.array([". ! ?"]), (-1,))[0][:, 1]
+
+
+def pieces(words: np.ndarray) -> np.ndarray:
+    """The first word of each piece, and the number of words at last; words: a row (hash, hash of the
+    last byte, whether it begins a line) for each."""
+    n = len(words)
+    ends = np.isin(words[:, 1], _marks) | np.concatenate([words[1:, 2] > 0, [False]])[:n]
+    key = words[:, 0] >> np.uint64(1) | np.where(ends, np.uint64(0), np.uint64(1 << 63))
+    if n < REACH:
+        return np.unique(np.concatenate([[0], np.flatnonzero(ends) + 1, [n]]))
+    least, k = key, 1
+    while k < REACH:
+        least = np.minimum(least[:-k], least[k:])
+        k *= 2
+    edge = np.zeros(REACH - 1, np.uint64)
+    least, k = np.concatenate([edge, least, edge]), 1
+    while k < REACH:
+        least = np.maximum(least[:-k], least[k:])
+        k *= 2
+    return np.unique(np.concatenate([[0], np.flatnonzero((least == key) | ends) + 1, [n]]))
+
+
+def runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of a text, and for each its first piece times SPAN plus its number of pieces."""
+    at = pieces(words)
+    m = len(at) - 1
+    if at[-1] < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rolled, n = words, 1
-    while n < WINDOW:
-        rolled = rolled[:-n] * np.uint64(pow(int(BASE), n, 1 << 64)) + rolled[n:]
-        n *= 2
-    least, n = rolled, 1
-    while n < STARTS:
-        least = np.minimum(least[:-n], least[n:])
-        n *= 2
-    edge, n = np.zeros(STARTS - 1, np.uint64), 1
-    least = np.concatenate([edge, least, edge])
-    while n < STARTS:
-        least = np.maximum(least[:-n], least[n:])
-        n *= 2
-    at = np.flatnonzero(least == rolled)  # the smallest of some STARTS in a row
-    return mix64(rolled[at] + np.uint64(SPAN)).astype(np.int64), at * SPAN
-
-
-def without(text: bytes, cut: list[tuple[int, int, int, int]], places: list[int]) -> tuple[bytes, list[int]]:
-    """The text without what the places cover, and the sentences that lose words. White space goes with the words before
-    it; of a sentence that keeps words, its end stays. Places beyond the text, of other rows of the id, cover nothing."""
+    ends = np.searchsorted(at, at[:-1] + LEAST)
+    starts = np.searchsorted(at, at[1:] - LEAST, "right") - 1
+    first, last = np.flatnonzero(ends <= m), np.flatnonzero(starts >= 0)
+    both = np.unique(np.concatenate([first * (m + 1) + ends[first], starts[last] * (m + 1) + last + 1]))
+    lo, hi = both // (m + 1), both % (m + 1)
+    up, down = powers(1 << max(20, (len(words) - 1).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words[:, 0] * up[: len(words)], dtype=np.uint64)])
+    rolled = (sums[at[hi]] - sums[at[lo]]) * down[at[lo]] + (at[hi] - at[lo]).astype(np.uint64)
+    return mix64(rolled).astype(np.int64), lo * SPAN + hi - lo
+
+
+def without(text: bytes, at: np.ndarray, places: list[int]) -> tuple[bytes, list[int]]:
+    """The text without the pieces that the places cover, and these pieces. White space goes with the words before it,
+    but for a line's end where words of the line stay. Places beyond the text, of other rows of the id, cover nothing."""
+    m = len(at) - 1
+    lo, size = np.divmod(np.array(places, np.int64), SPAN)
+    lo, hi = np.minimum(lo, m), np.minimum(lo + size, m)
+    gone = np.cumsum(np.bincount(lo, minlength=m + 1) - np.bincount(hi, minlength=m + 1))[:-1] > 0
     edges = np.diff(np.concatenate([[True], np.isin(np.frombuffer(text, np.uint8), list(SPACES)), [True]]).astype(np.int8))
-    starts, stops = np.flatnonzero(edges == -1).tolist(), np.flatnonzero(edges == 1).tolist()
-    firsts = np.concatenate([[0], np.cumsum([s[2] for s in cut])])
-    at, n = np.divmod(np.array(places, np.int64), SPAN)
-    lo = np.minimum(np.where(n > 0, firsts[np.minimum(at, len(cut))], at), len(starts))
-    hi = np.minimum(np.where(n > 0, firsts[np.minimum(at + n, len(cut))], at + WINDOW), len(starts))
-    gone = np.cumsum(np.bincount(lo, minlength=len(starts) + 1) - np.bincount(hi, minlength=len(starts) + 1))[:-1] > 0
-    so_far = np.concatenate([[0], np.cumsum(gone)])
-    less = np.diff(so_far[firsts])
-    lost = np.flatnonzero(less).tolist()
-    if gone.all():
-        return b"", lost
-    out, done = [], 0
-    for i in lost:
-        start, end, size, _ = cut[i]
-        out.append(text[done:start])
-        if less[i] < size:
-            done, last = start, int(firsts[i + 1])
-            for k in (np.flatnonzero(gone[firsts[i] : last]) + firsts[i]).tolist():
-                if done < starts[k]:
-                    out.append(text[done : starts[k]])
-                done = starts[k + 1] if k + 1 < last else stops[k]
-            out.append(text[done:end])
-        done = end
-    out.append(text[done:])
-    return b"".join(out), lost
+    begin = np.concatenate([np.flatnonzero(edges == -1)[at[:-1]], [len(text)]]).tolist()
+    stop = np.flatnonzero(edges == 1)[at[1:] - 1].tolist()
+    begin[0] = 0
+    out = b""
+    parts = []
+    for i, less in enumerate(gone.tolist()):
+        if not less:
+            parts.append(out := text[begin[i] : begin[i + 1]])
+        elif b"\n" in text[stop[i] : begin[i + 1]] and out and not out.endswith(b"\n"):
+            parts.append(out := text[stop[i] : begin[i + 1]])
+    return b"".join(parts), np.flatnonzero(gone).tolist()
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return all columns of the table with the text after removal, and n_sentences, n_removed, removed (the numbers
-    from 0 of the sentences that lose words) and first_ids (the ids that keep them).
+    """Return all columns of the table with the text after removal, and n_sentences (its pieces: sentences, or parts of
+    long ones), n_removed, removed (the numbers from 0 of the pieces that go) and first_ids (the ids that keep them).
 
-    Null texts stay null and word-less ones as they are, with 0 sentences; a text that is covered wholly becomes empty. Of
+    Null texts stay null and word-less ones as they are, with 0 pieces; a text that is covered wholly becomes empty. Of
     equal runs the one with the smallest id, then position, is first; ties of id and position, as between repeated rows,
-    are the same place. A window may take some words of a sentence and leave others. Rows that share an id are one document: what goes at a position goes in each. Texts differ in
-    runs only by words, lower-cased in A-Z. Rows with a null id are left as they are. Columns named n_sentences, n_removed,
-    removed or first_ids are replaced; tables without rows give none. Runs are combined before the shuffle, so that a
-    passage held by a third of all rows is one row per task.
+    are the same place. Rows that share an id are one document: what goes at a position goes in each. Texts differ in
+    runs only by words, lower-cased in A-Z. Rows with a null id are left as they are. Columns named n_sentences,
+    n_removed, removed or first_ids, in any case, are replaced; other names are free. Tables without rows give none. Runs
+    are combined before the shuffle, so that a passage held by a third of all rows is one row per task; places of it are
+    joined with that row, where Spark splits a large key.
     """
 
+    def split(texts: pa.Array) -> list[np.ndarray]:
+        words, counts = word_hashes(texts, (-1,), lines=True)
+        return [words[end - n : end] for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True)]
+
     def hashed(batch: pa.RecordBatch) -> dict:
-        words, counts = word_hashes(batch.column(1))
-        found = [tuple(np.concatenate(x) for x in zip(runs(t), windows(words[end - n : end]), strict=True)) for t, end, n in zip(byte_texts(batch.column(1)), np.cumsum(counts).tolist(), counts.tolist(), strict=True)]
+        found = [runs(words) if len(words) else (np.zeros(0, np.int64),) * 2 for words in split(batch.column(1))]
         ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h, _ in found])]), pa.int32())
         flat = [np.concatenate([x[k] for x in found]) for k in (0, 1)]
         return {"id": batch.column(0), "h": pa.ListArray.from_arrays(ends, pa.array(flat[0])), "at": pa.ListArray.from_arrays(ends, pa.array(flat[1]))}
@@ -180,22 +114,23 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spans = kept(found.select("id", F.explode(F.arrays_zip("h", "at")).alias("s")).select("id", F.col("s.h").alias("h"), F.col("s.at").alias("at")))
     first = spans.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     hits = spans.join(first, "h").filter(F.struct("id", "at") != F.col("first")).select("id", "at", F.col("first.id").alias("first_id"))
-    # a document has at most five runs for each sentence and a window for each word
-    gone = hits.groupBy("id").agg(F.collect_set("at").alias("__places"), F.collect_set("first_id").alias("__first"))
-    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed", "first_ids")]
-    joined = docs.select(*names).join(kept(gone).withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    key, places, ids = free(docs, "id", "places", "ids")
+    # a document has at most two runs for each piece
+    gone = hits.groupBy(F.col("id").alias(key)).agg(F.collect_set("at").alias(places), F.collect_set("first_id").alias(ids))
+    names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "removed", "first_ids")]
+    joined = docs.select(*names).join(kept(gone), F.col(id_col) == F.col(key), "left").drop(key)
 
     def rewrite(batch: pa.RecordBatch) -> dict:
         cols = dict(zip(batch.schema.names, batch.columns, strict=True))
         texts, sizes, lost = [], [], []
-        for text, places in zip(byte_texts(cols[text_col]), cols["__places"].to_pylist(), strict=True):
-            cut = sentences(text) if text else []
-            text, out = without(text, cut, places) if cut and places else (text, [])
+        for text, words, at in zip(byte_texts(cols[text_col]), split(cols[text_col]), cols[places].to_pylist(), strict=True):
+            cut = pieces(words)
+            text, out = without(text, cut, at) if len(words) and at else (text, [])
             texts.append(text)
-            sizes.append(len(cut))
+            sizes.append(len(cut) - 1)
             lost.append(out)
         new = pa.array(texts, pa.binary()).cast(pa.string())
-        return {c: cols[c] for c in names} | {text_col: new, "n_sentences": sizes, "n_removed": [len(x) for x in lost], "removed": lost, "first_ids": cols["__first"]}
+        return {c: cols[c] for c in names} | {text_col: new, "n_sentences": sizes, "n_removed": [len(x) for x in lost], "removed": lost, "first_ids": cols[ids]}
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", n_sentences long, n_removed long, removed array<int>, first_ids array<{kind}>"
     return map_rows(joined, rewrite, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
@@ -22,17 +24,37 @@ def byte_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def free(frame: DataFrame, *names: str) -> list[str]:
+    """The names with underscores before them, as many as it takes for no column to have them in any case."""
+    taken = {c.lower() for c in frame.columns}
+    mark = next("_" * n for n in range(1, len(taken) + 2) if not taken & {"_" * n + x for x in names})
+    return [mark + x for x in names]
+
+
+#: Bytes of a batch that are worked on at once, beyond which it is cut; a longer row stands alone.
+STEP_BYTES = 8 << 20
+
+
 def map_rows(frame: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, step: int = 512) -> DataFrame:
-    """mapInArrow for functions that turn a batch of at most `step` rows into a dict of columns (or several)."""
+    """mapInArrow for functions that turn a batch of at most `step` rows and, but for a single row, STEP_BYTES into a dict
+    of columns (or several)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows > 1 and (batch.num_rows > step or batch.nbytes > STEP_BYTES):
+            half = batch.num_rows // 2
+            yield from parts(batch.slice(0, half))
+            yield from parts(batch.slice(half))
+        elif batch.num_rows:
+            yield batch
+
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                made = work(batch.slice(lo, step))
+            for some in parts(batch):
+                made = work(some)
                 for part in [made] if isinstance(made, dict) else made:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type, from_pandas=True) for x, f in zip((part[f.name] for f in out), out, strict=True)], schema=out)
 
@@ -68,29 +90,77 @@ def _own_folder(application: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (as in tests), one of our own."""
+    """The folder that driver and executors share, spark.checkpoint.dir; only in local mode, where it is one machine, a
+    folder of our own if the session names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or _own_folder(spark.sparkContext.applicationId)
 
 
+#: What writing tables needs: the shuffle files of a write go when it ends, and rows of many columns, which can be large,
+#: reach Python in small batches.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
+
+
+@functools.cache
+def defaults(version: str) -> dict[str, str]:
+    """Spark's own values of the settings, before anyone has set them."""
+    spark = SparkSession.active().newSession()
+    out = {}
+    for k in SETTINGS:
+        spark.conf.unset(k)
+        out[k] = spark.conf.get(k, None)
+    return out
+
+
+def settle(spark: SparkSession) -> None:
+    """Give the session the settings, once and for good, where it still has Spark's own values: nothing is switched to
+    and fro while other queries of the session run."""
+    for k, v in SETTINGS.items():
+        now = spark.conf.get(k, None)
+        if now != v and now == defaults(spark.version)[k]:
+            spark.conf.set(k, v)
+
+
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that kept() writes inside go at the end, but for those that the yielded function writes."""
+    outer, paths = _scope.get(), []
+    token = _scope.set(paths)
+
+    def spare(frame: DataFrame) -> DataFrame:
+        inner = _scope.set(outer)
+        try:
+            return kept(frame)
+        finally:
+            _scope.reset(inner)
+
+    try:
+        yield spare
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kept(frame: DataFrame) -> DataFrame:
     """The frame written once as a table in the shared folder, and read from there: what follows neither computes it
     again nor depends on the executors that made it."""
     spark = frame.sparkSession
+    settle(spark)
     path = f"{shared_folder(spark)}/pagequire-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    during = {
-        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # the shuffle files of this write go when it ends
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",  # rows of many columns can be large
-        "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
-    }
-    before = {k: spark.conf.get(k, None) for k in during}
-    for k, v in during.items():
-        spark.conf.set(k, v)
-    try:
-        frame.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    frame.write.parquet(path)
+    if _scope.get() is not None:
+        _scope.get().append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -112,17 +182,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_hashes(texts: pa.Array, affixes: tuple[int, ...] = (), lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, affixes: tuple[int, ...] = (), lower: bool = True, lines: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a batch of texts, in lower case (A-Z) unless told not to, text after text, and the
     words of each text. With affixes there is a column for the word and one for each affix: so many first bytes, or, if
-    negative, last bytes of the word.
+    negative, last bytes of the word. With lines the last column tells whether a line's end stands before the word.
 
     A word's hash is the sum of its bytes' numbers times powers of an odd base: sums over all prefixes of the bytes give
     every word by one subtraction, and dividing by the power at its start makes it independent of its place.
     """
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    counts, none = np.zeros(len(texts), np.int64), np.zeros((0, 1 + len(affixes)) if affixes else 0, np.uint64)
+    counts, none = np.zeros(len(texts), np.int64), np.zeros((0, 1 + len(affixes) + lines) if affixes or lines else 0, np.uint64)
     if offsets[-1] == offsets[0]:
         return none, counts
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
@@ -153,7 +223,10 @@ def word_hashes(texts: pa.Array, affixes: tuple[int, ...] = (), lower: bool = Tr
             for n in affixes:
                 lo, hi = (begins, np.minimum(begins + n, ends)) if n > 0 else (np.maximum(ends + n, begins), ends)
                 hashes.append(mix64((sums[hi] - sums[lo]) * down[lo] + np.uint64(abs(n) + (n < 0) * 64)))
-            out.append(np.stack(hashes, 1) if affixes else hashes[0])
+            if lines:
+                ended = np.concatenate([[0], np.cumsum(part == 10)])
+                hashes.append((ended[begins] > ended[np.concatenate([[0], ends[:-1]])]).astype(np.uint64))
+            out.append(np.stack(hashes, 1) if len(hashes) > 1 else hashes[0])
             counts += np.bincount(np.searchsorted(offsets, begins + at, "right") - 1, minlength=len(counts))
         at = end
     return np.concatenate(out) if out else none, counts

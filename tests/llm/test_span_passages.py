@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from pagequire.llm.span_dedup import dedup_spans, long_runs, windows
+from pagequire.llm.span_dedup import LEAST, REACH, SPAN, dedup_spans, pieces, runs
+from pagequire.llm.text import word_hashes
 
 
 def test_passages_of_short_lines_go(spark, table):
@@ -14,18 +16,22 @@ def test_passages_of_short_lines_go(spark, table):
         assert out[1].text == rows[0][1] and out[2].text == "other head\nother tail\n" and out[2].removed == list(range(1, lines + 1))
 
 
-def test_long_runs_cover_all_repeated_runs():
+def hashes(*words):
+    return word_hashes(pa.array([" ".join(words)]), (-1,), lines=True)[0]
+
+
+def test_runs_cover_all_repeated_runs():
     r = random.Random(3)
-    for _ in range(300):
-        words = np.array([r.choice((1, 2, 4, 5, 9, 30)) for _ in range(r.randrange(4, 60))])
-        lo, hi = long_runs(words)
+    for _ in range(200):
+        words = hashes(*marked(r, fresh(r, r.randrange(40, 200))))
+        at, got = pieces(words), runs(words)[1]
+        lo, hi = got // SPAN, got // SPAN + got % SPAN
+        assert at[0] == 0 and at[-1] == len(words) and (np.diff(at) > 0).all() and (np.diff(at) <= REACH).all()
         for _ in range(5):
-            a = r.randrange(len(words))
-            b = r.randrange(a, len(words)) + 1
-            if words[a:b].sum() >= 50:
-                got = {s for x, y in zip(lo, hi, strict=True) if a <= x and y <= b for s in range(x, y)}
-                got |= {s for i in range(a, b) for n in (1, 2, 3) if i + n <= b and words[i : i + n].sum() >= (15 if n == 3 else 50) for s in range(i, i + n)}
-                assert got == set(range(a, b))
+            a = r.randrange(len(at) - 1)
+            b = r.randrange(a, len(at) - 1) + 1
+            if at[b] - at[a] >= LEAST:
+                assert {s for x, y in zip(lo, hi, strict=True) if a <= x and y <= b for s in range(x, y)} == set(range(a, b))
 
 
 def fresh(r, n):
@@ -39,7 +45,7 @@ def marked(r, words):
 
 def test_passages_planted_inside_sentences_and_lines_go(spark, table):
     """25* + 30 + 20* words, 55 words without marks on a line of their own and inside a long line, and any others of 51
-    to 75: all but 15 words at the head and 15 at the tail go at least, and no word outside."""
+    to 75: all but REACH - 1 words at the head and as many at the tail go at least, and no word outside."""
     r = random.Random(11)
     edges = fresh(r, 75)
     edges[24] += "."
@@ -54,16 +60,17 @@ def test_passages_planted_inside_sentences_and_lines_go(spark, table):
     for i, (passage, _) in enumerate(planted):
         assert out[2 * i].text == rows[2 * i][1] and out[2 * i].n_removed == 0
         before, after = rows[2 * i + 1][1].split(), out[2 * i + 1].text.split()
-        assert len(passage) - 30 <= len(before) - len(after) <= len(passage) and out[2 * i + 1].first_ids == [2 * i]
+        assert len(passage) - 2 * (REACH - 1) <= len(before) - len(after) <= len(passage) and out[2 * i + 1].first_ids == [2 * i]
         assert after[:40] == before[:40] and after[-30:] == before[-30:]
 
 
-def test_every_stretch_has_the_same_windows_anywhere():
-    r = np.random.default_rng(2)
-    for n in (47, 51, 80):
-        shared = r.integers(0, 1 << 63, n).astype(np.uint64)
-        h = [set(windows(np.concatenate([r.integers(0, 1 << 63, a).astype(np.uint64), shared, r.integers(0, 1 << 63, b).astype(np.uint64)]))[0].tolist()) for a, b in ((0, 0), (7, 90), (300, 1), (50, 50))]
-        assert h[0] & h[1] & h[2] & h[3]
+def test_every_stretch_of_51_words_has_a_run_anywhere():
+    r = random.Random(2)
+    for n in (51, 52, 80):
+        for _ in range(30):
+            shared = fresh(r, n) if r.random() < 0.5 else marked(r, fresh(r, n))
+            h = [set(runs(hashes(*fresh(r, a), *shared, *fresh(r, b)))[0].tolist()) for a, b in ((0, 0), (7, 90), (300, 1), (50, 50))]
+            assert h[0] & h[1] & h[2] & h[3]
 
 
 def test_what_stays_keeps_its_line_ends(spark, table):
