@@ -7,7 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .text import word_hashes
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .text import kept, word_hashes
 
 #: Hashed features are kept modulo two to this power.
 BITS = 18
@@ -27,6 +31,14 @@ def hashed_features(texts: pa.Array, affixes: tuple[int, ...], lower: bool, bits
     return found, facts
 
 
+def gathered(rows: DataFrame, order: list[str], size_col: str, most: int) -> pa.Table:
+    """The first rows in the given order whose sizes add up to `most` at most, at the driver: fewer rows where they are
+    large, but of every size. `rows` must be a bounded sample; it is written once, and one task adds up its sizes."""
+    rows = kept(rows)
+    sums = rows.select(*order, F.sum(size_col).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)).alias("__sum"))
+    return rows.join(sums.filter(F.col("__sum") <= most).select(*order), order, "left_semi").orderBy(*order).toArrow()
+
+
 @dataclass
 class Rows:
     """Feature lists of many rows, one after another."""
