@@ -6,16 +6,16 @@ one before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequire.llm.mixing import mix, shares, text_sizes
+from pagequire.llm.mixing import MAX_PATTERNS, mix, shares, text_sizes
 from pagequire.llm.ngram_join import jaccard_classes
 from pagequire.llm.pieces import encode_texts
 from pagequire.llm.quality_classifier import score_quality
 from pagequire.llm.queries import PIECES, table
 from pagequire.llm.span_dedup import dedup_spans
-from pagequire.llm.text import kept
+from pagequire.llm.text import free, kept
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,11 +25,19 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return score_quality(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows apart: ids may be null or repeated with other texts. Rows that are equal share it."""
+    return F.xxhash64(*[F.struct(F.col(c), F.col(c).isNull()) for c in docs.columns])
+
+
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of the Jaccard join; of rows with one id, one stays. Rows
-    without an id go."""
-    first = jaccard_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each class of the Jaccard join: the one with the smallest id (null last), of several the one with the
+    smallest hash. Rows that share an id but no class all stay, and so do rows without an id."""
+    key, size, of = free(docs, "key", "n_shingles", "component_id")
+    rows = docs.withColumn(key, row_key(docs))
+    classes = jaccard_classes(rows, key).distinct().select(key, F.col("component_id").alias(of))
+    first = rows.select(F.struct(F.col("doc_id").isNull(), "doc_id", key).alias(size), key).join(classes, key).groupBy(of).agg(F.min(size)[key].alias(key))
+    return rows.join(kept(first.select(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,18 +48,22 @@ def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them: each once, and half as many words again by repetition, shared out
-    by the square roots of the sources' sizes, so that small sources gain; no document is read more than twice. Rows without an id go."""
-    sizes = kept(text_sizes(docs, ["doc_id", "source"], "text", "size"))
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()  # one row per source
-    total = {"-" if r.source is None else f"={r.source}": r.n for r in by_source}
-    weights = {s: float(n) ** 0.5 for s, n in total.items()}
-    more = shares(total, weights, 0.5 * sum(total.values()), 1)
-    source = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))
-    taken = mix(sizes.withColumn("source_key", source), "doc_id", "size", F.array("source_key"), {s: n + round(more[s]) for s, n in total.items()}, 2, 0)
-    taken = taken.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))  # rows that repeat an id go alike
-    copies = docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return copies.select(*docs.columns)
+    """The documents as often as the mix takes them: each once, and half as many words again by repetition; no document is
+    read more than twice. A document belongs to its source and to its language: a source's quota is its own size, the
+    other half is shared out to the languages by the square roots of their sizes, so that small languages gain. The flow
+    says which words count for which. Equal rows are mixed alike."""
+    key, size = free(docs, "key", "size")
+    rows = docs.withColumn(key, row_key(docs))
+    sizes = kept(text_sizes(rows, [key, "source", "lang"], "text", size))
+    named = lambda c, mark: F.when(F.col(c).isNull(), f"{mark}-").otherwise(F.concat(F.lit(f"{mark}="), c))
+    members = sizes.select(key, size, named("lang", "l").alias("lang"), named("source", "s").alias("source"))
+    total = {name: {r[0]: r.n for r in members.groupBy(name).agg(F.sum(size).alias("n")).limit(MAX_PATTERNS + 1).collect()} for name in ("source", "lang")}
+    more = shares(total["lang"], {x: float(n) ** 0.5 for x, n in total["lang"].items()}, 0.5 * sum(total["lang"].values()), 1)
+    quotas = total["source"] | {x: round(n) for x, n in more.items()}
+    taken = mix(members, key, size, F.array("lang", "source"), quotas, 2, 0)
+    taken = taken.filter("copies > 1").groupBy(key).agg(F.max("copies").alias("copies"))  # equal rows go alike
+    copies = rows.select(F.struct(*docs.columns).alias("row"), key).join(taken, key, "left").select("row", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
+    return copies.select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +72,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", good_documents), ("n-gram Jaccard join", one_of_each_class), ("substring dedup", without_repeated_spans), ("source mixing", mixed), ("SentencePiece", encoded)]
-#: Classifiers and searches in Python are no SQL; the stages are tested against brute force.
+#: Classifiers and searches in Python are no SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
