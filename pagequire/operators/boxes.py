@@ -5,9 +5,6 @@ Boxes have page_key, idx (their place in the input), x, y, width, height and con
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from statistics import median
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box, contained, horizontal_share, intersection
 from ..functions.values import floor_div, upper_median
+from .reading import right_to_left_order
 
 
 def suppressed(page: pd.DataFrame, most_iou: float = 0.35, most_inside: float = 0.75) -> pd.DataFrame:
@@ -123,77 +121,10 @@ def seam_pairs(pages: DataFrame, boxes: DataFrame, chapter: str = "chapter_id",
 
 def left_to_right(boxes: DataFrame) -> DataFrame:
     """Boxes numbered from 1 in reading order: rows of half the typical height, then x, then y."""
-    page = W.partitionBy("page_key")
-    typical = F.greatest(F.lit(1), upper_median(F.collect_list(F.greatest(F.lit(1), F.col("height"))).over(page)))
-    row = floor_div(F.col("y") - F.min("y").over(page), F.greatest(F.lit(12), F.floor(typical / 2)))
-    return boxes.withColumn("__row", row).withColumn("number", F.row_number().over(page.orderBy("__row", "x", "y", "idx"))).drop("__row")
-
-
-Item = tuple[int, int, int, int, int]  # x, y, right, bottom, idx
-
-
-def _stacked(items: list[Item]) -> list[Item]:
-    return sorted(items, key=lambda b: (b[1], b[1] - b[3], -b[2], b[4]))
-
-
-def _bands(items: list[Item]) -> Iterator[list[Item]]:
-    """Sets of boxes with clear space between the lowest box so far and the next."""
-    band: list[Item] = []
-    for b in _stacked(items):
-        low = max(band, key=lambda o: o[3]) if band else None
-        if low and b[1] - low[3] > max(24, 0.7 * (low[3] - low[1])):
-            yield band
-            band = []
-        band.append(b)
-    if band:
-        yield band
-
-
-def _rows(items: list[Item]) -> list[list[Item]]:
-    """Rows held by their first box: what overlaps half of the shorter height and starts not far below."""
-    rows: list[list[Item]] = []
-    for b in _stacked(items):
-        first = rows[-1][0] if rows else None
-        if first:
-            short = min(first[3] - first[1], b[3] - b[1])
-            if 2 * (min(first[3], b[3]) - b[1]) >= short and b[1] - first[1] <= max(12, 0.65 * short):
-                rows[-1].append(b)
-                continue
-        rows.append([b])
-    return rows
-
-
-def _gutter(items: list[Item], rows: list[list[Item]]) -> int:
-    """How many boxes, from the left, stand before the widest space that separates two blocks; 0 if none does."""
-    extent = max(b[2] for b in items) - items[0][0]
-    width = median(b[2] - b[0] for b in items)
-    least = max(24, 1.5 * width, 0.18 * extent)
-    best, widest, reach = 0, 0, items[0][2]
-    for i, b in enumerate(items[1:], 1):
-        gap, reach = b[0] - reach, max(reach, b[2])
-        lonely = min(i, len(items) - i) == 1 and gap < min(2 * width, 0.42 * extent)
-        if gap < least or gap <= widest or lonely:
-            continue
-        spans = [(min(o[1] for o in side), max(o[3] for o in side)) for side in (items[:i], items[i:])]
-        beside = min(spans[0][1], spans[1][1]) - max(spans[0][0], spans[1][0])
-        paired = all(min(o[0] for o in row) < b[0] <= max(o[0] for o in row) for row in rows)
-        if 2 * beside >= min(bottom - top for top, bottom in spans) and not paired:
-            best, widest = i, gap
-    return best
-
-
-def right_to_left_order(items: list[Item]) -> list[Item]:
-    """Bands from top to bottom; in a band the right block before the left, else rows from right to left."""
-    out: list[Item] = []
-    for band in _bands(items):
-        rows = _rows(band)
-        across = sorted(band, key=lambda b: (b[0], b[2], b[4]))
-        at = _gutter(across, rows) if len(rows) > 1 else 0
-        if at:
-            out += right_to_left_order(across[at:]) + right_to_left_order(across[:at])
-        else:
-            out += [b for row in rows for b in sorted(row, key=lambda b: (-b[2], b[1], b[4]))]
-    return out
+    facts = boxes.groupBy("page_key").agg(F.min("y").alias("__top"), upper_median(F.collect_list(F.greatest(F.lit(1), F.col("height")))).alias("__typical"))
+    row = floor_div(F.col("y") - F.col("__top"), F.greatest(F.lit(12), F.floor(F.greatest(F.lit(1), F.col("__typical")) / 2)))
+    turn = W.partitionBy("page_key").orderBy("__row", "x", "y", "idx")
+    return boxes.join(facts, "page_key").withColumn("__row", row).withColumn("number", F.row_number().over(turn)).drop("__row", "__top", "__typical")
 
 
 def right_to_left(boxes: DataFrame) -> DataFrame:
@@ -201,8 +132,9 @@ def right_to_left(boxes: DataFrame) -> DataFrame:
     kind = boxes.schema["idx"].dataType.simpleString()
 
     def number(page: pd.DataFrame) -> pd.DataFrame:
-        items = [(int(r.x), int(r.y), int(r.x) + max(1, int(r.width)), int(r.y) + max(1, int(r.height)), r.idx) for r in page.itertuples()]
-        order = [b[4] for b in right_to_left_order(items)]
+        x, y = page.x.to_numpy("int64"), page.y.to_numpy("int64")
+        right, bottom = x + np.maximum(1, page.width.to_numpy("int64")), y + np.maximum(1, page.height.to_numpy("int64"))
+        order = right_to_left_order(np.column_stack([x, y, right, bottom, page.idx.to_numpy("int64")]))
         return pd.DataFrame({"page_key": page.page_key.iloc[0], "idx": order, "number": range(1, len(order) + 1)})
 
     key = boxes.schema["page_key"].dataType.simpleString()

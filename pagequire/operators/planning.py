@@ -60,24 +60,29 @@ def best_cuts(scores: DataFrame, targets: DataFrame, avoid: DataFrame, search: i
 
 
 def place_in_order(slots: pd.DataFrame, free: pd.DataFrame, step: int) -> list[int] | None:
-    """Tops of slots (x order given, ideal) in their free intervals, `step` apart, each the nearest to its ideal that
-    leaves room for those behind; None where not all fit."""
-    spans = {k: sorted(zip(g.start, g.end, strict=True)) for k, g in free.groupby("slot_id")}
-    latest, ceiling = [0] * len(slots), float("inf")
-    for i in range(len(slots) - 1, -1, -1):
-        ends = [min(e, ceiling) for s, e in spans.get(slots.slot_id.iloc[i], ()) if s <= ceiling]
-        if not ends:
+    """Tops of slots (in their given order, ideal) in their free intervals, `step` apart, each the nearest to its ideal
+    that leaves room for those behind; None where not all fit.
+
+    All intervals are one table (turn, start, end). A bound for each turn is swept up from the last one: the latest top
+    that its intervals allow below it. Intervals are clipped to these bounds, then to what the tops before leave."""
+    turns = slots.reset_index(drop=True).reset_index(names="turn")[["turn", "slot_id"]]
+    table = free.merge(turns, on="slot_id").sort_values(["turn", "start"])
+    turn, low, high = (table[c].to_numpy("int64") for c in ("turn", "start", "end"))
+    edges = np.searchsorted(turn, np.arange(len(slots) + 1))
+    bound = np.iinfo("int64").max
+    for a, b in zip(edges[-2::-1], edges[:0:-1], strict=True):
+        high[a:b] = np.where(low[a:b] <= bound, np.minimum(high[a:b], bound), low[a:b] - 1)
+        if not (low[a:b] <= high[a:b]).any():
             return None
-        latest[i] = max(ends)
-        ceiling = latest[i] - step
-    floor, out = -float("inf"), []
-    for i, ideal in enumerate(slots.ideal):
-        spots = [max(s, floor, min(round(ideal), e, latest[i])) for s, e in spans.get(slots.slot_id.iloc[i], ()) if max(s, floor) <= min(e, latest[i])]
-        if not spots:
+        bound = int(high[a:b][low[a:b] <= high[a:b]].max()) - step
+    tops: list[int] = []
+    for ideal, a, b in zip(slots.ideal, edges[:-1], edges[1:], strict=True):
+        start = np.maximum(low[a:b], tops[-1] + step) if tops else low[a:b]
+        near = np.clip(round(ideal), start, high[a:b])[start <= high[a:b]]
+        if not len(near):
             return None
-        out.append(int(min(spots, key=lambda y: (abs(y - ideal), y))))
-        floor = out[-1] + step
-    return out
+        tops.append(int(near[np.lexsort((near, np.abs(near - ideal)))[0]]))
+    return tops
 
 
 def balanced_slots(slots: DataFrame, boxes: DataFrame, minimum_gap: int) -> DataFrame:

@@ -1,9 +1,12 @@
+import itertools
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from pagequire.operators import boxes, planning
+from pagequire.operators.reading import right_to_left_order
 
 SCHEMA = "page_key string, idx int, x int, y int, width int, height int, confidence double"
 
@@ -26,15 +29,50 @@ def test_right_block_is_read_first(spark):
     assert both[:12] == got and both[12:] == [i + 12 for i in got]
 
 
-def test_order_does_not_depend_on_input(spark):
-    r = random.Random(4)
-    rows = [(r.randrange(900), r.randrange(1500), r.randrange(20, 200), r.randrange(20, 90)) for _ in range(40)]
-    items = [(x, y, x + w, y + h, i) for i, (x, y, w, h) in enumerate(rows)]
-    want = boxes.right_to_left_order(items)
-    assert sorted(want) == sorted(items)
-    for _ in range(5):
-        r.shuffle(items)
-        assert boxes.right_to_left_order(items) == want
+def test_order_does_not_depend_on_input():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        x, y, w, h = r.integers(0, 900, 40), r.integers(0, 1500, 40), r.integers(20, 200, 40), r.integers(20, 90, 40)
+        items = np.column_stack([x, y, x + w, y + h, np.arange(40)])
+        want = right_to_left_order(items)
+        assert sorted(want) == list(range(40))
+        assert (right_to_left_order(r.permutation(items)) == want).all()
+
+
+def test_orders_by_hand():
+    """Rows from the right; two blocks; a lone box beside rows; bands; rows that cross a gap."""
+    def read(*rows):
+        return right_to_left_order(np.array([(x, y, x + w, y + h, i) for i, (x, y, w, h) in enumerate(rows)])).tolist()
+
+    assert read((0, 0, 50, 40), (200, 5, 50, 40), (400, 0, 50, 40)) == [2, 1, 0]
+    assert read((0, 0, 50, 40), (300, 40, 50, 40)) == [0, 1]  # under 12 pixels or 0.65 of the height: one row; here two
+    assert read((0, 0, 50, 40), (300, 20, 50, 40)) == [1, 0]
+    assert read((0, 0, 100, 60), (300, 100, 100, 60), (0, 110, 100, 60)) == [1, 0, 2]  # 40 pixels below: one band, two blocks
+    assert read((0, 0, 100, 60), (300, 110, 100, 60), (0, 120, 100, 60)) == [0, 1, 2]
+    assert read((0, 0, 100, 50), (0, 60, 100, 50), (500, 30, 100, 50), (500, 90, 100, 50)) == [2, 3, 0, 1]
+    assert read((0, 0, 100, 50), (500, 0, 100, 50), (0, 60, 100, 50), (500, 60, 100, 50)) == [1, 0, 3, 2]  # rows are read across
+    assert read((0, 0, 40, 30), (0, 200, 40, 30), (300, 201, 40, 30)) == [0, 2, 1]
+    assert read((5, 5, 1, 1)) == [0]
+
+
+def plain_places(ideals, spans, step):
+    """All choices of tops, the first by each slot's distance in turn."""
+    best = None
+    for tops in itertools.product(*[[y for s, e in sp for y in range(s, e + 1)] for sp in spans]):
+        if all(b - a >= step for a, b in zip(tops, tops[1:], strict=False)):
+            cost = [(abs(y - i), y) for y, i in zip(tops, ideals, strict=True)]
+            best = min(best, (cost, tops)) if best else (cost, tops)
+    return list(best[1]) if best else None
+
+
+def test_places_equal_all_choices():
+    r = random.Random(8)
+    for _ in range(60):
+        n = r.randrange(1, 4)
+        spans = [sorted((s, s + r.randrange(6)) for s in r.sample(range(0, 40, 9), r.randrange(1, 3))) for _ in range(n)]
+        ideals = [float(r.randrange(40)) for _ in range(n)]
+        free = pd.DataFrame([(k, s, e) for k, sp in enumerate(spans) for s, e in sp], columns=["slot_id", "start", "end"])
+        assert planning.place_in_order(pd.DataFrame({"slot_id": range(n), "ideal": ideals}), free, 7) == plain_places(ideals, spans, 7)
 
 
 def plain_suppression(rows):
