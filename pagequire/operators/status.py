@@ -111,3 +111,9 @@ def prefer_scripted(rows: DataFrame, text: str, group: str, script: str) -> Data
 def failures_by_page(regions: DataFrame, key: str = "page_key") -> DataFrame:
     """Failed readings per page, and in total as the row without a page."""
     return regions.filter(flag("_ocr_failed")).rollup(key).agg(F.count("*").alias("failures"))
+
+
+def visible_with_text(regions: DataFrame) -> DataFrame:
+    """Regions that are visible (by default) and show a text."""
+    text = first_text(F.col("applied_text"), F.col("translation"), F.col("text"))
+    return regions.filter(F.coalesce("visible", F.lit(True)) & has_text(text))

@@ -80,3 +80,10 @@ def numbered_text(rows: DataFrame, group: str, number: str, text: str) -> DataFr
     """The non-blank texts of each group as numbered lines, in order; blank ones keep their number."""
     lines = F.sort_array(F.collect_list(F.when(F.col(text).rlike(r"\S"), F.struct(F.col(number).alias("n"), F.concat(F.col(number).cast("string"), F.lit(". "), F.col(text)).alias("t")))))
     return rows.groupBy(group).agg(F.array_join(F.transform(lines, lambda s: s["t"]), "\n").alias("page_text"))
+
+
+def ordered_text(rows: DataFrame, page: str, order: list[str], text: str) -> DataFrame:
+    """text of each page: its rows' texts in order, numbered from 1, with blank lines between."""
+    numbered = rows.withColumn("__n", F.row_number().over(W.partitionBy(page).orderBy(*order)))
+    line = F.concat(F.col("__n").cast("string"), F.lit(". "), F.trim(F.coalesce(text, F.lit(""))))
+    return numbered.groupBy(page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", line.alias("l")))), lambda s: s["l"]), "\n\n").alias("text"))

@@ -76,20 +76,16 @@ def o3_right_to_left(t: Tables) -> DataFrame:
 
 @query()
 def a7_repeated_captions(t: Tables) -> DataFrame:
-    return boxes.repeated_captions(t.boxes().filter("confidence < 0.5 and width >= 4 * height").withColumn("chapter_id", F.floor(F.col("page_key") / 10))).select("chapter_id", "page_key", "idx", "repeated_caption")
+    """Boxes five times as wide, so that most are captions."""
+    wide = t.boxes().withColumn("width", F.col("width") * 5).filter("confidence < 0.5 and width >= 4 * height")
+    return boxes.repeated_captions(wide.withColumn("chapter_id", F.floor(F.col("page_key") / 10))).select("chapter_id", "page_key", "idx", "repeated_caption")
 
 
 @query(f"""WITH {BOXES}, s AS (SELECT page_key, page_key AS slot_id, (page_key * 97 % 700)::INT AS x, 0 AS low, 1940 AS high, 40 AS mw, 60 AS mh, 16 AS pad FROM (SELECT DISTINCT page_key FROM boxes_)),
-b AS (SELECT slot_id, low, high, greatest(low, b.y - mh - pad + 1) AS s, least(high, b.y + b.height + pad - 1) AS e FROM s JOIN boxes_ b USING (page_key) WHERE s.x + mw + pad > b.x AND s.x < b.x + b.width + pad AND b.idx % 10 = 0),
+b AS (SELECT slot_id, low, high, greatest(low, b.y - mh - pad + 1) AS s, least(high, b.y + b.height + pad - 1) AS e FROM s JOIN boxes_ b USING (page_key) WHERE s.x + mw + pad > b.x AND s.x < b.x + b.width + pad),
 u AS (SELECT * FROM b WHERE s <= high AND e >= low AND s <= e UNION ALL SELECT slot_id, low, high, high + 1, high + 1 FROM s), g AS (SELECT *, max(e) OVER (PARTITION BY slot_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM u)
 SELECT slot_id, coalesce(past + 1, low) AS start, s - 1 AS "end" FROM g WHERE coalesce(past + 1, low) <= s - 1""")
 def j24_free_rows(t: Tables) -> DataFrame:
-    some = t.boxes().filter("idx % 10 = 0")
-    return boxes.free_rows(_slots(t), some).select("slot_id", "start", "end")
-
-
-@query()
-def j24_free_rows_of_all(t: Tables) -> DataFrame:
     return boxes.free_rows(_slots(t), t.boxes()).select("slot_id", "start", "end")
 
 
@@ -100,11 +96,6 @@ def _slots(t: Tables) -> DataFrame:
 
 @query()
 def g11_balanced_slots(t: Tables) -> DataFrame:
-    return planning.balanced_slots(_slots(t), t.boxes().filter("idx % 10 = 0"), 100)
-
-
-@query()
-def g11_balanced_slots_of_all(t: Tables) -> DataFrame:
     return planning.balanced_slots(_slots(t), t.boxes(), 100)
 
 
@@ -131,15 +122,8 @@ def a12_tallest_by_width(t: Tables) -> DataFrame:
     return strips.tallest_by_width(t.strip_pages())
 
 
-@query(f"WITH {PLACED}, r AS (SELECT doc_id AS range_id, source AS chapter_id, doc_id * 13 % 50000 AS top, doc_id * 13 % 50000 + 800 AS bottom FROM documents WHERE doc_id % 10 = 3) SELECT range_id, page_key FROM r JOIN placed_ p USING (chapter_id) WHERE p.y < bottom AND p.y + p.height > top")
+@query(f"WITH {PLACED}, z AS (SELECT chapter_id, greatest(1, sum(height)) AS size FROM strips_ GROUP BY chapter_id), r AS (SELECT doc_id AS range_id, source AS chapter_id, doc_id * 7919 % size AS top FROM documents JOIN z ON z.chapter_id = source) SELECT range_id, page_key FROM r JOIN placed_ p USING (chapter_id) WHERE p.y < top + 800 AND p.y + p.height > top")
 def j16_intersecting(t: Tables) -> DataFrame:
-    k = F.col("doc_id")
-    ranges = t.documents.filter(k % 10 == 3).select(k.alias("range_id"), F.col("source").alias("chapter_id"), (k * 13 % 50000).alias("top"), (k * 13 % 50000 + 800).alias("bottom"))
-    return strips.intersecting(strips.offsets(t.strip_pages()), ranges).select("range_id", "page_key")
-
-
-@query()
-def j16_intersecting_all(t: Tables) -> DataFrame:
     """Every document as a range, spread over the whole of its strip."""
     k, placed = F.col("doc_id"), strips.offsets(t.strip_pages())
     whole = strips.strip_size(t.strip_pages()).select("chapter_id", F.col("height").alias("__size"))
@@ -154,26 +138,14 @@ def j17_page_at(t: Tables) -> DataFrame:
     return strips.page_at(strips.offsets(t.strip_pages()), points).select("point_id", "page_key")
 
 
-@query("SELECT doc_id FROM documents WHERE abs(doc_id - 100) <= 7")
-def w10_neighbours(t: Tables) -> DataFrame:
-    return strips.neighbours(t.documents, F.lit(100), 7, "doc_id").select("doc_id")
-
-
 @query("SELECT a.doc_id AS active_id, b.doc_id FROM documents a JOIN documents b ON b.doc_id BETWEEN a.doc_id - 7 AND a.doc_id + 7")
-def w10_neighbours_of_all(t: Tables) -> DataFrame:
+def w10_neighbours(t: Tables) -> DataFrame:
     return strips.neighbours_of_all(t.documents.select("doc_id"), 7, "doc_id").select(F.col("active").alias("active_id"), "doc_id")
 
 
-@query("""WITH l AS (SELECT conv_id, turn, left(text, 20) AS s, role AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE turn < 5 AND text <> '' AND role <> '')
-SELECT conv_id, right(string_agg(s || ' → ' || g, chr(10) ORDER BY turn), 5000) AS context FROM l WHERE n <= 40 GROUP BY conv_id""")
-def w7_recent_context(t: Tables) -> DataFrame:
-    pairs = t.conversations.select("conv_id", F.col("turn").alias("page_ord"), F.substring("text", 1, 20).alias("source"), F.col("role").alias("target"))
-    return strips.recent_context(pairs, F.lit(5), ["page_ord"], "conv_id")
-
-
 @query("""WITH l AS (SELECT conv_id, turn, text AS s, role AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE turn < 5 AND text <> '' AND role <> '')
 SELECT conv_id, right(string_agg(s || ' → ' || g, chr(10) ORDER BY turn), 5000) AS context FROM l WHERE n <= 40 GROUP BY conv_id""")
-def w7_recent_context_of_whole_texts(t: Tables) -> DataFrame:
+def w7_recent_context(t: Tables) -> DataFrame:
     pairs = t.conversations.select("conv_id", F.col("turn").alias("page_ord"), F.col("text").alias("source"), F.col("role").alias("target"))
     return strips.recent_context(pairs, F.lit(5), ["page_ord"], "conv_id")
 

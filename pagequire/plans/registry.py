@@ -6,7 +6,7 @@ rows. Names begin with the operators' numbers.
 
 from __future__ import annotations
 
-from . import layout, lookups, status, texts
+from . import layout, lookups, script, status, texts
 
-QUERIES = status.QUERIES | lookups.QUERIES | layout.QUERIES | texts.QUERIES
-ORACLE_SQL = status.ORACLE_SQL | lookups.ORACLE_SQL | layout.ORACLE_SQL | texts.ORACLE_SQL
+QUERIES = status.QUERIES | lookups.QUERIES | layout.QUERIES | texts.QUERIES | script.QUERIES
+ORACLE_SQL = status.ORACLE_SQL | lookups.ORACLE_SQL | layout.ORACLE_SQL | texts.ORACLE_SQL | script.ORACLE_SQL

@@ -44,13 +44,14 @@ def f4_language(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.language(F.concat("text", tail)).alias("language"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS entry FROM (SELECT conv_id, turn, replace(replace(text, E'\\n', ' '), E'\\t', ' ') AS text FROM conversations)")
+@query("SELECT conv_id, turn, word || trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS entry FROM (SELECT conv_id, turn, CASE turn % 5 WHEN 3 THEN '2024 ' WHEN 4 THEN '' ELSE 'x ' END AS word, replace(replace(text, E'\\n', ' '), E'\\t', ' ') AS text FROM conversations)")
 def f20_without_number(t: Tables) -> DataFrame:
-    """Numbered one-row entries lose their number and keep their words."""
+    """Numbered one-row entries lose one number and keep what follows, another number too."""
     clean = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    k = F.col("turn") % 3
-    number = F.when(k == 0, "12. ").when(k == 1, "#7 ").otherwise("[3] ")
-    return t.conversations.select("conv_id", "turn", F.when(clean.rlike(r"^[\[#\d]"), clean).otherwise(text.without_number(F.concat(number, clean))).alias("entry"))
+    k = F.col("turn") % 5
+    word = F.when(k == 3, "2024 ").when(k == 4, "").otherwise("x ")
+    number = F.when(k == 0, "12. ").when(k == 1, "#7 ").when(k == 2, "[3] ").when(k == 3, "9) ").otherwise("[ 4 ]: ")
+    return t.conversations.select("conv_id", "turn", text.without_number(F.concat(number, word, clean)).alias("entry"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter([array_to_string(list_filter([trim(l, E' \\t\\r') FOR l IN string_split(p, chr(10))], lambda x: x <> ''), ' ') FOR p IN regexp_split_to_array(trim(text, E' \\t\\n\\r'), '\\n\\s*\\n+')], lambda x: x <> ''), ' / ') AS entry FROM documents")
@@ -91,7 +92,8 @@ def f28_content_key(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey AS id, upper(p_name) AS upper, lower(p_name) AS lower FROM part")
 def f39_case(t: Tables) -> DataFrame:
-    return t.part.select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("upper"), F.lower("p_name").alias("lower"))
+    name = F.col("p_name")
+    return t.part.select(F.col("p_partkey").alias("id"), text.cased(name, F.lit("upper")).alias("upper"), text.cased(name, F.lit("lower")).alias("lower"))
 
 
 @query("SELECT o_custkey AS folder, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders")

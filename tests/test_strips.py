@@ -27,8 +27,8 @@ def test_whole_tables_take_part(spark):
     for p in placed:
         size[p.chapter_id] = max(size.get(p.chapter_id, 0), p.y + p.height)
     want = [(d.doc_id, p.page_key) for d in docs for top in [d.doc_id * 7919 % max(1, size[d.source])] for p in placed if p.chapter_id == d.source and p.y < top + 800 and p.y + p.height > top]
-    assert sorted(tuple(r) for r in layout.QUERIES["j16_intersecting_all"](spark, SF).collect()) == sorted(want)
-    free, every, slots = layout.QUERIES["j24_free_rows_of_all"](spark, SF).collect(), t.boxes().collect(), {s.slot_id: s for s in layout._slots(t).collect()}
+    assert sorted(tuple(r) for r in layout.QUERIES["j16_intersecting"](spark, SF).collect()) == sorted(want)
+    free, every, slots = layout.QUERIES["j24_free_rows"](spark, SF).collect(), t.boxes().collect(), {s.slot_id: s for s in layout._slots(t).collect()}
     got = {(r.slot_id, y) for r in free for y in range(r.start, r.end + 1)}
     want = set()
     for s in slots.values():
