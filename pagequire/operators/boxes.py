@@ -40,30 +40,41 @@ def suppress(boxes: DataFrame, most_iou: float = 0.35, most_inside: float = 0.75
     return boxes.groupBy("page_key").applyInPandas(lambda p: suppressed(p, most_iou, most_inside), boxes.schema)
 
 
-def without_fragments(boxes: DataFrame, cut: Column) -> DataFrame:
-    """Boxes without those cut at a strip's edge that a whole box of at most four times their area covers by 75 %."""
-    whole = boxes.filter(~cut).select("page_key", *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "height")])
-    a, b = box(), box("o_")
-    covered = boxes.filter(cut).join(whole, "page_key").filter((intersection(a, b) >= 0.75 * area(a)) & (area(b) <= 4 * area(a)))
-    return boxes.join(covered.select("page_key", "idx").distinct(), ["page_key", "idx"], "left_anti")
+CELL = 512
 
 
-def uncovered(candidates: DataFrame, boxes: DataFrame, share: float = 0.7) -> DataFrame:
-    """Candidates of which no box of the page covers the given share."""
-    other = boxes.select("page_key", *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "height")])
-    hit = candidates.join(other, "page_key").filter(contained(box(), box("o_")) >= share)
-    return candidates.join(hit.select("page_key", "idx").distinct(), ["page_key", "idx"], "left_anti")
+def in_cells(boxes: DataFrame, side: str, cell: int, *more: str) -> DataFrame:
+    """The boxes' columns with a prefix, once for each grid cell (page_key, cx, cy) that they lie in."""
+    steps = lambda start, size: F.explode(F.sequence(floor_div(F.col(start), F.lit(cell)), floor_div(F.col(start) + F.greatest(F.col(size), F.lit(1)) - 1, F.lit(cell))))
+    spread = boxes.select("page_key", "idx", "x", "y", "width", "height", *more).withColumn("cx", steps("x", "width")).withColumn("cy", steps("y", "height"))
+    return spread.select("page_key", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in ("idx", "x", "y", "width", "height", *more)])
 
 
-def overlapping_pairs(boxes: DataFrame, cell: int = 512) -> DataFrame:
-    """Pairs a < b of boxes of a page that overlap. Boxes meet by grid cells, and a pair is taken in the first cell that
+def meetings(one: DataFrame, other: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs of boxes (a_, b_) of a page that overlap. They meet by grid cells, and a pair is taken in the first cell that
     both lie in, so that crowded pages are not compared all with all."""
-    steps = lambda start, size: F.explode(F.sequence(floor_div(F.col(start), F.lit(cell)), floor_div(F.col(start) + F.greatest(F.col(size), F.lit(1)) - 1, F.lit(cell))))
-    spread = boxes.select("page_key", "idx", "x", "y", "width", "height").withColumn("cx", steps("x", "width")).withColumn("cy", steps("y", "height"))
-    a, b = spread.select("page_key", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in ("idx", "x", "y", "width", "height")]), spread.select("page_key", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ("idx", "x", "y", "width", "height")])
     first = (F.col("cx") == floor_div(F.greatest("a_x", "b_x"), F.lit(cell))) & (F.col("cy") == floor_div(F.greatest("a_y", "b_y"), F.lit(cell)))
-    met = a.join(b, ["page_key", "cx", "cy"]).filter((F.col("a_idx") < F.col("b_idx")) & first & (intersection(box("a_"), box("b_")) > 0))
-    return met.select("page_key", F.col("a_idx").alias("a"), F.col("b_idx").alias("b"))
+    met = in_cells(one, "a", cell).join(in_cells(other, "b", cell), ["page_key", "cx", "cy"])
+    return met.filter(first & (intersection(box("a_"), box("b_")) > 0))
+
+
+def without_fragments(boxes: DataFrame, cut: Column) -> DataFrame:
+    """Boxes without those cut at a strip's edge that a whole box of at most four times their area covers by 75 %. A box
+    without area is covered by any such box, which has none either, so it stays."""
+    a, b = box("a_"), box("b_")
+    covered = meetings(boxes.filter(cut), boxes.filter(~cut)).filter((intersection(a, b) >= 0.75 * area(a)) & (area(b) <= 4 * area(a)))
+    return boxes.join(covered.select("page_key", F.col("a_idx").alias("idx")).distinct(), ["page_key", "idx"], "left_anti")
+
+
+def uncovered(candidates: DataFrame, boxes: DataFrame, share: float = 0.7) -> DataFrame:
+    """Candidates of which no box of the page covers the given share, which is above 0."""
+    hit = meetings(candidates, boxes).filter(contained(box("a_"), box("b_")) >= share)
+    return candidates.join(hit.select("page_key", F.col("a_idx").alias("idx")).distinct(), ["page_key", "idx"], "left_anti")
+
+
+def overlapping_pairs(boxes: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs a < b of boxes of a page that overlap."""
+    return meetings(boxes, boxes, cell).filter("a_idx < b_idx").select("page_key", F.col("a_idx").alias("a"), F.col("b_idx").alias("b"))
 
 
 def clusters(boxes: DataFrame) -> DataFrame:

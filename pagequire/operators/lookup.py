@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,33 +94,24 @@ def term_changes(stored: DataFrame, imported: DataFrame, key: str) -> DataFrame:
     return imported.join(old, key, "left").groupBy(kind.alias("change")).agg(F.count("*").alias("terms"))
 
 
-#: Terms that a search takes at most; each task keeps them.
-MAX_TERMS = 200_000
+#: Characters of a term by which it meets texts; shorter terms meet by all they have.
+GRAM = 4
 
 
 def relevant_terms(terms: DataFrame, texts: DataFrame, batch: str, text: str) -> DataFrame:
     """The terms whose source stands anywhere in a text of a batch, in any case: batch with the terms' columns.
 
-    All sources are searched in one pass over each text, by an automaton over the folded sources; a list of over MAX_TERMS
-    sources is an error."""
-    folded = casefold(F.col("source"))
-    keyed = terms.filter(has_text(F.col("source"))).withColumn("__key", folded)
-    sources = [r[0] for r in keyed.select("__key").distinct().limit(MAX_TERMS + 1).collect()]
-    if len(sources) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms")
-
-    def search(frames):
-        import ahocorasick
-
-        tree = ahocorasick.Automaton()
-        for s in sources:
-            tree.add_word(s, s)
-        if sources:
-            tree.make_automaton()
-        for frame in frames:
-            hits = [{w for _, w in tree.iter(t.casefold())} if t and sources else () for t in frame[text]]
-            yield pd.DataFrame({batch: frame[batch], "__key": [sorted(h) for h in hits]}).explode("__key").dropna()
-
-    kind = texts.schema[batch].dataType.simpleString()
-    found = texts.select(batch, text).mapInPandas(search, f"`{batch}` {kind}, __key string").distinct()
+    A term is filed under its first characters, up to GRAM of them, and a text asks for each of its distinct runs of so
+    many; only terms that begin with one are looked for in it, which then is fetched by its hash. Neither terms nor texts come to one place."""
+    keyed = terms.filter(has_text(F.col("source"))).withColumn("__key", casefold(F.col("source")))
+    keyed = keyed.withColumn("__gram", F.substring("__key", 1, GRAM))
+    folded = texts.select(batch, casefold(F.col(text)).alias("__text")).filter("__text <> ''").withColumn("__id", F.xxhash64("__text"))
+    places = F.sequence(F.lit(1), F.length("__text"))
+    runs = lambda n: F.transform(places, lambda i: F.substring(F.col("__text"), i, F.lit(n)))
+    sizes = keyed.select(F.length("__gram").alias("n")).distinct()  # at most GRAM rows
+    asked = folded.crossJoin(F.broadcast(sizes)).withColumn("__grams", F.coalesce(*[F.when(F.col("n") == n, F.array_distinct(runs(n))) for n in range(1, GRAM + 1)]))
+    asked = asked.select("__id", F.explode("__grams").alias("__gram")).distinct()
+    maybe = asked.join(keyed.select("__gram", "__key").distinct(), "__gram").select("__id", "__key").distinct()
+    hit = maybe.join(folded, "__id").filter(F.col("__text").contains(F.col("__key")))
+    found = hit.select(batch, "__key").distinct()
     return found.join(keyed, "__key").select(batch, *terms.columns)

@@ -51,9 +51,12 @@ def evenly_sampled(rows: DataFrame, group: str, order: list[str], most: int = 40
     return placed.filter((F.col("__n") <= most) | (F.floor(k * F.col("__n") / most) == F.col("__i"))).drop("__i", "__n")
 
 
-def latency_choice(latencies: Column, least: int = 4, last: int = 8) -> Column:
-    """The upper median of the last latencies, null while there are fewer than `least`."""
-    return F.when(F.size(latencies) >= least, upper_median(F.slice(latencies, F.greatest(F.lit(1), F.size(latencies) - (last - 1)), F.lit(last))))
+def latency_choice(rows: DataFrame, key: str, order: list[str], value: str, least: int = 4, last: int = 8) -> DataFrame:
+    """latency of each key: the upper median of its last values, null while there are fewer than `least`. Rows are ranked
+    before they are gathered, so that no key is gathered whole."""
+    back = F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    recent = rows.withColumn("__back", back).filter(F.col("__back") <= last).groupBy(key).agg(F.collect_list(value).alias("__v"))
+    return recent.select(key, F.when(F.size("__v") >= least, upper_median(F.col("__v"))).alias("latency"))
 
 
 def bounding_box(boxes: DataFrame, group: str) -> DataFrame:
@@ -76,10 +79,13 @@ def capped_sizes(regions: DataFrame, size: Column, dialogue: Column) -> DataFram
     return regions.withColumns({k: F.when(change, v).otherwise(F.col(k)) for k, v in new.items()} | {"changed": change})
 
 
-def coverage(expected: DataFrame, boxes: DataFrame, group: str) -> DataFrame:
-    """How many expected boxes have their centre inside some box of the group, of how many."""
-    o = boxes.select(group, *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "height")])
+def coverage(expected: DataFrame, boxes: DataFrame, group: str, cell: int = 512) -> DataFrame:
+    """How many expected boxes have their centre inside some box of the group, of how many. Centres meet the boxes of
+    their grid cell alone."""
+    at = lambda c: F.floor(c / cell)
+    steps = lambda start, size: F.explode(F.sequence(at(F.col(start)), at(F.col(start) + F.greatest(F.col(size), F.lit(0)))))
+    o = boxes.withColumn("__cx", steps("x", "width")).withColumn("__cy", steps("y", "height")).select(group, "__cx", "__cy", *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "height")])
     cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
     inside = (cx >= F.col("o_x")) & (cx <= F.col("o_x") + F.col("o_width")) & (cy >= F.col("o_y")) & (cy <= F.col("o_y") + F.col("o_height"))
-    met = expected.join(o, group).filter(inside).select(group, "idx").distinct().withColumn("__met", F.lit(True))
+    met = expected.withColumns({"__cx": at(cx), "__cy": at(cy)}).join(o, [group, "__cx", "__cy"]).filter(inside).select(group, "idx").distinct().withColumn("__met", F.lit(True))
     return expected.join(met, [group, "idx"], "left").groupBy(group).agg(F.count_if(flag("__met")).alias("covered"), F.count("*").alias("expected"))

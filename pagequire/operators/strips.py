@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from ..functions.values import floor_div
 
 
-def offsets(pages: DataFrame, chapter: str = "chapter_id", order: str = "ord", placed: Column | None = None) -> DataFrame:
-    """Pages with y, the heights before them, and x, centred in the widest page. `placed`: pages that take up room."""
-    turn = W.partitionBy(chapter).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+def offsets(pages: DataFrame, chapter: str = "chapter_id", order: str = "ord", placed: Column | None = None, span: int = 4096) -> DataFrame:
+    """Pages with y, the heights before them, and x, centred in the widest page. `placed`: pages that take up room.
+
+    Heights are summed by ranges of `span` places first, so that a task sorts one range of a chapter, not all of it."""
     height = F.col("height") if placed is None else F.when(placed, F.col("height")).otherwise(0)
-    widest = F.max("width").over(W.partitionBy(chapter))
-    return pages.withColumns({"y": F.coalesce(F.sum(height).over(turn), F.lit(0)), "x": F.floor((widest - F.col("width")) / 2).cast("long")})
+    rows = pages.withColumns({"__range": floor_div(F.col(order), F.lit(span)), "__height": height})
+    whole = rows.groupBy(chapter, "__range").agg(F.sum("__height").alias("__sum"), F.max("width").alias("__wide"))
+    above = F.sum("__sum").over(W.partitionBy(chapter).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    whole = whole.select(chapter, "__range", F.coalesce(above, F.lit(0)).alias("__above"), F.max("__wide").over(W.partitionBy(chapter)).alias("__widest"))
+    turn = W.partitionBy(chapter, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__within", F.coalesce(F.sum("__height").over(turn), F.lit(0))).join(whole, [chapter, "__range"])
+    return rows.select(*[F.col(c) for c in pages.columns if c not in ("x", "y")], (F.col("__above") + F.col("__within")).alias("y"), F.floor((F.col("__widest") - F.col("width")) / 2).cast("long").alias("x"))
 
 
 def strip_size(pages: DataFrame, chapter: str = "chapter_id") -> DataFrame:
@@ -39,16 +45,23 @@ def intersecting(placed: DataFrame, ranges: DataFrame, chapter: str = "chapter_i
     return spread.join(pages, [chapter, "__cell"]).filter(over & first).drop("__cell")
 
 
-def page_at(placed: DataFrame, points: DataFrame, chapter: str = "chapter_id", order: str = "ord") -> DataFrame:
+def page_at(placed: DataFrame, points: DataFrame, chapter: str = "chapter_id", order: str = "ord", cell: int = 1 << 16) -> DataFrame:
     """Points (point_id, at) with the page under them; before the first page it is the first, behind the last the last.
 
-    As-of by one sort: the points and the pages' starts are merged, and each point takes the last start before it."""
+    As-of by sorts: the points and the pages' starts are merged cell by cell of the strip, each point takes the last start
+    before it in its cell, or else the last one of the cells above."""
     none = F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id")
     starts = placed.filter("height > 0").select(chapter, F.col("y").cast("double").alias("at"), F.lit(0).alias("__kind"), none, F.struct(F.col(order).alias("ord"), "page_key").alias("__page"))
     asked = points.select(chapter, F.col("at").cast("double").alias("at"), F.lit(1).alias("__kind"), "point_id", F.lit(None).cast(starts.schema["__page"].dataType).alias("__page"))
-    turn = W.partitionBy(chapter).orderBy("at", "__kind").rowsBetween(W.unboundedPreceding, 0)
-    both = starts.unionByName(asked).withColumn("__found", F.last("__page", ignorenulls=True).over(turn)).withColumn("__first", F.min("__page").over(W.partitionBy(chapter)))
-    return both.filter("__kind = 1").withColumn("__found", F.coalesce("__found", "__first")).filter("__found is not null").select(chapter, "point_id", "at", "__found.*")
+    in_cell = floor_div(F.col("at"), F.lit(float(cell))).alias("__cell")
+    both = starts.unionByName(asked).select("*", in_cell)
+    last = both.groupBy(chapter, "__cell").agg(F.max(F.when(F.col("__kind") == 0, F.struct("at", "__page"))).alias("__last"), F.min("__page").alias("__least"))
+    cells = W.partitionBy(chapter)
+    above = F.last("__last", ignorenulls=True).over(cells.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1))
+    last = last.select(chapter, "__cell", above["__page"].alias("__above"), F.min("__least").over(cells).alias("__first"))
+    turn = W.partitionBy(chapter, "__cell").orderBy("at", "__kind").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("__found", F.last("__page", ignorenulls=True).over(turn)).filter("__kind = 1").join(last, [chapter, "__cell"])
+    return found.withColumn("__found", F.coalesce("__found", "__above", "__first")).filter("__found is not null").select(chapter, "point_id", "at", "__found.*")
 
 
 def neighbours(pages: DataFrame, active: Column, radius: int, order: str = "ord") -> DataFrame:

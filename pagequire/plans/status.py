@@ -144,8 +144,7 @@ def a3_evenly_sampled(t: Tables) -> DataFrame:
 
 @query("WITH l AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id), x AS (SELECT user_id, len(v) AS n, list_sort(v[greatest(1, len(v) - 7):]) AS w FROM l) SELECT user_id, CASE WHEN n >= 4 THEN w[len(w) // 2 + 1] END AS latency FROM x")
 def a13_latency(t: Tables) -> DataFrame:
-    values = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"])
-    return t.events.groupBy("user_id").agg(values.alias("v")).select("user_id", metrics.latency_choice(F.col("v")).alias("latency"))
+    return metrics.latency_choice(t.events, "user_id", ["ts", "event_id"], "value")
 
 
 @query("SELECT count(*) AS items, sum(n_chars)::BIGINT AS bytes, count_if(l.doc_id IS NOT NULL) AS hits, count_if(l.doc_id IS NULL) AS misses FROM documents d LEFT JOIN labels l USING (doc_id)")
