@@ -25,7 +25,7 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 TEMPLATES = [
     ("mit-notice", "[[this software is]] released under the [[terms of the]] mit license"),
     ("mit-notice", "licensed under the [[terms of the]] mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("apache-2.0", "licensed under the apache license version 2 0 [[the license]]"),
     ("gpl-2.0", "[[this {{3}} is]] licensed under the gnu general public license version 2"),
     ("gpl-3.0", "[[this {{3}} is]] licensed under the gnu general public license version 3"),
@@ -39,6 +39,48 @@ TEMPLATES = [
     ("cc-by-nc-sa-4.0", "licensed under [[a]] [[creative commons]] cc by nc sa 4 0"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("all-rights-reserved", "copyright [[c]] {{8}} all rights reserved"),
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights "
+        "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall {{8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd-2-text",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "[[3]] [[neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]] "
+        "this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    (
+        "bsd-3-text",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "[[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    (
+        "isc-full-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and {{6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ),
+    (
+        "zlib-text",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    ),
+    (
+        "apache-2.0-notice",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl-notice",
+        "[[this program]] {{4}} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{1}} of the license or at your option any later version "
+        "{{4}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ),
 ]
 
 
@@ -145,7 +187,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns the id, n_words, n_base (places of all phrases), first_word and last_word (smallest and largest start of a
     phrase), base_labels, labels (with those of accepted templates; both sorted and comma-joined), spans (label, first
     word, past the last word), and score: the largest share of a template's mandatory words that was met in order, 1
-    where one is accepted. Null and empty texts have no words and no labels. Repeated rows are scanned alike. Templates
+    where one is accepted; templates whose longest mandatory word is nowhere in the text are passed over and count 0. Null and empty texts have no words and no labels. Repeated rows are scanned alike. Templates
     that accept the same words all count. Columns other than id and text are not read. No shuffle.
     """
     automata = [(a, a.starts()) for a in (compile_template(*t) for t in templates or TEMPLATES)]

@@ -82,7 +82,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     # what is not finite becomes null, and vectors with nulls take no part
-    whole = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.floor(x * 256).cast("int"))
+    whole = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.floor(x * 256))
     rows = rows.select("vec_id", F.transform("v", whole).alias("v"))
     return top_k(rows, "v", "vec_id", F.col("vec_id") % 50 == 0, 5)
 

@@ -14,18 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rows of a block, and queries of a group: 64 dimensions take 2 and 4 MB.
+#: Rows of a block, and queries of a group: 64 dimensions take 4 and 8 MB.
 BLOCK_ROWS, GROUP_QUERIES = 8192, 16384
 
 
 def matrix(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.int32).reshape(len(blobs), -1)
+    return np.frombuffer(b"".join(blobs), np.int64).reshape(len(blobs), -1)
 
 
 def threshold_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each query the k best (id, score) of these rows but its own, ties to smaller ids: query index, id, score.
-    Exact while scores stay below 2**52 over the number of rows, since scores and ranks are kept in one float64."""
+    Scores and ranks are kept in one float64 where that is exact, that is while scores stay below 2**52 over the number of
+    rows; else in integers. A score that could leave 64 bits is an error."""
     n, dims = rows.shape
+    most = float(np.abs(rows.astype(float)).sum(1).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0))
+    if most * n >= 1 << 51:  # near a bound: exactly
+        most = max(map(int, np.abs(rows.astype(object)).sum(1)), default=0) * max(abs(int(x)) for x in (queries.max(initial=0), queries.min(initial=0)))
+    if most >= 1 << 63:
+        raise ValueError("scores do not fit into 64 bits")
+    if most * n >= 1 << 52:
+        return integer_search(ids, rows.astype(np.int64), query_ids, queries.astype(np.int64), k)
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order].astype(np.float64)
     lists = np.argsort(rows, axis=0, kind="stable")
@@ -66,14 +74,42 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, q
     return q, ids[at], score.astype(np.int64)
 
 
+def integer_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same in 64-bit integers, query by query: the lists are read deeper until the threshold is below the k-th best."""
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], rows[order]
+    lists = np.argsort(rows, axis=0, kind="stable")
+    values, n = np.take_along_axis(rows, lists, 0), len(ids)
+    out = []
+    for i, (own, query) in enumerate(zip(query_ids, queries, strict=True)):
+        helps = np.flatnonzero(query)  # of every other list only one end raises the score
+        best, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        seen, depth = np.zeros(n, bool), 0
+        seen[ids == own] = True
+        while depth < n:
+            reached = min(n, max(1, 2 * depth))
+            ends = [lists[n - reached : n - depth, d] if query[d] > 0 else lists[depth:reached, d] for d in helps] if len(helps) else [lists[depth:reached, 0]]
+            fresh = np.unique(np.concatenate(ends))
+            fresh = fresh[~seen[fresh]]
+            seen[fresh] = True
+            best, at, depth = np.concatenate([best, rows[fresh] @ query]), np.concatenate([at, fresh]), reached
+            first = np.lexsort((at, -best))[:k]
+            best, at = best[first], at[first]
+            if depth < n and len(best) == k and best[-1] > np.where(query > 0, query * values[n - 1 - depth], query * values[depth]).sum():
+                break
+        out.append((np.full(len(at), i), ids[at], best))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate([empty, *[x[j] for x in out]]).astype(np.int64) for j in range(3))
+
+
 def top_k(rows: DataFrame, vec_col: str, id_col: str, is_query: Column, k: int, block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """The k best inner products of every query row with every other row.
 
-    `rows`: an id (long) and a vector (array of int). Returns query_id, rank (from 1), the candidate's id and the score,
+    `rows`: an id (long) and a vector (array of long). Returns query_id, rank (from 1), the candidate's id and the score,
     ties to the smaller id; all candidates where there are fewer than k. Vectors that are null, hold nulls or are empty
     take no part; nor do those of another length than most (the longest of the most common lengths). Rows that repeat an
     id count as one candidate each, but never as a candidate of that id's query; a repeated query row gives one set of
-    answers. An empty table gives no rows. Blocks of rows meet groups of queries, both of bounded size; a block sends on
+    answers. A score that could leave 64 bits is an error. An empty table gives no rows. Blocks of rows meet groups of queries, both of bounded size; a block sends on
     k rows a query.
     """
     from functools import partial
@@ -89,7 +125,7 @@ def top_k(rows: DataFrame, vec_col: str, id_col: str, is_query: Column, k: int,
     def packed(batches):
         for b in batches:
             vec = b.column(1)
-            flat = np.ascontiguousarray(vec.flatten().to_numpy(zero_copy_only=False), np.int32).reshape(-1, main.d)
+            flat = np.ascontiguousarray(vec.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(-1, main.d)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat], pa.binary()), b.column(2)], names=["id", "blob", "query"])
 
     flat = ready.mapInArrow(packed, "id long, blob binary, query boolean")

@@ -33,6 +33,16 @@ PATTERN_RULES = [
     ("tracker-path", r"/(ads|track)/click\b", ("click",), "block"),
     ("login-page", r"/(account/)?login\b", ("login",), "block"),
 ]
+# fixed values: words that a host to be blocked has
+HOST_WORDS = ["bingo", "escort", "escorts", "jackpot", "keygen", "lottery", "malware", "nude", "nudes", "phishing", "poker", "roulette", "slots", "sportsbook", "viagra", "xxx"]
+# fixed values: words that make a url to be blocked one behind the other, by a mark between them
+FIRST_WORDS, SECOND_WORDS = ["best", "buy", "cheap", "free", "hot", "win"], ["bets", "casino", "credit", "diploma", "essays", "followers", "loans", "meds", "pills", "poker", "replica", "slots", "spins", "viagra", "watches"]
+# fixed values: words that a path to be blocked has as a whole part
+PATH_WORDS = ["adserver", "clicktrack", "popunder", "signin", "signup", "unsubscribe"]
+# every rule is made of its words, so these are its tokens
+PATTERN_RULES += [(f"host-{w}", rf"://[^/?#]*\b{w}\b", (w,), "block") for w in HOST_WORDS]
+PATTERN_RULES += [(f"words-{a}-{b}", rf"\b{a}[-_+.]{b}\b", (a, b), "block") for a in FIRST_WORDS for b in SECOND_WORDS]
+PATTERN_RULES += [(f"path-{w}", rf"://[^/?#]*/([^?#]*/)?{w}([/?#.]|$)", (w,), "block") for w in PATH_WORDS]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,14 +55,25 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def site_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """The longest rule `host/path` whose host is the url's or a domain above it and whose path begins the url's."""
-    rule = verdict = F.lit(None).cast("string")
-    for text, action in sorted(rules, key=lambda r: (len(r[0]), r[0])):
-        at = text.index("/")
-        fits = F.concat(F.lit("."), host).endswith("." + text[:at]) & path.startswith(text[at:])
-        rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(action)).otherwise(verdict)
-    return rule, verdict
+def by_host(rules: list[tuple[str, str]]) -> dict[str, list[tuple[str, str, str]]]:
+    """Host to its rules (path, rule, verdict), the longest first."""
+    found: dict[str, list[tuple[str, str, str]]] = {}
+    for rule, action in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        at = rule.index("/")
+        found.setdefault(rule[:at], []).append((rule[at:], rule, action))
+    return found
+
+
+def site_rule(host: str, path: str, rules: dict[str, list[tuple[str, str, str]]]) -> tuple[str, str] | tuple[None, None]:
+    """The longest rule `host/path` (and its verdict) whose host is the url's or a domain above it and whose path begins
+    the url's: one look-up for each domain, whatever the number of rules."""
+    best = None
+    labels = host.split(".")
+    for i in range(len(labels)):
+        hit = next((r for r in rules.get(".".join(labels[i:]), ()) if path.startswith(r[0])), None)
+        if hit and (best is None or (len(hit[1]), hit[1]) > (len(best[1]), best[1])):
+            best = hit
+    return (best[1], best[2]) if best else (None, None)
 
 
 def rarest_tokens(urls: DataFrame, url_col: str, patterns: list[tuple]) -> dict[str, str]:
@@ -71,7 +92,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Returns the id, host, path, rule (the longest site rule, else null), pattern (the first pattern rule by name that
     matches where no site rule fits, else null) and verdict. A null url, or one without `://`, has an empty host and
-    path, fits no rule and gets the default. Repeated urls are judged alike. Other columns are not read. Rules are at
+    path and fits no site rule; patterns see the whole of a url, so they may match one without `://`. Repeated urls are judged alike. Other columns are not read. Rules are at
     most MAX_RULES, or it is an error. One pass to count the rules' tokens, one to judge; no rows are shuffled but
     counts of tokens.
     """
@@ -84,22 +105,24 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     key = rarest_tokens(pages, url_col, patterns)
     filed: dict[str, list[tuple]] = {}
     for name, expression, _, action in sorted(patterns):
-        filed.setdefault(key[name], []).append((name, re.compile(expression), action))
+        filed.setdefault(key[name], []).append((name, re.compile(expression, re.ASCII), action))
+    sites = by_host(site_rules)
 
     def judge(batch: pa.RecordBatch) -> dict:
-        names, verdicts = [], []
-        for url, action in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+        rules, names, verdicts = [], [], []
+        for url, host, path in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+            rule, action = site_rule(host, path, sites)
             hit = None
             if action is None and url:
                 low = url.lower()
                 fetched = sorted((r for t in {*TOKEN.findall(low)} & filed.keys() for r in filed[t]), key=lambda r: r[0])
                 hit = next((r for r in fetched if r[1].search(low)), None)
+            rules.append(rule)
             names.append(hit and hit[0])
             verdicts.append(action or (hit[2] if hit else default))
-        return {id_col: batch.column(0), "host": batch.column(1), "path": batch.column(2), "rule": batch.column(3), "pattern": names, "verdict": verdicts}
+        return {id_col: batch.column(0), "host": batch.column(2), "path": batch.column(3), "rule": rules, "pattern": names, "verdict": verdicts}
 
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(id_col, url_col, host.alias("__host"), path.alias("__path"))
-    rule, action = site_rule(F.col("__host"), F.col("__path"), site_rules)
     kind = pages.schema[id_col].dataType.simpleString()
-    return map_rows(rows.select(id_col, "__host", "__path", rule.alias("__rule"), url_col, action.alias("__action")), judge, f"`{id_col}` {kind}, host string, path string, rule string, pattern string, verdict string")
+    return map_rows(rows, judge, f"`{id_col}` {kind}, host string, path string, rule string, pattern string, verdict string")

@@ -66,3 +66,47 @@ def test_query_leaves_out_broken_vectors(spark, folder):
     out = [tuple(x) for x in queries.op8_top_k(spark, folder(embeddings=frame)).orderBy("query_id", "rank").collect()]
     assert out == [(0, 1, 2, 128 * 128 + 64 * 128), (0, 2, 4, 128 * 128 + 64 * 128)]
     assert queries.op8_top_k(spark, folder(embeddings=frame.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("size", [10**5, 10**7, 2 * 10**9])
+def test_large_components_are_exact(spark, size):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(9)
+    m = r.integers(-3, 4, (120, 4)).astype(object)
+    m[:, 0] = m[:, 0] // 3 * size
+    m[7], m[8] = m[9], m[9]
+    frame = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in enumerate(m)], "vec_id long, v array<long>")
+    got = {}
+    for x in sorted(top_k(frame, "v", "vec_id", F.col("vec_id") % 7 == 0, 5, 40, 8).collect(), key=lambda x: x["rank"]):
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    want = {}
+    for q in range(0, 120, 7):
+        want[q] = [(i, -s) for s, i in sorted((-sum(a * b for a, b in zip(m[q], m[i], strict=True)), i) for i in range(120) if i != q)[:5]]
+    assert got == want
+
+
+def test_scores_beyond_64_bits_are_an_error():
+    with pytest.raises(ValueError):
+        threshold_search(np.arange(2), np.full((2, 2), 1 << 40), np.array([0]), np.full((1, 2), 1 << 40), 1)
+
+
+def test_large_component_of_the_query(spark, folder):
+    frame = spark.createDataFrame([(0, [1e7, 0.5]), (1, [1e7, 0.25]), (2, [-1.0, 1.0])], "vec_id long, embedding array<double>")
+    out = [tuple(x) for x in queries.op8_top_k(spark, folder(embeddings=frame)).orderBy("rank").collect()]
+    assert out == [(0, 1, 1, 2560000000**2 + 128 * 64), (0, 2, 2, -2560000000 * 256 + 128 * 256)]
+
+
+def test_integers_stop_early():
+    """Rows whose values fall off: the lists are read a few ranks deep, and few rows are scored."""
+    rows = np.zeros((4000, 8), np.int64)
+    rows[:10] = 1 << 28
+    scored = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            scored.append(len(self))
+            return np.asarray(self) @ np.asarray(other)
+
+    topk_search.integer_search(np.arange(4000), rows.view(Counted), np.array([-1]), np.full((1, 8), 1 << 28), 5)
+    assert 0 < sum(scored) < 400

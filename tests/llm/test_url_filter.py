@@ -38,3 +38,43 @@ def test_rules_are_filed_under_their_rarest_token(spark):
 def test_rules_without_tokens_are_refused(spark):
     with pytest.raises(ValueError):
         filter_urls(spark.createDataFrame([(1, "x")], "page_id long, url string"), patterns=[("r", ".*", (), "block")])
+
+
+def test_tokens_stand_in_every_match():
+    """Of urls made of the rules' words, each match of a rule has all the rule's tokens."""
+    import itertools
+    import re
+
+    from pagequire.llm.url_filter import FIRST_WORDS, HOST_WORDS, PATH_WORDS, PATTERN_RULES, SECOND_WORDS, TOKEN
+
+    words = [*FIRST_WORDS, *SECOND_WORDS, *HOST_WORDS, *PATH_WORDS, "adult", "porn", "torrent", "track/click", "account/login", "warez"]
+    urls = [f"http://{a}{m}{b}.org/{c}/x.{a}" for a, b in itertools.islice(itertools.product(words, words), 0, None, 3) for m in ("-", "_", ".", "x") for c in (b,)]
+    hits = 0
+    for _, expression, tokens, _ in PATTERN_RULES:
+        rule = re.compile(expression, re.ASCII)
+        for url in urls:
+            if rule.search(url):
+                hits += 1
+                assert {*tokens} <= {*TOKEN.findall(url)}
+    assert hits > 1000 and len(PATTERN_RULES) > 100 and len({r[0] for r in PATTERN_RULES}) == len(PATTERN_RULES)
+
+
+def test_site_rules_by_host_equal_a_plain_loop():
+    import random
+
+    from pagequire.llm.url_filter import by_host, site_rule
+
+    r = random.Random(2)
+    hosts = ["com", "a.com", "b.a.com", "x.org", "org", ""]
+    rules = [(f"{h}{p}", r.choice(["allow", "block"])) for h in hosts[:5] for p in ("/", "/en/", "/en/x") if r.random() < 0.7]
+    for host in [*hosts, "c.b.a.com", "aa.com", "com.org", "..com"]:
+        for path in ("", "/", "/en/", "/en/xy", "/fr"):
+            fits = [(len(t), t, v) for t, v in rules if f".{host}".endswith("." + t.split("/")[0]) and path.startswith(t[t.index("/") :])]
+            assert site_rule(host, path, by_host(rules)) == (max(fits)[1:] if fits else (None, None))
+
+
+def test_url_without_a_scheme(spark):
+    from pagequire.llm.url_filter import filter_urls
+
+    rows = spark.createDataFrame([(1, "foo/login"), (2, "foo.com/en"), (3, None)], "page_id long, url string")
+    assert sorted(tuple(x) for x in filter_urls(rows).collect()) == [(1, "", "", None, "login-page", "block"), (2, "", "", None, None, "allow"), (3, "", "", None, None, "allow")]
