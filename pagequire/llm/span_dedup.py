@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACES, byte_texts, free, kept, map_rows, mix64, powers, word_hashes
+from .text import SPACES, byte_texts, free, kept, map_rows, mix64, powers, scratch, word_hashes
 
 #: Words of a piece at most, and of a run at least: what any 51 words in a row hold between their first and last cut.
 REACH = 8
@@ -111,14 +111,16 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = map_rows(docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col), hashed, f"id {kind}, h array<long>, at array<long>")
-    spans = kept(found.select("id", F.explode(F.arrays_zip("h", "at")).alias("s")).select("id", F.col("s.h").alias("h"), F.col("s.at").alias("at")))
-    first = spans.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    hits = spans.join(first, "h").filter(F.struct("id", "at") != F.col("first")).select("id", "at", F.col("first.id").alias("first_id"))
     key, places, ids = free(docs, "id", "places", "ids")
-    # a document has at most two runs for each piece
-    gone = hits.groupBy(F.col("id").alias(key)).agg(F.collect_set("at").alias(places), F.collect_set("first_id").alias(ids))
+    with scratch(docs.sparkSession) as spare:
+        spans = kept(found.select("id", F.explode(F.arrays_zip("h", "at")).alias("s")).select("id", F.col("s.h").alias("h"), F.col("s.at").alias("at")))
+        # written, so that what is shuffled to find repeated runs has gone when all runs are shuffled to meet them
+        first = kept(spans.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"))
+        hits = spans.join(first, "h").filter(F.struct("id", "at") != F.col("first")).select("id", "at", F.col("first.id").alias("first_id"))
+        # a document has at most two runs for each piece
+        gone = spare(hits.groupBy(F.col("id").alias(key)).agg(F.collect_set("at").alias(places), F.collect_set("first_id").alias(ids)))
     names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "removed", "first_ids")]
-    joined = docs.select(*names).join(kept(gone), F.col(id_col) == F.col(key), "left").drop(key)
+    joined = docs.select(*names).join(gone, F.col(id_col) == F.col(key), "left").drop(key)
 
     def rewrite(batch: pa.RecordBatch) -> dict:
         cols = dict(zip(batch.schema.names, batch.columns, strict=True))
