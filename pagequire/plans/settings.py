@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fonts, imports, shapes
+from ..operators import fonts, imports, limits, shapes
 from .base import BOXES, REGIONS, Collector, Tables
 
 query = Collector()
@@ -179,4 +179,47 @@ def g8_crop_batches(t: Tables) -> DataFrame:
     return shapes.crop_batches(t.boxes(), "page_key", "idx", 4, 30_000, 150, 40).select("page_key", "idx", "batch")
 
 
+STYLES = """styles_ AS (SELECT p_partkey AS id, p_partkey % 5 AS m5, p_size * 20 - 100 AS size, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 1000 END AS weight, p_partkey % 3 = 1 AS bold,
+ ['upper', 'TITLE', 'lower', NULL][p_partkey % 4 + 1] AS cased, ['SCREEN', 'overlay', 'none'][p_partkey % 3 + 1] AS blend, p_partkey - 500 AS angle,
+ [' #ab12cd ', 'red', '#F0a', '#12345'][p_partkey % 4 + 1] AS colour, p_size * 5 - 120 AS node, p_partkey * 3 AS quad FROM part)"""
+
+
+def _turns(*values: str | None) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % len(values) + 1).cast("int"))
+
+
+@query(f"""WITH {STYLES} SELECT id, least(300, greatest(6, size))::VARCHAR AS font_size,
+ CASE WHEN weight IS NULL THEN CASE WHEN bold THEN '700' ELSE '400' END ELSE list_sort(list_transform(range(100, 1000, 100), lambda x: [abs(x - weight), x]))[1][2]::VARCHAR END AS font_weight,
+ CASE WHEN cased IN ('upper', 'lower') THEN cased ELSE 'original' END AS text_case, CASE blend WHEN 'none' THEN 'normal' ELSE lower(blend) END AS blend_mode,
+ (((angle % 360) + 360) % 360)::VARCHAR AS gradient_angle, CASE colour WHEN ' #ab12cd ' THEN '#AB12CD' WHEN '#F0a' THEN '#F0A' ELSE '#FFFFFF' END AS stroke_color,
+ (CASE WHEN m5 = 0 THEN least(5000, quad) ELSE round_even(least(100, greatest(-100, node)) * 0.25, 0)::BIGINT END)::VARCHAR AS sfx_quad_tl_x, 'kept' AS note, true AS gone FROM styles_""")
+def p21_styles(t: Tables) -> DataFrame:
+    """Numbers beyond their limits, unknown words, odd colours, old bold flags and corners, and a key of no rule."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    values = {
+        "font_size": text(F.col("p_size") * 20 - 100), "font_weight": F.when(k % 3 == 0, text(k % 1000)), "bold": F.when(k % 3 == 1, "true"), "text_case": _turns("upper", "TITLE", "lower", None),
+        "blend_mode": _turns("SCREEN", "overlay", "none"), "gradient_angle": text(k - 500), "stroke_color": _turns(" #ab12cd ", "red", "#F0a", "#12345"),
+        "sfx_node_tl_x": text(F.col("p_size") * 5 - 120), "sfx_quad_tl_x": F.when(k % 5 == 0, text(k * 3)), "note": F.lit("kept"),
+    }
+    style = F.map_filter(F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v)]), lambda _, v: v.isNotNull())
+    rows = t.part.select(k.alias("id"), limits.style_in_limits(style).alias("s"))
+    shown = ["font_size", "font_weight", "text_case", "blend_mode", "gradient_angle", "stroke_color", "sfx_quad_tl_x", "note"]
+    return rows.select("id", *[F.col("s")[c].alias(c) for c in shown], (~F.map_contains_key("s", "bold")).alias("gone"))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS id, o_custkey - 50 AS scale, o_orderkey % 30000 - 15000 AS shift, ['center', 'left', 'top-right'][o_orderkey % 3 + 1] AS anchor, split_part(o_orderpriority, '-', 2) AS one, o_orderstatus AS two FROM orders)
+SELECT id, least(100, greatest(1, scale))::VARCHAR AS scale_percent, greatest(0, least(10000, shift))::VARCHAR AS margin_x, shift::VARCHAR AS offset_x, CASE anchor WHEN 'left' THEN 'bottom-right' ELSE anchor END AS anchor,
+ '48' AS minimum_gap, CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END AS keep_inside, CASE WHEN one = '' THEN two ELSE one || ',' || two END AS pages, shift || ',7' AS places FROM l""")
+def p22_logos(t: Tables) -> DataFrame:
+    k, shift = F.col("o_orderkey"), (F.col("o_orderkey") % 30000 - 15000).cast("string")
+    anchor = F.element_at(F.array(F.lit("center"), F.lit("left"), F.lit("top-right")), (k % 3 + 1).cast("int"))
+    values = {"scale_percent": (F.col("o_custkey") - 50).cast("string"), "margin_x": shift, "offset_x": shift, "anchor": anchor, "minimum_gap": F.lit("wide"), "keep_inside": (k % 2 == 0).cast("string")}
+    settings = F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v)])
+    one = F.coalesce(F.get(F.split("o_orderpriority", "-"), F.lit(1)), F.lit(""))
+    pages = limits.named_pages(F.array(one, F.col("o_orderstatus"), F.lit(""), one, F.col("o_orderstatus")))
+    points = limits.places(F.array(F.array(shift, F.lit("7"), F.lit("9")), F.array(shift)))
+    rows = t.orders.select(k.alias("id"), limits.logo_in_limits(settings).alias("s"), F.array_join(pages, ",").alias("pages"), F.array_join(F.flatten(points), ",").alias("places"))
+    return rows.select("id", *[F.col("s")[c].alias(c) for c in ("scale_percent", "margin_x", "offset_x", "anchor", "minimum_gap", "keep_inside")], "pages", "places")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql
