@@ -100,7 +100,35 @@ def op10_dedup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_sentences", "n_removed", "removed", F.array_sort("first_ids").alias("first_ids"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_quality_rules, op4_jaccard_join, op5_filter_urls, op6_toxicity, op7_quality_classifier, op8_top_k, op9_scan_licenses, op10_dedup_spans)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five nearest positives of every hundredth vector."""
+    from .hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    whole = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.floor(x * 256))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), F.transform("v", whole).alias("v"))
+    return hard_negatives(rows, "v", "vec_id", "label", F.col("vec_id") % 100 == 0, 5, 10, (30, 100), (90, 100))
+
+
+#: The tokenizer file of packed sequences.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 ids, with the crc of each piece's ids."""
+    from .packing import pack, with_crc
+
+    return with_crc(pack(table(spark, sf_dir, "documents"), TOKENIZER), "ids", "ids_crc32")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pieces, op2_mix_sources, op3_quality_rules, op4_jaccard_join, op5_filter_urls, op6_toxicity, op7_quality_classifier, op8_top_k, op9_scan_licenses, op10_dedup_spans, op11_hard_negatives, op12_pack, op13_spelling)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -139,5 +167,14 @@ WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding]::DOUBLE[] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score FROM v a, v c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """,
 }
