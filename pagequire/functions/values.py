@@ -41,8 +41,11 @@ def upper_median(values: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key of file names: runs of digits by value, the rest in lower case. Numbers are padded to 20 digits."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), r"(\d+)", "00000000000000000000$1"), r"0*(\d{20})(?!\d)", "$1")
+    """A sort key of file names: runs of digits by value, whatever their length, the rest in lower case. A number is
+    written behind the number of its digits."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    number = lambda d: F.concat(F.lpad(F.length(d).cast("string"), 9, "0"), d)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(F.regexp_replace(p, "^0+", ""))).otherwise(p)), "")
 
 
 def size_label(length: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,24 +98,45 @@ def term_changes(stored: DataFrame, imported: DataFrame, key: str) -> DataFrame:
     return imported.join(old, key, "left").groupBy(kind.alias("change")).agg(F.count("*").alias("terms"))
 
 
-#: Characters of a term by which it meets texts; shorter terms meet by all they have.
-GRAM = 4
+#: Terms, and characters of terms, that one automaton holds.
+SHARD_TERMS, SHARD_CHARS = 1 << 17, 1 << 23
 
 
-def relevant_terms(terms: DataFrame, texts: DataFrame, batch: str, text: str) -> DataFrame:
+def relevant_terms(terms: DataFrame, texts: DataFrame, batch: str, text: str, shard_terms: int = SHARD_TERMS) -> DataFrame:
     """The terms whose source stands anywhere in a text of a batch, in any case: batch with the terms' columns.
 
-    A term is filed under its first characters, up to GRAM of them, and a text asks for each of its distinct runs of so
-    many; only terms that begin with one are looked for in it, which then is fetched by its hash. Neither terms nor texts come to one place."""
+    Blank sources and null texts match nothing; repeated terms are each returned. The different sources are dealt into
+    shards of a bounded size; a task makes an automaton of a shard and reads each text once, whatever its length, so that
+    texts are not shuffled. A batch sends on each term it holds once for each of its texts."""
     keyed = terms.filter(has_text(F.col("source"))).withColumn("__key", casefold(F.col("source")))
-    keyed = keyed.withColumn("__gram", F.substring("__key", 1, GRAM))
-    folded = texts.select(batch, casefold(F.col(text)).alias("__text")).filter("__text <> ''").withColumn("__id", F.xxhash64("__text"))
-    places = F.sequence(F.lit(1), F.length("__text"))
-    runs = lambda n: F.transform(places, lambda i: F.substring(F.col("__text"), i, F.lit(n)))
-    sizes = keyed.select(F.length("__gram").alias("n")).distinct()  # at most GRAM rows
-    asked = folded.crossJoin(F.broadcast(sizes)).withColumn("__grams", F.coalesce(*[F.when(F.col("n") == n, F.array_distinct(runs(n))) for n in range(1, GRAM + 1)]))
-    asked = asked.select("__id", F.explode("__grams").alias("__gram")).distinct()
-    maybe = asked.join(keyed.select("__gram", "__key").distinct(), "__gram").select("__id", "__key").distinct()
-    hit = maybe.join(folded, "__id").filter(F.col("__text").contains(F.col("__key")))
-    found = hit.select(batch, "__key").distinct()
+    size = keyed.select("__key").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("__key")), F.lit(0)).alias("chars")).first()
+    shards = max(1, -(-size.n // shard_terms), -(-size.chars // SHARD_CHARS))
+    keyed = keyed.withColumn("__shard", F.pmod(F.xxhash64("__key"), F.lit(shards)))
+    kind, found = texts.schema[batch].dataType.simpleString(), None
+    for shard in range(shards):
+        keys = [r[0] for r in keyed.filter(F.col("__shard") == shard).select("__key").distinct().collect()]  # a shard
+        part = texts.select(F.col(batch).alias("batch"), text).mapInArrow(_finder(texts.sparkSession.sparkContext.broadcast(keys)), f"batch {kind}, key string")
+        found = part if found is None else found.unionByName(part)
+    found = found.distinct().select(F.col("batch").alias(batch), F.col("key").alias("__key"))
     return found.join(keyed, "__key").select(batch, *terms.columns)
+
+
+def _finder(keys: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (batch, text): each batch with the keys that its text holds."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k in keys.value:
+            automaton.add_word(k, k)
+        automaton.make_automaton()
+        for rows in batches if keys.value else ():
+            owner, held = [], []
+            for i, t in enumerate(rows.column(1)):
+                some = {k for _, k in automaton.iter((t.as_py() or "").casefold())}
+                owner += [i] * len(some)
+                held += some
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(owner, pa.int64())), pa.array(held, pa.string())], names=["batch", "key"])
+
+    return find

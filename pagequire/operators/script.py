@@ -3,14 +3,18 @@ context along pages, and what readings leave in the fields of regions."""
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import CJK, one_row, reading_text, translation_text
-from ..functions.values import first_text, has_text, stripped
+from ..functions.values import first_text, floor_div, has_text, stripped
+from .strips import sums_before
 
 # the mark before each text of a batch, by its slot
 MARK, MARK_FORM = "<<<BOX_%04d>>>", r"<<<BOX_(\d{4})>>>"
@@ -100,14 +104,30 @@ def json_texts(answer: Column, expected: Column) -> Column:
     return F.when(F.size(found) == expected, F.transform(found, stripped))
 
 
+@F.pandas_udf(StringType())
+def innermost(texts: pd.Series) -> pd.Series:
+    """JSON without the objects around its list of terms, however deep they nest; other text as it is."""
+
+    def inner(text: str | None) -> str | None:
+        try:
+            found = json.loads(text)
+            at = found
+            while isinstance(at, dict):
+                under = next((at[k] for k in TERM_LISTS if isinstance(at.get(k), (dict, list))), None)
+                if under is None:
+                    break
+                at = under
+            return text if at is found else json.dumps(at, ensure_ascii=False)
+        except (TypeError, ValueError, RecursionError):  # null, not JSON, or nested beyond what parsers read
+            return text
+
+    return texts.map(inner)
+
+
 def json_terms(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """Terms out of JSON: a list of objects, lists under a known key (one inside another too), one object that is a term,
-    or an object of sources with their targets. Returns key, place, source and target."""
-    inner = F.col(value)
-    for _ in range(3):  # lists under keys, up to three deep
-        nested = F.coalesce(*[F.get_json_object(inner, f"$.{k}") for k in TERM_LISTS])
-        inner = F.when(inner.startswith("{") & nested.rlike(r"^\s*[\[{]"), nested).otherwise(inner)
-    rows = rows.select(*key, stripped(inner).alias("__j"))
+    or an object of sources with their targets. Returns key, place, source and target; text that is no JSON has none."""
+    rows = rows.select(*key, stripped(innermost(F.col(value))).alias("__j"))
     one = F.coalesce(*[F.get_json_object("__j", f"$.{k}") for k in TERM_KEYS])
     parts = F.when(F.col("__j").startswith("["), F.from_json("__j", "array<string>")).when(one.isNotNull(), F.array("__j"))
     listed = rows.filter(parts.isNotNull()).select(*key, F.posexplode(parts).alias("place", "t"))
@@ -125,31 +145,50 @@ def prompt_terms(found: DataFrame, key: str, order: str) -> DataFrame:
     return found.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda s: s["l"]), "\n").alias("terms"))
 
 
-def reference_terms(terms: DataFrame, texts: DataFrame, key: str, text: str, found: DataFrame, order: str) -> DataFrame:
+def reference_terms(terms: DataFrame, texts: DataFrame, key: str, text: str, found: DataFrame, order: str, span: int = 4096) -> DataFrame:
     """For each batch with a Chinese, Japanese or Korean text the first REFERENCES terms in another script that none of
-    its texts holds; such names could never match. `found`: (key, order) of those that match. Only the first terms can
-    be meant, REFERENCES more than match at most, so no batch meets all terms."""
+    its texts holds; such names could never match. `found`: (key, order) of those that match. `order`: whole numbers,
+    by ranges of which terms are counted, so that no task sorts all of them. Only the first terms can be meant, REFERENCES
+    more than match at most, so no batch meets all terms."""
     batches = texts.groupBy(key).agg(F.max(F.coalesce(F.col(text), F.lit("")).rlike(CJK)).alias("__cjk")).filter("__cjk").select(key)
     hits = found.select(key, order).distinct().groupBy(key).agg(F.count("*").alias("__hits"))
     foreign = terms.filter(~F.col("source").rlike(CJK) & has_text(F.col("source")))
-    place = foreign.withColumn("__place", F.row_number().over(W.orderBy(order)))  # one list of terms, as long as a glossary
+    place = sums_before(foreign.withColumn("__all", F.lit(0)), ["__all"], [order], F.lit(1), "__place", span).withColumn("__place", F.col("__place") + 1).drop("__all")
     wanted = batches.join(hits, key, "left").select(key, F.explode(F.sequence(F.lit(1), (F.coalesce("__hits", F.lit(0)) + REFERENCES).cast("int"))).alias("__place"))
     rest = wanted.join(place, "__place").join(found.select(key, order).distinct(), [key, order], "left_anti")
     return rest.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy("__place"))).filter(F.col("__n") <= REFERENCES).drop("__n", "__place")
 
 
-def rolling_context(pairs: DataFrame, chapter: str, order: str, most: int = 5000) -> DataFrame:
+def _earlier(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    """Rows with __end, the sum of their texts' lengths so far, and __before: the last `most` characters of the earlier
+    texts (__own, at most that long), a line each, empty ones left out. Only rows within reach are gathered for a row."""
+    size = F.when(F.col("__own") == "", 0).otherwise(F.length("__own") + 1)
+    rows = rows.withColumn("__end", F.sum(size).over(W.partitionBy(*keys).orderBy(order)))
+    near = F.collect_list(F.struct(F.col(order).alias("o"), F.col("__own").alias("t"))).over(W.partitionBy(*keys).orderBy("__end").rangeBetween(-2 * most - 2, 0))
+    rows = rows.withColumn("__near", F.sort_array(near))
+    past = F.filter("__near", lambda s: (s["o"] < F.col(order)) & (s["t"] != ""))
+    return rows.withColumn("__before", F.array_join(F.transform(past, lambda s: s["t"]), "\n")).withColumn("__before", F.expr(f"right(__before, {most})")).drop("__near")
+
+
+def rolling_context(pairs: DataFrame, chapter: str, order: str, most: int = 5000, span: int = 1024) -> DataFrame:
     """For each page of a chapter the last `most` characters of all pairs (source, target) of earlier pages, in order.
-    Pairs are cut to what those behind them leave, so a page gathers at most `most` characters of lines."""
+
+    `order`: whole numbers. Pairs with a null side are left out; their page has its row. A page's own text is cut to `most`
+    characters. Pages are handled by ranges of `span` places: within a range a page sees the earlier ones, and the tail of
+    the ranges before is carried in, so that no task handles a whole chapter."""
     line = F.concat("source", F.lit(" → "), "target")
     pages = pairs.groupBy(chapter, order).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("l")))), lambda s: s["l"]), "\n").alias("__own"))
-    tails = pages.withColumn("__own", F.expr(f"right(__own, {most})"))
-    # only as many pages back as hold the characters: line lengths are summed, and pages are gathered by range
-    sums = tails.withColumn("__end", F.sum(F.length("__own") + 1).over(W.partitionBy(chapter).orderBy(order)))
-    gathered = sums.withColumn("__past", F.collect_list(F.struct("__end", "__own")).over(W.partitionBy(chapter).orderBy("__end").rangeBetween(-2 * most - 2, -1)))
-    own = F.length("__own") + 1
-    past = F.array_join(F.transform(F.filter("__past", lambda s: s["__end"] <= F.col("__end") - own), lambda s: s["__own"]), "\n")
-    return gathered.withColumn("__text", past).select(chapter, order, F.expr(f"right(__text, {most})").alias("context"))
+    pages = pages.withColumns({"__own": F.expr(f"right(__own, {most})"), "__range": floor_div(F.col(order), F.lit(span))})
+    inside = _earlier(pages, [chapter, "__range"], order, most)
+    whole = F.max("__end").over(W.partitionBy(chapter, "__range"))
+    last = inside.withColumn("__left", whole - F.col("__end")).filter((F.col("__left") <= most) & (F.col("__own") != ""))
+    tails = last.groupBy(chapter, "__range").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__own").alias("t")))), lambda s: s["t"]), "\n").alias("__own"))
+    tails = tails.withColumn("__own", F.expr(f"right(__own, {most})"))
+    # a range without text still needs what is carried over it
+    every = inside.select(chapter, "__range").distinct().join(tails, [chapter, "__range"], "left").withColumn("__own", F.coalesce("__own", F.lit("")))
+    carried = _earlier(every, [chapter], "__range", most).select(chapter, "__range", F.col("__before").alias("__carried"))
+    both = F.concat_ws("\n", F.nullif("__carried", F.lit("")), F.nullif("__before", F.lit("")))
+    return inside.join(carried, [chapter, "__range"]).withColumn("__text", both).select(chapter, order, F.expr(f"right(__text, {most})").alias("context"))
 
 
 def promoted(regions: DataFrame) -> DataFrame:

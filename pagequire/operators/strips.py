@@ -26,6 +26,17 @@ def offsets(pages: DataFrame, chapter: str = "chapter_id", order: str = "ord", p
     return rows.select(*[F.col(c) for c in pages.columns if c not in ("x", "y")], (F.col("__above") + F.col("__within")).alias("y"), F.floor((F.col("__widest") - F.col("width")) / 2).cast("long").alias("x"))
 
 
+def sums_before(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, span: int = 4096) -> DataFrame:
+    """Rows with `name`, the sum of the values before them, within their keys and in the order, whose first column holds
+    whole numbers: by ranges of `span` of these, so that a task sorts one range only. Nulls count 0."""
+    rows = rows.withColumns({"__range": floor_div(F.col(order[0]), F.lit(span)), "__value": F.coalesce(value, F.lit(0))})
+    whole = rows.groupBy(*keys, "__range").agg(F.sum("__value").alias("__sum"))
+    above = F.sum("__sum").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    whole = whole.select(*keys, "__range", F.coalesce(above, F.lit(0)).alias("__above"))
+    within = F.coalesce(F.sum("__value").over(W.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__within", within).join(whole, [*keys, "__range"]).withColumn(name, F.col("__above") + F.col("__within")).drop("__range", "__value", "__above", "__within")
+
+
 def strip_size(pages: DataFrame, chapter: str = "chapter_id") -> DataFrame:
     return pages.groupBy(chapter).agg(F.max("width").alias("width"), F.sum("height").alias("height"), F.count("*").alias("pages"))
 
@@ -74,12 +85,29 @@ def neighbours_of_all(pages: DataFrame, radius: int, order: str = "ord") -> Data
     return pages.join(active, order)
 
 
-def recent_context(pairs: DataFrame, page: Column, order: list[str], group: str, most: int = 40, chars: int = 5000) -> DataFrame:
-    """Per group the last `most` source and target pairs of pages before the given one, joined, its last characters."""
-    turn = W.partitionBy(group).orderBy(*[F.desc(c) for c in order])
-    last = pairs.filter((F.col("page_ord") < page) & (F.col("source") != "") & (F.col("target") != "")).withColumn("__n", F.row_number().over(turn)).filter(F.col("__n") <= most)
-    lines = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("__n")).alias("n"), F.concat("source", F.lit(" → "), "target").alias("t")))), lambda s: s["t"])
-    return last.groupBy(group).agg(F.substring(F.array_join(lines, "\n"), -chars, chars).alias("context"))
+def recent_contexts(pairs: DataFrame, group: str, page: str, order: list[str], most: int = 40, chars: int = 5000, span: int = 1024) -> DataFrame:
+    """For every page of a group the last `most` source and target pairs of earlier pages, joined, its last characters;
+    the empty string where there are none. Pairs with an empty or null side do not count. `page`: whole numbers.
+
+    Pairs are numbered by ranges of pages, and meet the pages that want them by ranges of these numbers, so that no task
+    handles a whole group."""
+    line = F.when((F.col("source") != "") & (F.col("target") != ""), F.concat("source", F.lit(" → "), "target"))
+    rows = pairs.select(group, page, F.struct(*order, line.alias("__t")).alias("__line"), line.isNotNull().alias("__good"))
+    pages = rows.groupBy(group, page).agg(F.count_if("__good").alias("__n"))
+    pages = sums_before(pages, [group], [page], F.col("__n"), "__from", span)
+    turn = F.row_number().over(W.partitionBy(group, page).orderBy(F.desc("__line")))
+    last = rows.filter("__good").withColumn("__back", turn).filter(F.col("__back") <= most)  # of a page only these can be wanted
+    numbers = last.join(pages, [group, page]).select(group, (F.col("__from") + F.col("__n") - F.col("__back")).alias("__i"), "__line.__t")
+    numbers = numbers.withColumn("__cell", floor_div(F.col("__i"), F.lit(span)))
+    cells = F.explode(F.sequence(floor_div(F.greatest(F.lit(0), F.col("__from") - most), F.lit(span)), floor_div(F.col("__from"), F.lit(span))))
+    # a cell's lines stand beside the pages that ask for them: a line is gathered by the frame of a page, not once a pair
+    asked = pages.withColumn("__cell", cells).select(group, "__cell", (F.col("__from") - 1).alias("__i"), F.lit(None).cast("string").alias("__t"), page)
+    both = numbers.select(group, "__cell", "__i", "__t", F.lit(None).cast(pages.schema[page].dataType).alias(page)).unionByName(asked)
+    frame = W.partitionBy(group, "__cell").orderBy("__i").rangeBetween(1 - most, 0)
+    found = both.withColumn("__some", F.collect_list(F.when(F.col("__t").isNotNull(), F.struct("__i", "__t"))).over(frame)).filter(F.col(page).isNotNull())
+    lines = F.transform(F.array_sort(F.flatten(F.collect_list("__some"))), lambda s: s["__t"])
+    whole = found.groupBy(group, page).agg(F.array_join(lines, "\n").alias("__whole"))
+    return whole.select(group, page, F.expr(f"right(__whole, {chars})").alias("context"))
 
 
 def gaps(boxes: DataFrame, group: str, order: list[str]) -> DataFrame:

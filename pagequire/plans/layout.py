@@ -143,11 +143,13 @@ def w10_neighbours(t: Tables) -> DataFrame:
     return strips.neighbours_of_all(t.documents.select("doc_id"), 7, "doc_id").select(F.col("active").alias("active_id"), "doc_id")
 
 
-@query("""WITH l AS (SELECT conv_id, turn, text AS s, role AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE turn < 5 AND text <> '' AND role <> '')
-SELECT conv_id, right(string_agg(s || ' → ' || g, chr(10) ORDER BY turn), 5000) AS context FROM l WHERE n <= 40 GROUP BY conv_id""")
+@query("""WITH p AS (SELECT DISTINCT conv_id, turn FROM conversations), l AS (SELECT conv_id, turn, text || ' → ' || role AS line FROM conversations WHERE text <> '' AND role <> ''),
+r AS (SELECT p.conv_id, p.turn, line, l.turn AS back, row_number() OVER (PARTITION BY p.conv_id, p.turn ORDER BY l.turn DESC, line DESC) AS n FROM p LEFT JOIN l ON l.conv_id = p.conv_id AND l.turn < p.turn)
+SELECT conv_id, turn, coalesce(right(string_agg(line, chr(10) ORDER BY back, line), 900), '') AS context FROM r WHERE n <= 4 GROUP BY conv_id, turn""")
 def w7_recent_context(t: Tables) -> DataFrame:
-    pairs = t.conversations.select("conv_id", F.col("turn").alias("page_ord"), F.col("text").alias("source"), F.col("role").alias("target"))
-    return strips.recent_context(pairs, F.lit(5), ["page_ord"], "conv_id")
+    """Turns as pages: what the four turns before each one hold, at most 900 characters."""
+    pairs = t.conversations.select("conv_id", "turn", F.col("text").alias("source"), F.col("role").alias("target"))
+    return strips.recent_contexts(pairs, "conv_id", "turn", ["turn"], 4, 900)
 
 
 @query(f"""WITH {BOXES}, g AS (SELECT page_key, idx, y - lag(y) OVER w - lag(height) OVER w AS gap, max(height) OVER (PARTITION BY page_key) AS h FROM boxes_ WINDOW w AS (PARTITION BY page_key ORDER BY y, idx)) SELECT page_key, idx, gap, coalesce(gap > 1.5 * h, false) AS wide FROM g""")

@@ -114,11 +114,13 @@ def f23_numbered_entries(t: Tables) -> DataFrame:
     return terms.numbered_entries(t.benchmark.select("item_id", page.alias("page")), "item_id", "page")
 
 
-@query("SELECT conv_id, 'turn ' || turn AS name, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS body FROM conversations WHERE text NOT LIKE '%==%' AND trim(text) <> '' AND conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(DISTINCT turn) = count(*) AND count(*) FILTER (WHERE text LIKE '%==%') = 0)")
+@query("""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, replace(coalesce(text, ''), '=', '-') AS text FROM conversations)
+SELECT conv_id, 'turn ' || n AS name, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS body FROM r WHERE regexp_matches(text, '\S')""")
 def f24_sections(t: Tables) -> DataFrame:
-    """Turns under headers come back as sections."""
-    whole = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"), F.countDistinct("turn").alias("d"), F.count("*").alias("n"), F.count_if(F.col("text").contains("==")).alias("odd")).filter("d = n and odd = 0")
-    page = F.array_join(F.transform("turns", lambda s: F.concat(F.lit("=== turn "), s["turn"].cast("string"), F.lit(" ===\n"), s["text"])), "\n\n")
+    """Turns of all conversations under headers, numbered from 1, with signs that could be headers written otherwise, come
+    back as sections."""
+    whole = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.replace(F.coalesce("text", F.lit("")), F.lit("="), F.lit("-")).alias("text")))).alias("turns"))
+    page = F.array_join(F.transform("turns", lambda s, i: F.concat(F.lit("=== turn "), (i + 1).cast("string"), F.lit(" ===\n"), s["text"])), "\n\n")
     return terms.sections(whole.select("conv_id", page.alias("page")), "conv_id", "page").select("conv_id", "name", "body")
 
 

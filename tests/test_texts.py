@@ -82,3 +82,41 @@ def test_pasted_text(spark):
 def test_protection(apply):
     words = F.array(F.struct(F.lit("Li").alias("source")), F.struct(F.lit("Li Wei").alias("source")))
     assert apply(lambda c: terms.protect(c, words), "Li Wei saw Li") == ["__TERM_0000__ saw __TERM_0001__"]
+
+
+def test_relevant_terms_by_shards_and_in_long_texts(spark):
+    import random
+    import time
+
+    r = random.Random(1)
+    names = ["".join(r.choices("abcß", k=r.randint(1, 4))) for _ in range(60)]
+    found = spark.createDataFrame([*enumerate(names), (100, None), (101, "")], "id int, source string")
+    texts = [(i % 5, "".join(r.choices("abcSß ", k=40))) for i in range(12)] + [(7, ""), (8, None)]
+    frame = spark.createDataFrame(texts, "batch int, text string")
+    want = sorted((b, i) for b, i in {(b, i) for b, t in texts for i, n in enumerate(names) if n.casefold() in (t or "").casefold()})
+    for shard in (7, 1000):
+        assert sorted((x.batch, x.id) for x in lookup.relevant_terms(found, frame, "batch", "text", shard).collect()) == want
+    assert lookup.relevant_terms(found.limit(0), frame, "batch", "text").count() == 0 == lookup.relevant_terms(found, frame.limit(0), "batch", "text").count()
+    long = spark.createDataFrame([(1, "the name of the rose " * 10_000)], "batch int, text string")
+    began = time.time()
+    assert lookup.relevant_terms(spark.createDataFrame([(1, "the"), (2, "Rose THE"), (3, "roses")], "id int, source string"), long, "batch", "text").count() == 2
+    assert time.time() - began < 5
+
+
+def test_natural_order_of_long_numbers(apply):
+    names = ["p" + "9" * 30, "p1" + "0" * 30, "p2", "p010", "p9", "p", "p0", None]
+    keys = apply(values.natural_key, *names)
+    assert keys[-1] is None and [names[i] for i in sorted(range(7), key=lambda i: keys[i])] == ["p", "p0", "p2", "p9", "p010", "p" + "9" * 30, "p1" + "0" * 30]
+
+
+def test_json_terms_at_any_depth(spark):
+    import json
+
+    from pagequire.operators import script
+
+    deep = [{"source": "a", "target": "b"}]
+    for k in ("items", "terms", "glossary", "entries", "items", "terms"):
+        deep = {"other": 1, k: deep}
+    rows = [(1, json.dumps(deep)), (2, "[" * 3000), (3, None), (4, "no json"), (5, json.dumps({"x": "y", "z": {"target": "w"}})), (6, "{}"), (7, json.dumps({"source": "one", "target": "two"}))]
+    got = sorted((r.id, r.source, r.target) for r in script.json_terms(spark.createDataFrame(rows, "id int, j string"), ["id"], "j").collect())
+    assert got == [(1, "a", "b"), (5, "x", "y"), (5, "z", "w"), (7, "one", "two")]
