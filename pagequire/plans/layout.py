@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.geometry import box, contained, iou, mark_count
-from ..operators import boxes, metrics, planning, strips
+from ..operators import boxes, lettering, metrics, planning, strips
 from .base import BOXES, REGIONS, STRIPS, Collector, Tables
 
 query = Collector()
@@ -201,6 +202,53 @@ def g12_wrapped_lines(t: Tables) -> DataFrame:
     return planning.wrap(t.benchmark.select("item_id", "text"), "text", F.lit(40.0))
 
 
+VOWELS, CLUSTERS = repr(text.VOWELS), ", ".join(map(repr, text.CLUSTERS))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS word FROM documents), b AS (SELECT word, regexp_replace(word, '^[' || q || ']+', '') AS rest, q FROM w, (SELECT '¿¡.,;:!?…()\\[\\]{{}}"''“”‘’' AS q)),
+c AS (SELECT word, regexp_replace(rest, '[' || q || ']+$', '') AS bare, length(word) - length(rest) AS lead FROM b)
+SELECT word, [(lead + i)::INT FOR i IN range(2, length(bare) - 2) IF length(bare) >= 7 AND contains({VOWELS}, bare[i]) AND NOT contains({VOWELS}, bare[i + 1]) AND lower(bare[i + 1:i + 2]) NOT IN ({CLUSTERS})] AS points FROM c""")
+def f37_hyphen_points(t: Tables) -> DataFrame:
+    """Of every word of the documents."""
+    words = t.documents.select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
+    return words.select("word", text.hyphen_points(F.col("word")).alias("points"))
+
+
+@query()
+def g12_lettered_rows(t: Tables) -> DataFrame:
+    """Every text of the benchmark in rows of two widths in turn, as many as its length wants, and every conversation's
+    turn in one more row of one width."""
+    rows = lambda n, a, b: F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i % 2 == 1, a).otherwise(b))
+    size = lambda c: F.ceil(F.length(c) / 48).cast("int")
+    items = t.benchmark.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.lit(0).alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = t.conversations.select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    both = items.withColumn("widths", rows(F.greatest(F.lit(1), size("text")), F.lit(30.0), F.lit(24.0))).unionByName(turns.withColumn("widths", rows(size("text") + 1, F.lit(28.0), F.lit(28.0))))
+    return both.select("kind", "id", "turn", lettering.wrapped(F.col("text"), F.col("widths")).alias("lines"))
+
+
+@query()
+def g13_balanced_rows(t: Tables) -> DataFrame:
+    """Part names in three rows of unequal widths, by plain rules."""
+    widths = F.array(F.lit(8.0), F.lit(10.0), F.lit(8.0))
+    return t.part.select(F.col("p_partkey").alias("id"), lettering.wrapped(F.col("p_name"), widths, lettering.Style(plain=True)).alias("lines"))
+
+
+@query()
+def g13_effect_lines(t: Tables) -> DataFrame:
+    """Part names, every third without its spaces, as sounds in boxes by their sizes."""
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.col("p_name"))
+    return t.part.select(k.alias("id"), lettering.effects(name, F.col("p_size") * 4 + 20, 220 - F.col("p_size") * 4, F.lit(14)).alias("lines"))
+
+
+@query()
+def g14_fitted_text(t: Tables) -> DataFrame:
+    """Every turn of the conversations in a box by its number, at the largest size of 6 to 40 that fits."""
+    k = F.col("conv_id")
+    boxes = t.conversations.select("conv_id", "turn", "text", (k % 7 * 40 + 120).alias("width"), (F.col("turn") % 5 * 40 + 60).alias("height"), F.lit(40).alias("size"))
+    return lettering.fit_text(boxes, "text", "width", "height", "size").select("conv_id", "turn", "lines", "font_size", "overflow")
+
+
 @query("SELECT doc_id, greatest(1, least(12, round_even(n_chars / greatest(1600.0, (doc_id % 5 * 50 + 600) * 2.5, 480.0)::DOUBLE, 0)::INT)) AS marks FROM documents")
 def f44_mark_count(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", mark_count(F.col("n_chars"), F.col("doc_id") % 5 * 50 + 600, F.lit(60), F.lit(0)).alias("marks"))
