@@ -8,10 +8,12 @@ emptiest packs are given up at the end, and their documents fill, cut where need
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
+import re
 import zlib
-from itertools import count
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,60 +22,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .text import byte_texts, kept, map_rows, scratch
+from .text import LOWER, byte_texts, kept, map_rows, scratch
 
-#: Chunks whose ids a task remembers, and bytes of the longest one of them.
-CHUNKS, CHUNK_BYTES = 1 << 18, 64
+#: Items whose ids a worker remembers, and how many are encoded at once.
+ITEMS, SLICE = 1 << 20, 4096
+# fixed value: how the tokenizer parts a text, for ASCII and the letters of Latin-1, A-Z lowered
+PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[!-/:-@\[-`{-~×÷]+")
+#: Texts that consist of white space and what PARTS knows.
+PLAIN = re.compile(r"[\t-\r -~À-ÿ]*")
 #: Rows of the table of ranks up to which it is broadcast (24 bytes each), instead of shuffling documents to meet it.
 BROADCAST = 1 << 19
 
 
-class Chunks:
-    """Ids of texts by those of their chunks between white space. Only for tokenizers that drop white space and let nothing
-    reach over it; recurring chunks are encoded once."""
+class Items:
+    """Ids of texts by those of their parts, which the tokenizer encodes one by one and which recur: a recurring part is
+    encoded once in a worker. White space is dropped by the tokenizer and parts texts; plain ones are parted further as the
+    tokenizer does. For tokenizers that lower-case, drop white space and part texts by PARTS."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode the chunks that are not known; the table is begun anew when it would hold too many."""
-        fresh = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if len(self.known) + len(fresh) > CHUNKS:
-            self.known, self.starts, self.ids = {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
-            fresh = list(dict.fromkeys(chunks))
-        made = [e.ids for e in self.tokenizer.encode_batch([c.decode() for c in fresh], add_special_tokens=False)]
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((y for x in made for y in x), np.int32, int(sizes.sum()))])
-
-    def short(self, chunks: list[bytes]) -> np.ndarray:
-        """The ids of at most CHUNKS short chunks."""
-        if not chunks:
-            return np.zeros(0, np.int32)
-        at = list(map(self.known.get, chunks))
-        if None in at:
-            self.learn(chunks)
-            at = list(map(self.known.get, chunks))
-        at = np.array(at, np.int64)
+    def parted(self, text: bytes) -> list[str]:
+        """The text's parts. A-Z are lowered before, as the tokenizer does after composing, but for marks that compose with
+        small letters alone; special tokens are left whole."""
+        special = b"<|" in text
+        if not (special or b"\xcc" in text or b"\xcd" in text):
+            text = text.translate(LOWER)
+            if PLAIN.fullmatch(plain := text.decode()):
+                return PARTS.findall(plain)
+        out: list[str] = []
+        for chunk in text.split():
+            low = chunk.translate(LOWER).decode()
+            if PLAIN.fullmatch(low) and b"<|" not in chunk:
+                out += PARTS.findall(low)
+            else:
+                out.append(chunk.decode())
+        return out
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after the other, and how many each has."""
+        parts = [self.parted(t) for t in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = list(chain.from_iterable(parts))
+        find = lambda items, n: np.fromiter(map(self.known.get, items, repeat(-1)), np.int64, n)
+        at = find(flat, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            fresh = dict.fromkeys([flat[i] for i in missing.tolist()])
+            if self.known and len(self.known) + len(fresh) > ITEMS:
+                self.forget()
+                fresh, missing = dict.fromkeys(flat), np.arange(len(flat))
+            self.learn(list(fresh))
+            at[missing] = find([flat[i] for i in missing.tolist()], len(missing))
         sizes = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+    def learn(self, items: list[str]) -> None:
+        sizes, ids = [np.zeros(0, np.int64)], [self.ids]
+        for lo in range(0, len(items), SLICE):
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(items[lo : lo + SLICE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
+            ids.append(np.fromiter(chain.from_iterable(made), np.int32, int(sizes[-1].sum())))
+        self.known.update(zip(items, range(len(self.known), len(self.known) + len(items)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+        self.ids = np.concatenate(ids)
+
 
-    def encode(self, text: bytes) -> np.ndarray:
-        chunks = text.split()
-        long = [i for i, c in enumerate(chunks) if len(c) > CHUNK_BYTES]
-        parts, start = [], 0
-        for i in [*long, len(chunks)]:
-            parts += [self.short(chunks[k : min(k + CHUNKS, i)]) for k in range(start, i, CHUNKS)]
-            if i < len(chunks):
-                parts.append(np.array(self.tokenizer.encode(chunks[i].decode(), add_special_tokens=False).ids, np.int32))
-            start = i + 1
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+@functools.cache
+def items_of(path: str) -> Items:
+    """One table for a worker, which serves one task after another."""
+    return Items(path)
 
 
 def patterns(histogram: dict[int, int], room: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -187,20 +215,18 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
 
     def work(batch: pa.RecordBatch) -> dict:
         if not state:
-            state.extend([Chunks(tokenizer), np.zeros(room, np.int64), 0])
-        part = TaskContext.get().partitionId()
-        ids, nth, full = [], [], []
-        for text in byte_texts(batch.column(1)):
-            made = np.append(state[0].encode(text or b""), np.int32(end_id))
-            ids.append(made)
-            whole, last = divmod(len(made), room)
-            nth.append(int(state[1][last]))
-            full.append(state[2])
-            state[1][last] += 1
-            state[2] += whole
-        sizes = np.array([len(x) for x in ids], np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids)))
-        return {"id": batch.column(0), "ids": lists, "n": sizes, "last": pa.array(sizes % room, pa.int32()), "part": [part] * len(ids), "nth": nth, "full": full}
+            state.extend([np.zeros(room, np.int64), 0])
+        part, nth, full = TaskContext.get().partitionId(), [], []
+        flat, sizes = items_of(tokenizer).encode([t or b"" for t in byte_texts(batch.column(1))])
+        flat = np.insert(flat, np.cumsum(sizes), end_id)
+        sizes = sizes + 1
+        for whole, last in zip((sizes // room).tolist(), (sizes % room).tolist(), strict=True):
+            nth.append(int(state[0][last]))
+            full.append(state[1])
+            state[0][last] += 1
+            state[1] += whole
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+        return {"id": batch.column(0), "ids": lists, "n": sizes, "last": pa.array(sizes % room, pa.int32()), "part": [part] * len(nth), "nth": nth, "full": full}
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(docs.select(id_col, text_col), work, f"id {kind}, ids array<int>, n long, last int, part int, nth long, full long")
@@ -217,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, cut
     the document), sequence_id (from 0, without holes) and offset (in the sequence, without gaps).
 
     Each row is packed by itself: repeated rows and null ids too. Other columns are not read; an empty table gives no rows.
-    The tokenizer must drop white space and let no token reach over it. Tasks know their rows' ranks from the rows of equal
+    The tokenizer must be one that Items can be used with. Tasks know their rows' ranks from the rows of equal
     length in the parts before, at most `room` + 1 counts a part, so documents are not shuffled while these are few enough to
     be broadcast. The histogram and its packing patterns, bounded by `room`, reach the driver and the tasks.
     """

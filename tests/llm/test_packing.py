@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagequire.llm import packing, queries
-from pagequire.llm.packing import Chunks, Plan, pack, patterns, with_crc
+from pagequire.llm.packing import Items, Plan, pack, patterns, with_crc
 
 
 def tokenizer():
@@ -20,13 +20,20 @@ def tokenizer():
 ODD = ["", " ", "\n\t x", "İstanbul ΟΔΟΣ ΟΔΟΣ' áb é ́x", "don't we'll 12 345 a1b2 <|endoftext|>x y<|startoftext|>", "a b c\x0bd\x0ce\x1cf\x85g　h", "日本語のテキスト と 한국어", "x" * 500, "🙂👩‍👩‍👧 ok", "\x00 a\x00b", "ﬁ ＡＢ ß ẞ K"]
 
 
-@pytest.mark.parametrize("remembered", [1 << 18, 3])
-def test_chunks_give_the_tokenizers_ids(monkeypatch, remembered):
-    monkeypatch.setattr(packing, "CHUNKS", remembered)
+@pytest.mark.parametrize("remembered", [1 << 20, 3])
+def test_items_give_the_tokenizers_ids(monkeypatch, remembered):
+    monkeypatch.setattr(packing, "ITEMS", remembered)
+    monkeypatch.setattr(packing, "SLICE", 7)
     r, t = random.Random(2), tokenizer()
-    chunks = Chunks(queries.TOKENIZER)
-    for text in ODD + [" ".join(r.choices("the The of THE's word, words. ééa x1 12 3 naïve".split(), k=60)) for _ in range(20)] + ["".join(r.choices("ab'é \n\t1,Σς́ ", k=80)) for _ in range(300)]:
-        assert chunks.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids, text
+    items = Items(queries.TOKENIZER)
+    texts = ODD + [" ".join(r.choices("the The of THE's word, words. ééa x1 12 3 naïve ÉÀ ×÷a J\u030c <|endoftext|> <|ENDOFTEXT|> d' 's 'S're ,'s --'t".split(), k=60)) for _ in range(20)]
+    texts += ["".join(r.choices("abJ'é \n\t1,Σς\u0301\u030c <|>\x7fsªÀ×", k=80)) for _ in range(300)] + ["".join(r.choices("srevtld'\". AZ9<", k=60)) for _ in range(300)]
+    for lo in range(0, len(texts), 50):
+        ids, counts = items.encode([x.encode() for x in texts[lo : lo + 50]])
+        ends = np.cumsum(counts)
+        for text, end, n in zip(texts[lo : lo + 50], ends, counts, strict=True):
+            assert ids[end - n : end].tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert [x.tolist() for x in items.encode([])] == [[], []] and [x.tolist() for x in items.encode([b""])] == [[], [0]]
 
 
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=25), st.sampled_from([40, 64]), st.booleans())
