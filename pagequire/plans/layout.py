@@ -202,12 +202,12 @@ def g12_wrapped_lines(t: Tables) -> DataFrame:
     return planning.wrap(t.benchmark.select("item_id", "text"), "text", F.lit(40.0))
 
 
-VOWELS, CLUSTERS = repr(text.VOWELS), ", ".join(map(repr, text.CLUSTERS))
+VOWELS, CLUSTERS, NO_WORD = repr(text.VOWELS), ", ".join(map(repr, text.CLUSTERS)), "'" + text.NO_WORD.replace("'", "''") + "'"
 
 
-@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS word FROM documents), b AS (SELECT word, regexp_replace(word, '^[' || q || ']+', '') AS rest, q FROM w, (SELECT '¿¡.,;:!?…()\\[\\]{{}}"''“”‘’' AS q)),
-c AS (SELECT word, regexp_replace(rest, '[' || q || ']+$', '') AS bare, length(word) - length(rest) AS lead FROM b)
-SELECT word, [(lead + i)::INT FOR i IN range(2, length(bare) - 2) IF length(bare) >= 7 AND contains({VOWELS}, bare[i]) AND NOT contains({VOWELS}, bare[i + 1]) AND lower(bare[i + 1:i + 2]) NOT IN ({CLUSTERS})] AS points FROM c""")
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS word FROM documents),
+c AS (SELECT word, trim(word, {NO_WORD}) AS bare, length(word) - length(ltrim(word, {NO_WORD})) AS lead FROM w), l AS (SELECT *, unnest(range(2, greatest(3, length(bare) - 2))) AS i FROM c)
+SELECT word, coalesce(list((lead + i)::INT ORDER BY i) FILTER (WHERE i < length(bare) - 2 AND length(bare) >= 7 AND contains({VOWELS}, bare[i]) AND NOT contains({VOWELS}, bare[i + 1]) AND lower(bare[i + 1:i + 2]) NOT IN ({CLUSTERS})), []) AS points FROM l GROUP BY word""")
 def f37_hyphen_points(t: Tables) -> DataFrame:
     """Of every word of the documents."""
     words = t.documents.select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()

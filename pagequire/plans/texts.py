@@ -115,7 +115,7 @@ def f23_numbered_entries(t: Tables) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, replace(coalesce(text, ''), '=', '-') AS text FROM conversations)
-SELECT conv_id, 'turn ' || n AS name, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS body FROM r WHERE regexp_matches(text, '\S')""")
+SELECT conv_id, 'turn ' || n AS name, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS body FROM r WHERE regexp_matches(text, '\\S')""")
 def f24_sections(t: Tables) -> DataFrame:
     """Turns of all conversations under headers, numbered from 1, with signs that could be headers written otherwise, come
     back as sections."""
