@@ -13,6 +13,7 @@ import heapq
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import chain, count, repeat
 
 import numpy as np
@@ -24,8 +25,9 @@ from pyspark.sql import Window as W
 
 from .text import LOWER, byte_texts, kept, map_rows, scratch
 
-#: Items whose ids a worker remembers, and how many are encoded at once.
-ITEMS, SLICE = 1 << 20, 4096
+#: Items whose ids a worker remembers, how many are encoded at once, and bytes of text that are looked up at once.
+ITEMS, SLICE, RUN_BYTES = 1 << 19, 4096, 1 << 20
+SPACE = re.compile(rb"[\t-\r ]")
 # fixed value: how the tokenizer parts a text, for ASCII and the letters of Latin-1, A-Z lowered
 PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[!-/:-@\[-`{-~×÷]+")
 #: Texts that consist of white space and what PARTS knows.
@@ -34,6 +36,15 @@ PLAIN = re.compile(r"[\t-\r -~À-ÿ]*")
 BROADCAST = 1 << 19
 
 
+def cut_at_spaces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about RUN_BYTES that end before white space."""
+    at = 0
+    while len(text) - at > RUN_BYTES and (gap := SPACE.search(text, at + RUN_BYTES)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:] if at else text
+
+
 class Items:
     """Ids of texts by those of their parts, which the tokenizer encodes one by one and which recur: a recurring part is
     encoded once in a worker. White space is dropped by the tokenizer and parts texts; plain ones are parted further as the
@@ -68,9 +79,23 @@ class Items:
         return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the texts one after the other, and how many each has."""
-        parts = [self.parted(t) for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        """The ids of the texts one after the other, and how many each has. Long texts are cut at white space."""
+        counts, made = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        run, owners, size = [], [], 0
+        for i, text in enumerate(texts):
+            for piece in cut_at_spaces(text):
+                run.append(piece)
+                owners.append(i)
+                size += len(piece)
+                if size >= RUN_BYTES:
+                    self.look_up(run, owners, counts, made)
+                    run, owners, size = [], [], 0
+        self.look_up(run, owners, counts, made)
+        return np.concatenate(made), counts
+
+    def look_up(self, run: list[bytes], owners: list[int], counts: np.ndarray, made: list[np.ndarray]) -> None:
+        """Add the ids of a run of pieces to what is made, and their number to their texts' counts."""
+        parts = [self.parted(t) for t in run]
         flat = list(chain.from_iterable(parts))
         find = lambda items, n: np.fromiter(map(self.known.get, items, repeat(-1)), np.int64, n)
         at = find(flat, len(flat))
@@ -84,8 +109,9 @@ class Items:
             at[missing] = find([flat[i] for i in missing.tolist()], len(missing))
         sizes = self.starts[at + 1] - self.starts[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+        made.append(self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])])
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+        np.add.at(counts, np.array(owners, np.int64), np.diff(ends[edges]))
 
     def learn(self, items: list[str]) -> None:
         sizes, ids = [np.zeros(0, np.int64)], [self.ids]

@@ -24,6 +24,7 @@ ODD = ["", " ", "\n\t x", "İstanbul ΟΔΟΣ ΟΔΟΣ' áb é ́x", "don't we
 def test_items_give_the_tokenizers_ids(monkeypatch, remembered):
     monkeypatch.setattr(packing, "ITEMS", remembered)
     monkeypatch.setattr(packing, "SLICE", 7)
+    monkeypatch.setattr(packing, "RUN_BYTES", 40)
     r, t = random.Random(2), tokenizer()
     items = Items(queries.TOKENIZER)
     texts = ODD + [" ".join(r.choices("the The of THE's word, words. ééa x1 12 3 naïve ÉÀ ×÷a J\u030c <|endoftext|> <|ENDOFTEXT|> d' 's 'S're ,'s --'t".split(), k=60)) for _ in range(20)]
