@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.geometry import box, contained, iou, mark_count
-from ..operators import boxes, lettering, metrics, planning, strips
+from ..operators import boxes, lettering, metrics, planning, slots, strips
 from .base import BOXES, REGIONS, STRIPS, Collector, Tables
 
 query = Collector()
@@ -249,6 +249,16 @@ def g14_fitted_text(t: Tables) -> DataFrame:
     return lettering.fit_text(boxes, "text", "width", "height", "size").select("conv_id", "turn", "lines", "font_size", "overflow")
 
 
+@query()
+def g9_chapter_slots(t: Tables) -> DataFrame:
+    """Marks of 120 by 60 along the strips, by one for each 1,600 rows, off two boxes on each page."""
+    k, h = F.col("page_key"), F.greatest(F.lit(1), F.col("height"))
+    pages = t.strip_pages().withColumns({"mark_width": F.lit(120), "mark_height": F.when(k % 9 != 0, 60)})
+    regions = t.strip_pages().select("page_key", F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), (k * 37 % 500).alias("x"), "height")
+    regions = regions.select("page_key", "idx", "x", ((k * 53 + F.col("idx") * 400) % h).alias("y"), F.lit(200).alias("width"), F.lit(150).alias("height"))
+    return slots.chapter_slots(pages, regions, slots.Layout(distribution="adaptive", gap=300, limit=1_000_000, interval=1600, margin_x=20, margin_y=40))
+
+
 @query("SELECT doc_id, greatest(1, least(12, round_even(n_chars / greatest(1600.0, (doc_id % 5 * 50 + 600) * 2.5, 480.0)::DOUBLE, 0)::INT)) AS marks FROM documents")
 def f44_mark_count(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", mark_count(F.col("n_chars"), F.col("doc_id") % 5 * 50 + 600, F.lit(60), F.lit(0)).alias("marks"))
