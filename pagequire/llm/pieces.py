@@ -391,10 +391,13 @@ def encode_texts(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "do
 
 
 def decode_ids(coded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """Return all columns with the text that the ids decode to, in place of any column of its name: null for null ids,
-    empty for none. Bytes that are not UTF-8 together are replaced."""
+    """Return all columns with the text that the ids decode to, in place of any column of its name, in any case: null for
+    null ids, empty for none. Null ids among others, and ids that the model does not have, stand for nothing. Bytes that are
+    not UTF-8 together are replaced. Rows are decoded one by one: repeated ones alike, and an empty table gives none."""
     model = load_model(model_path)
-    names = [c for c in coded.columns if c != text_col]
+    names = [c for c in coded.columns if c.lower() != text_col.lower() or c == ids_col]
+    if ids_col.lower() == text_col.lower():
+        raise ValueError("the text needs a column of its own")
     made: list[Encoder] = []
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -402,7 +405,10 @@ def decode_ids(coded: DataFrame, model_path: str, ids_col: str = "ids", text_col
             made.append(Encoder(model, 1))
         cols = dict(zip(batch.schema.names, batch.columns, strict=True))
         lists = cols[ids_col]
-        texts = made[0].decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = (flat >= 0) & (flat < len(made[0].sizes))
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        texts = made[0].decode(flat[known], np.diff(np.concatenate([[0], np.cumsum(known)])[ends]))
         return cols | {text_col: [x.decode("utf-8", "replace") if ok else None for x, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)]}
 
     return map_rows(coded.select(*names), work, ", ".join(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in names) + f", `{text_col}` string", 500)

@@ -200,8 +200,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Fitting takes `most` labelled texts and `features` in all at most, whatever their lengths; in each of the `rounds` all
     unlabelled documents are scored, and a view teaches the other up to `teach` documents of each class that it is surest
     of, twice as many in the second round, and so on. Labels: 1 good, 0 low; of several for one id the lowest counts, null
-    ones and those without a text do not. Null and empty texts are scored by their page alone; null metadata is a value of
-    its own. Rows that are equal score alike. Without labels, or with one class alone, every row gets the prior and is
+    ones and those without a text do not. `features` also bounds the texts that teach in a round. Null and empty texts score
+    in the text view what a text without any word does there; null metadata is a value of its own. Rows that are equal score alike. Without labels, or with one class alone, every row gets the prior and is
     kept unless all labels were low. Columns named p_low or kept, in any case, are replaced, other names are free; an
     empty table gives no rows.
     """

@@ -28,11 +28,13 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by source: 150 % of all words shared by the weights 3, 1, 2, at most 2 times a source."""
-    from .mixing import mix, shares, text_sizes
+    from .mixing import MAX_PATTERNS, mix, shares, text_sizes
 
     # written once: the sizes are read for the totals, the order and the result
     sizes = kept(text_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text", "size"))
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).collect()  # one row per source
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_PATTERNS + 1).collect()  # one row per source
+    if len(by_source) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sources")
     named = sorted((r.source for r in by_source if r.source is not None), key=lambda s: s.encode()) + [None] * any(r.source is None for r in by_source)
     key = {s: "-" if s is None else f"={s}" for s in named}
     total = {key[r.source]: r.source_size for r in by_source}

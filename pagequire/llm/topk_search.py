@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .text import kept
+
 #: Rows of a block, and queries of a group: 64 dimensions take 4 and 8 MB.
 BLOCK_ROWS, GROUP_QUERIES = 8192, 16384
 
@@ -108,17 +110,17 @@ def top_k(rows: DataFrame, vec_col: str, id_col: str, is_query: Column, k: int,
     `rows`: an id (long) and a vector (array of long). Returns query_id, rank (from 1), the candidate's id and the score,
     ties to the smaller id; all candidates where there are fewer than k. Vectors that are null, hold nulls or are empty
     take no part; nor do those of another length than most (the longest of the most common lengths). Rows that repeat an
-    id count as one candidate each, but never as a candidate of that id's query; a repeated query row gives one set of
-    answers. A score that could leave 64 bits is an error. An empty table gives no rows. Blocks of rows meet groups of queries, both of bounded size; a block sends on
+    id count as one candidate each, but never as a candidate of that id's query; of query rows that repeat an id one
+    gives its answers, the first by its vector's bytes. A score that could leave 64 bits is an error. An empty table gives no rows. Blocks of rows meet groups of queries, both of bounded size; a block sends on
     k rows a query.
     """
     from functools import partial
 
     ready = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), is_query.alias("query")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.coalesce(F.exists("vec", lambda x: x.isNull()), F.lit(True)))
-    lengths = ready.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.count(F.when(F.col("query"), 1)).alias("q")).collect()  # one row per length
-    if not lengths:
+    lengths = ready.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.count(F.when(F.col("query"), 1)).alias("q"))
+    main = lengths.orderBy(F.desc("n"), F.desc("d")).first()
+    if main is None:
         return rows.sparkSession.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score long")
-    main = max(lengths, key=lambda r: (r.n, r.d))
     n_blocks, n_groups = max(1, -(-main.n // block_rows)), max(1, -(-main.q // group_queries))
     ready = ready.filter(F.size("vec") == main.d)
 
@@ -128,20 +130,21 @@ def top_k(rows: DataFrame, vec_col: str, id_col: str, is_query: Column, k: int,
             flat = np.ascontiguousarray(vec.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(-1, main.d)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat], pa.binary()), b.column(2)], names=["id", "blob", "query"])
 
-    flat = ready.mapInArrow(packed, "id long, blob binary, query boolean")
-    here = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int")
+    # written with their places, by which they are dealt: rows that repeat an id stand in different blocks
+    flat = kept(ready.mapInArrow(packed, "id long, blob binary, query boolean").withColumn("place", F.monotonically_increasing_id()))
+    here = F.pmod(F.xxhash64("place", F.lit(1)), F.lit(n_blocks)).cast("int")
     side = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_groups)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = flat.select("id", "blob", here.alias("block")).select("*", every(n_groups).alias("side"))
-    right = flat.filter("query").select("id", "blob", side.alias("side")).select("*", every(n_blocks).alias("block"))
+    asked = flat.filter("query").groupBy("id").agg(F.min("blob").alias("blob"))
+    right = asked.select("id", "blob", side.alias("side")).select("*", every(n_blocks).alias("block"))
 
     def meet(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return empty
         ids, rows = left["id"].to_numpy(), matrix(left["blob"].to_pylist())
-        asked, first = np.unique(right["id"].to_numpy(), return_index=True)
-        queries = matrix(right["blob"].to_pylist())[first]
+        asked, queries = right["id"].to_numpy(), matrix(right["blob"].to_pylist())
         q, found, score = threshold_search(ids, rows, asked, queries, k)
         return pa.table({"query_id": asked[q], "vec": found, "score": score})
 

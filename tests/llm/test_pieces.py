@@ -86,3 +86,14 @@ def test_best_score_is_that_of_the_ids(spark):
         score[i] = s
     ids, _, scores, _ = Encoder(model, 1).encode(["the quick brown fox"])
     assert score[ids].sum() == scores[0][0]
+
+
+def test_decoding_of_null_and_unknown_ids_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, [5, None, 10**6, -3, 5], "old"), (2, None, "old"), (3, [], "old"), (4, [None], "old")], "id int, ids array<int>, Text string")
+    out = decode_ids(rows, PIECES)
+    assert out.columns == ["id", "ids", "text"]
+    one = decode_ids(spark.createDataFrame([([5, 5],)], "ids array<int>"), PIECES).first().text
+    assert {r.id: r.text for r in out.collect()} == {1: one, 2: None, 3: "", 4: ""}
+    assert decode_ids(rows.limit(0), PIECES).count() == 0
+    with pytest.raises(ValueError):
+        decode_ids(rows, PIECES, text_col="IDS")

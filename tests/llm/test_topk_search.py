@@ -110,3 +110,18 @@ def test_integers_stop_early():
 
     topk_search.integer_search(np.arange(4000), rows.view(Counted), np.array([-1]), np.full((1, 8), 1 << 28), 5)
     assert 0 < sum(scored) < 400
+
+
+def test_rows_that_repeat_an_id_are_dealt_over_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [2, 1])] * 30 + [(i, [i, 1]) for i in range(1, 8)] + [(3, [9, 9])] * 2
+    frame = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    for block in (5, 8192):
+        got = [tuple(r) for r in top_k(frame, "v", "vec_id", F.col("vec_id") % 3 == 0, 4, block, 1).orderBy("query_id", "rank").collect()]
+        want = []
+        for q in (0, 3, 6):
+            vec = min((np.array(v, np.int64).tobytes(), v) for i, v in rows if i == q)[1]
+            best = sorted((-(v[0] * vec[0] + v[1] * vec[1]), i) for i, v in rows if i != q)[:4]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+        assert got == want
