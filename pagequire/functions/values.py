@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def flag(c: Column | str) -> Column:
     """A boolean column, null as false."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(False))

@@ -154,22 +154,28 @@ def right_to_left(boxes: DataFrame) -> DataFrame:
 
 
 def repeated_captions(candidates: DataFrame, chapter: str = "chapter_id", least: int = 3, tolerance: float = 0.05) -> DataFrame:
-    """Candidates with repeated_caption: the narrowest box not yet grouped takes all of nearly its size, and a group of at
-    least `least` is marked."""
+    """Candidates with repeated_caption: the narrowest box not yet grouped, of these the lowest, takes all of nearly its
+    size, and a group of at least `least` is marked. Rows without a size are not marked.
+
+    Sizes are counted first: what one task handles of a chapter are its different sizes in pixels, however many boxes."""
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["width", "height", "idx"], kind="stable").reset_index(drop=True)
-        w, h = rows.width.to_numpy(float), rows.height.to_numpy(float)
+        rows = rows.sort_values(["width", "height"]).reset_index(drop=True)
+        w, h, n = (rows[c].to_numpy(float) for c in ("width", "height", "n"))
         left, flags = np.ones(len(rows), bool), np.zeros(len(rows), bool)
-        while left.any():
-            i = int(np.argmax(left))
-            group = left & (np.abs(w - w[i]) <= w[i] * tolerance) & (np.abs(h - h[i]) <= max(2, h[i] * tolerance * 2))
-            if group.sum() >= least:
-                flags |= group
-            left &= ~group
-        return rows.assign(repeated_caption=flags)
-
-    return candidates.groupBy(chapter).applyInPandas(mark, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", repeated_caption boolean")
+        for i in range(len(rows)):
+            if left[i]:
+                end = np.searchsorted(w, w[i] + abs(w[i]) * tolerance, "right")
+                group = i + np.flatnonzero(left[i:end] & (np.abs(h[i:end] - h[i]) <= max(2, h[i] * tolerance * 2)))
+                flags[group] = n[group].sum() >= least
+                left[group] = False
+        return rows.assign(repeated_caption=flags).drop(columns="n")
+
+    sizes = candidates.filter("width is not null and height is not null").groupBy(chapter, "width", "height").agg(F.count("*").alias("n"))
+    kinds = ", ".join(f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in (chapter, "width", "height"))
+    marked = sizes.groupBy(chapter).applyInPandas(mark, f"{kinds}, repeated_caption boolean")
+    joined = candidates.join(marked, [chapter, "width", "height"], "left")
+    return joined.select(*candidates.columns, F.coalesce("repeated_caption", F.lit(False)).alias("repeated_caption"))
 
 
 def free_rows(slots: DataFrame, boxes: DataFrame) -> DataFrame:

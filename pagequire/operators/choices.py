@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box, intersection
 from ..functions.values import has_text
+from .boxes import meetings
 
 # fixed values: the share of a page that a box may cover without further evidence
 LARGE = 0.15
@@ -35,20 +36,18 @@ def sound_predictions(rows: DataFrame, confidence: Column, fields: list[str]) ->
 
 def block_support(boxes: DataFrame) -> DataFrame:
     """page_key and idx of large boxes that three or more of the page's boxes bear out as lines of one block: inside it,
-    in its middle, without wide gaps. Boxes have page_width and page_height; blocks are few, lines meet them on the page."""
+    in its middle, without wide gaps. Boxes have page_width and page_height; blocks and lines meet by cells of the page."""
     block = boxes.filter((F.col("confidence") >= BLOCK["confidence"]) & (F.col("width") * F.col("height") <= BLOCK["page"] * F.col("page_width") * F.col("page_height")) & (F.col("width") * F.col("height") > LARGE * F.col("page_width") * F.col("page_height")))
-    block = block.select("page_key", *[F.col(c).alias(f"b_{c}") for c in ("idx", "x", "y", "width", "height")])
-    line = boxes.select("page_key", *[F.col(c).alias(f"l_{c}") for c in ("idx", "x", "y", "width", "height")])
-    b, one = box("b_"), box("l_")
+    b, one = box("a_"), box("b_")
     middle = F.abs(one("x") + one("width") / 2 - b("x") - b("width") / 2) <= BLOCK["middle"] * b("width")
-    met = block.join(line, "page_key").filter((b("idx") != one("idx")) & (area(one) <= BLOCK["line"] * area(b)) & (intersection(b, one) >= BLOCK["inside"] * area(one)) & middle)
-    turn = W.partitionBy("page_key", "b_idx").orderBy("l_y", "l_idx")
-    gap = F.col("l_y") - F.lag("l_y").over(turn) - F.lag("l_height").over(turn)
-    wide = F.coalesce(gap > BLOCK["gap"] * F.greatest("l_height", F.lag("l_height").over(turn)), F.lit(False))
-    facts = met.withColumn("wide", wide).groupBy("page_key", "b_idx", "b_width", "b_height").agg(F.count("*").alias("n"), F.sum(area(one)).alias("area"), F.max("l_width").alias("width"), F.max_by(F.col("l_y") + F.col("l_height"), F.struct("l_y", "l_idx")).alias("low"), F.min("l_y").alias("top"), F.max("wide").alias("wide"))
-    whole = F.col("b_width") * F.col("b_height")
-    good = (F.col("n") >= BLOCK["lines"]) & (F.col("area") >= BLOCK["area"] * whole) & (F.col("width") >= BLOCK["width"] * F.col("b_width")) & (F.col("low") - F.col("top") >= BLOCK["height"] * F.col("b_height")) & ~F.col("wide")
-    return facts.filter(good).select("page_key", F.col("b_idx").alias("idx"))
+    met = meetings(block, boxes).filter((b("idx") != one("idx")) & (area(one) <= BLOCK["line"] * area(b)) & (intersection(b, one) >= BLOCK["inside"] * area(one)) & middle)
+    turn = W.partitionBy("page_key", "a_idx").orderBy("b_y", "b_idx")
+    gap = F.col("b_y") - F.lag("b_y").over(turn) - F.lag("b_height").over(turn)
+    wide = F.coalesce(gap > BLOCK["gap"] * F.greatest("b_height", F.lag("b_height").over(turn)), F.lit(False))
+    facts = met.withColumn("wide", wide).groupBy("page_key", "a_idx", "a_width", "a_height").agg(F.count("*").alias("n"), F.sum(area(one)).alias("area"), F.max("b_width").alias("width"), F.max_by(F.col("b_y") + F.col("b_height"), F.struct("b_y", "b_idx")).alias("low"), F.min("b_y").alias("top"), F.max("wide").alias("wide"))
+    whole = F.col("a_width") * F.col("a_height")
+    good = (F.col("n") >= BLOCK["lines"]) & (F.col("area") >= BLOCK["area"] * whole) & (F.col("width") >= BLOCK["width"] * F.col("a_width")) & (F.col("low") - F.col("top") >= BLOCK["height"] * F.col("a_height")) & ~F.col("wide")
+    return facts.filter(good).select("page_key", F.col("a_idx").alias("idx"))
 
 
 def without_large(boxes: DataFrame) -> DataFrame:

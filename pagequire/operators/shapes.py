@@ -105,21 +105,34 @@ def joined_lines(boxes: DataFrame, page: str, overlap: float = 0.25, gap: float
     the narrower one's width and lie close enough. By y and x, the first box that has such a partner below it in this
     order is joined with the first of these, until none is left. One page at a time."""
 
+    def near(some: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """Which boxes (by their corners) stand like lines with one."""
+        shared = np.minimum(some[:, 2], one[2]) - np.maximum(some[:, 0], one[0])
+        least = np.maximum(1, np.minimum(some[:, 2] - some[:, 0], one[2] - one[0]))
+        return (np.maximum(shared, 0) >= overlap * least) & (np.maximum(some[:, 1], one[1]) - np.minimum(some[:, 3], one[3]) <= gap)
+
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         a = rows[["x", "y", "width", "height", "confidence"]].to_numpy(float)
         a[:, 2:4] += a[:, :2]  # corners
-        while True:
-            a = a[np.lexsort([a[:, 0], a[:, 1]])]
-            x0, y0, x1, y1, best = a.T
-            shared = np.minimum(x1[:, None], x1) - np.maximum(x0[:, None], x0)
-            apart = np.maximum(y0[:, None], y0) - np.minimum(y1[:, None], y1)
-            near = (np.maximum(shared, 0) >= overlap * np.maximum(1, np.minimum((x1 - x0)[:, None], x1 - x0))) & (apart <= gap)
-            at = np.argwhere(np.triu(near, 1))
-            if not len(at):
-                break
-            i, j = at[0]
-            whole = [min(x0[i], x0[j]), min(y0[i], y0[j]), max(x1[i], x1[j]), max(y1[i], y1[j]), max(best[i], best[j])]
-            a = np.vstack([np.delete(a, [i, j], 0), whole])
+        a = a[np.lexsort([a[:, 0], a[:, 1]])]
+        i = 0  # no box before has a partner
+        while i < len(a):
+            end = np.searchsorted(a[:, 1], a[i, 3] + gap, "right")  # boxes below that are out of reach
+            hit = np.flatnonzero(near(a[i + 1 : end], a[i]))
+            if not len(hit):
+                i += 1
+                continue
+            j = i + 1 + int(hit[0])
+            while True:
+                whole = np.r_[np.minimum(a[i, :2], a[j, :2]), np.maximum(a[i, 2:], a[j, 2:])]
+                a = np.delete(a, [i, j], 0)
+                j = int(((a[:, 1] < whole[1]) | (a[:, 1] == whole[1]) & (a[:, 0] <= whole[0])).sum())
+                a = np.insert(a, j, whole, 0)
+                hit = np.flatnonzero(near(a[:j], whole))  # a box before that had no partner may have one now
+                if not len(hit):
+                    break
+                i = int(hit[0])
+            i = j
         a[:, 2:4] -= a[:, :2]
         return pd.DataFrame(a, columns=["x", "y", "width", "height", "confidence"]).assign(**{page: rows[page].iloc[0]})[[page, "x", "y", "width", "height", "confidence"]]
 

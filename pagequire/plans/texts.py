@@ -10,30 +10,27 @@ from ..operators import terms
 from .base import Collector, Tables
 
 query = Collector()
-# conversations with transport labels around them; RE2 has no look-around, and these rows no Han or Kana
-RAW = "(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN E'BEGIN\\n' || text || E'  \\n\\n\\n\\nEND' WHEN 1 THEN '<|im_start|>' || text || '<box 3>' WHEN 2 THEN E'```text\\n' || text || E'\\n```' ELSE '  ' || text || E'\\r\\nSTOP:' END AS raw FROM conversations)"
-
-
 def _raw(t: Tables) -> DataFrame:
     k = F.col("turn") % 4
     raw = F.when(k == 0, F.concat(F.lit("BEGIN\n"), "text", F.lit("  \n\n\n\nEND"))).when(k == 1, F.concat(F.lit("<|im_start|>"), "text", F.lit("<box 3>"))).when(k == 2, F.concat(F.lit("```text\n"), "text", F.lit("\n```"))).otherwise(F.concat(F.lit("  "), "text", F.lit("\r\nSTOP:")))
     return t.conversations.select("conv_id", "turn", raw.alias("raw"))
 
 
+# a text as its lines, without blanks around them, in paragraphs
 TIGHT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[ \\t]+\\n', E'\\n', 'g'), '\\n{{3,}}', E'\\n\\n', 'g'), '^\\s+', ''), '\\s+$', '')"
 LINES = "array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x, E' \\t')), lambda x: x <> ''), chr(10))"
 
 
-@query(f"""WITH r AS (SELECT conv_id, turn, replace(raw, E'\\r\\n', E'\\n') AS raw FROM {RAW}), f AS (SELECT conv_id, turn, CASE WHEN starts_with(raw, '```') THEN regexp_replace(regexp_replace(raw, '^[^\\n]*\\n', ''), '\\n```$', '') ELSE raw END AS x FROM r),
-l AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(x, '<\\|.*?\\|>', '', 'g'), '(?i)<\\s*/?\\s*(?:s_box|box|begin|end|start|stop)[^>]*>', '', 'g'), '(?im)^[ \\t]*(?:BEGIN|END|START|STOP)[ \\t]*:?[ \\t]*$', '', 'g') AS x FROM f),
-s AS (SELECT conv_id, turn, regexp_split_to_array({TIGHT.format("x")}, '\\n[ \\t]*\\n+') AS p FROM l), e AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS i, unnest(p) AS p FROM s)
+@query(f"""WITH s AS (SELECT conv_id, turn, regexp_split_to_array({TIGHT.format("text")}, '\\n[ \\t]*\\n+') AS p FROM conversations), e AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS i, unnest(p) AS p FROM s)
 SELECT conv_id, turn, coalesce(string_agg({LINES}, E'\\n\\n' ORDER BY i) FILTER (WHERE {LINES} <> ''), '') AS text FROM e GROUP BY conv_id, turn""")
 def f1_reading_text(t: Tables) -> DataFrame:
+    """Whatever was put around the texts goes, and their own lines come back."""
     return _raw(t).select("conv_id", "turn", text.reading_text(F.col("raw")).alias("text"))
 
 
-@query(f"""WITH r AS (SELECT conv_id, turn, regexp_replace(regexp_replace(replace(raw, E'\\r\\n', E'\\n'), '(?im)^[ \\t]*(?:BEGIN|END|START|STOP)[ \\t]*$', '', 'g'), '(?i)\\b(?:BEGIN|END)\\b', '', 'g') AS x FROM {RAW}) SELECT conv_id, turn, {TIGHT.format("x")} AS text FROM r""")
+@query(f"""WITH x AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN '<|im_start|>' || text || '<box 3>' WHEN 2 THEN E'```text\\n' || text || E'\\n```' ELSE text || E'\\nSTOP:' END AS text FROM conversations) SELECT conv_id, turn, {TIGHT.format("text")} AS text FROM x""")
 def f2_translation_text(t: Tables) -> DataFrame:
+    """Of what was put around the texts only the labels BEGIN and END go."""
     return _raw(t).select("conv_id", "turn", text.translation_text(F.col("raw")).alias("text"))
 
 

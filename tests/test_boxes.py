@@ -146,3 +146,34 @@ def test_lines():
     assert planning.balanced_lines([], [], 1, 5) == [] and planning.balanced_lines(["long"], [9], 1, 5) == ["long"]
     page = pd.DataFrame({"slot_id": [1], "ideal": [5.0]})
     assert planning.place_in_order(page, pd.DataFrame({"slot_id": [], "start": [], "end": []}), 3) is None
+
+
+def test_joined_lines_in_crowds_equal_a_plain_loop(spark):
+    import random
+
+    from pagequire.operators.shapes import joined_lines
+
+    r = random.Random(3)
+    rows = [(p, float(r.randrange(60)), float(r.randrange(40 * n)), float(r.choice([0, 3, 9, 30])), float(r.choice([0, 2, 5])), r.random()) for p, n in enumerate([1, 2, 5]) for _ in range(12 * n)]
+    got = sorted(tuple(x) for x in joined_lines(spark.createDataFrame(rows, "page int, x double, y double, width double, height double, confidence double"), "page").collect())
+    want = []
+    for p in range(3):
+        a = [[x, y, x + w, y + h, c] for q, x, y, w, h, c in rows if q == p]
+        while True:
+            a.sort(key=lambda b: (b[1], b[0]))
+            pair = next(((i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if max(0, min(a[i][2], a[j][2]) - max(a[i][0], a[j][0])) >= 0.25 * max(1, min(a[i][2] - a[i][0], a[j][2] - a[j][0])) and max(a[i][1], a[j][1]) - min(a[i][3], a[j][3]) <= 5), None)
+            if not pair:
+                break
+            one, other = a.pop(pair[1]), a.pop(pair[0])
+            a.append([min(one[0], other[0]), min(one[1], other[1]), max(one[2], other[2]), max(one[3], other[3]), max(one[4], other[4])])
+        want += [(p, x0, y0, x1 - x0, y1 - y0, c) for x0, y0, x1, y1, c in a]
+    assert got == sorted(want)
+
+
+def test_captions_of_one_chapter_are_counted_by_size(spark):
+    from pagequire.operators.boxes import repeated_captions
+
+    sizes = [(100, 10)] * 2 + [(104, 11)] + [(120, 10)] * 2 + [(None, 10)] + [(104, 40)] * 3 + [(105, 10)]
+    rows = [(1, i, w, h) for i, (w, h) in enumerate(sizes)]
+    out = {x.idx: x.repeated_caption for x in repeated_captions(spark.createDataFrame(rows, "chapter_id int, idx int, width int, height int")).collect()}
+    assert out == {i: i in (0, 1, 2, 6, 7, 8, 9) for i in range(10)}

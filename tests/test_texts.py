@@ -120,3 +120,11 @@ def test_json_terms_at_any_depth(spark):
     rows = [(1, json.dumps(deep)), (2, "[" * 3000), (3, None), (4, "no json"), (5, json.dumps({"x": "y", "z": {"target": "w"}})), (6, "{}"), (7, json.dumps({"source": "one", "target": "two"}))]
     got = sorted((r.id, r.source, r.target) for r in script.json_terms(spark.createDataFrame(rows, "id int, j string"), ["id"], "j").collect())
     assert got == [(1, "a", "b"), (5, "x", "y"), (5, "z", "w"), (7, "one", "two")]
+
+
+def test_tags_fences_and_titles(apply):
+    assert apply(text.without_tags, "a<|x|>b", "<box 1>x</ BOX>", "1 < 2 > 0 <b>", "<s_box", "< /start>y<beginning>", None, "<|a") == ["ab", "x", "1 < 2 > 0 <b>", "<s_box", "y", None, "<|a"]
+    assert apply(text.without_fences, "```json\n{}\n  ```  \nx ``` y\n``` two words", None, "```") == ["{}\nx ``` y\n``` two words", "", ""]
+    assert apply(text.reading_text, "```\n", "```x", "a ``` b", "```py\na\n```\n``` tail") == ["", "", "a ``` b", "a\n```"]
+    title = lambda c: text.failure_title(c, F.lit("op"))
+    assert apply(title, "DashScope: no.", "QWEN (HTTP 12) : what: this", "Qwen (odd): x", "Other: x", "qwen", ":", "") == ["no", "what: this", "Qwen (odd): x", "Other: x", "qwen", ":", "op"]
