@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.geometry import box, contained, iou, mark_count
 from ..operators import boxes, lettering, metrics, planning, slots, strips
+from ..sources.files import slice_plan
 from .base import BOXES, REGIONS, STRIPS, Collector, Tables
 
 query = Collector()
@@ -249,6 +250,12 @@ def g14_fitted_text(t: Tables) -> DataFrame:
     return lettering.fit_text(boxes, "text", "width", "height", "size").select("conv_id", "turn", "lines", "font_size", "overflow")
 
 
+@query(f"""WITH {STRIPS}, h AS (SELECT chapter_id, sum(height)::BIGINT AS h FROM strips_ GROUP BY chapter_id HAVING sum(height) > 0), n AS (SELECT *, greatest(1, h // 2000 + (h % 2000 >= 500)::INT) AS n FROM h),
+r AS (SELECT *, unnest(range(1, n + 1)) AS number FROM n) SELECT chapter_id, number, (number - 1) * 2000 AS top, CASE WHEN number = n THEN h ELSE number * 2000 END AS bottom FROM r""")
+def s18_slices(t: Tables) -> DataFrame:
+    return slice_plan(strips.strip_size(t.strip_pages()), 2000)
+
+
 @query()
 def g9_chapter_slots(t: Tables) -> DataFrame:
     """Marks of 120 by 60 along the strips, by one for each 1,600 rows, off two boxes on each page."""

@@ -1,9 +1,13 @@
+import json
 import struct
 import zipfile
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
 
-from pagequire.sources.bundles import bundle_pages, bundle_regions, read_bundles, write_bundles
+from pagequire.sources.bundles import bundle_pages, bundle_regions, read_assets, read_bundles, resolved_pages, write_bundles
+from pagequire.sources.files import slice_plan, write_files, write_slices
 from pagequire.sources.folders import image_size, scan_pages, without_collisions
 from pagequire.streaming.files import stable_files
 
@@ -57,3 +61,55 @@ def test_stable_files(spark, tmp_path):
     assert sorted(map(tuple, spark.table("stable").collect())) == [("a", 2, 5), ("a", 3, 6)]
 
 
+
+
+def test_bundles_carry_assets_and_odd_names(spark, tmp_path):
+    pages = spark.createDataFrame([("c", i, f'k"{i}\\é', f"n{i}", i, i) for i in range(40)] + [("d", 0, None, None, None, None)], "chapter_id string, ord int, page_key string, name string, width int, height int")
+    regions = spark.createDataFrame([("c", f'k"{i}\\é', j, f"r{j}", 1, 2, 3, 4, 0.5, "x\n", None) for i in (3, 7) for j in range(3)] + [("gone", "k", 0, "r", 1, 1, 1, 1, 0.1, "", "")], "chapter_id string, page_key string, ord int, id string, x int, y int, width int, height int, confidence double, text string, translation string")
+    assets = spark.createDataFrame([("c", "patches/0.png", bytearray(b"12")), ("c", "assets/w.png", bytearray(b"")), ("gone", "a", bytearray(b"1"))], "chapter_id string, asset string, content binary")
+    for _ in range(2):  # a second time in place of the first
+        write_bundles(pages.repartition(5), regions, str(tmp_path), assets)
+    assert sorted(p.suffix for p in tmp_path.iterdir()) == [".zip", ".zip"]
+    read = read_bundles(spark, str(tmp_path))
+    assert [(r.ord, r.page_key, r.width) for r in bundle_pages(read).filter("name is not null").orderBy("ord").collect()] == [(i, f'k"{i}\\é', i) for i in range(40)]
+    assert bundle_regions(read).groupBy("page_key").count().count() == 2 and bundle_regions(read).count() == 6
+    assert sorted((r.asset, bytes(r.content)) for r in read_assets(spark, str(tmp_path)).collect()) == [("assets/w.png", b""), ("patches/0.png", b"12")]
+
+
+def test_pages_are_found_by_their_candidate_paths(spark, tmp_path):
+    project = {"version": 1, "source_root": "/old/root", "pages": [{"name": n, "path": p, "relative_path": r} for n, p, r in [("a", "/x/a.png", "a.png"), ("b", "/x/b.png", "b.png"), ("c", "/x/c.png", ""), ("d", "//host/d.png", None), ("e", None, "e.png")]]}
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("project.json", json.dumps(project))
+    files = spark.createDataFrame([("/old/root/a.png",), (f"file:{tmp_path}/a.png",), (f"file:{tmp_path}/b.png",), ("/x/c.png",), ("//host/d.png",), ("/x/b.png",)], "path string")
+    got = {r["name"]: (r.page_key, r.missing) for r in resolved_pages(read_bundles(spark, str(tmp_path)), files).collect()}
+    assert got == {"a": ("/old/root/a.png", False), "b": (f"{tmp_path}/b.png", False), "c": ("/x/c.png", False), "d": (None, True), "e": (None, True)}
+
+
+def test_slices_replace_earlier_ones_together(spark, tmp_path):
+    slices = lambda n, bad=False: spark.range(1, n + 1).repartition(3).selectExpr("id as number", "cast(if(id = 2 and %s, raise_error('lost'), concat('s', id)) as binary) as content" % bad)
+    (tmp_path / "cover.jpg").write_bytes(b"stays")
+    write_slices(slices(5), str(tmp_path), archive="all.zip")
+    assert {p.name for p in tmp_path.iterdir()} == {"cover.jpg", "all.zip", *(f"00{i}.jpg" for i in range(1, 6))}
+    with pytest.raises(Exception, match="lost"):
+        write_slices(slices(3, True), str(tmp_path))
+    assert {p.name for p in tmp_path.iterdir()} == {"cover.jpg", "all.zip", *(f"00{i}.jpg" for i in range(1, 6))} and (tmp_path / "002.jpg").read_bytes() == b"s2"
+    write_slices(slices(2), str(tmp_path), ending="png")
+    assert {p.name for p in tmp_path.iterdir()} == {"cover.jpg", "all.zip", "001.png", "002.png"}
+    with zipfile.ZipFile(tmp_path / "all.zip") as z:
+        assert [(n, z.read(n)) for n in sorted(z.namelist())] == [(f"00{i}.jpg", b"s%d" % i) for i in range(1, 6)]
+    write_slices(slices(0), str(tmp_path))
+    assert {p.name for p in tmp_path.iterdir()} == {"cover.jpg", "all.zip"}
+
+
+def test_names_outside_the_folder_are_refused(spark, tmp_path):
+    for name in ("../x", "", "_temporary"):
+        with pytest.raises(Exception, match="no name"):
+            write_files(spark.createDataFrame([(name, 0, bytearray(b"1"))], "file string, ord int, content binary").withColumn("entry", F.lit(None).cast("string")), str(tmp_path / "out"))
+
+
+def test_slice_plan(spark):
+    rows = spark.createDataFrame([("a", 2000), ("b", 2240), ("c", 2250), ("d", 30), ("e", 0), ("f", None)], "chapter_id string, height long")
+    got = {}
+    for r in slice_plan(rows, 1000).orderBy("number").collect():
+        got.setdefault(r.chapter_id, []).append((r.top, r.bottom))
+    assert got == {"a": [(0, 1000), (1000, 2000)], "b": [(0, 1000), (1000, 2240)], "c": [(0, 1000), (1000, 2000), (2000, 2250)], "d": [(0, 30)]}
