@@ -5,6 +5,8 @@ Boxes have page_key, idx (their place in the input), x, y, width, height and con
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box, contained, horizontal_share, intersection
+from ..functions.lineage import settled
 from ..functions.values import floor_div, upper_median
 from .reading import right_to_left_order
 
@@ -43,6 +46,38 @@ def suppress(boxes: DataFrame, most_iou: float = 0.35, most_inside: float = 0.75
 CELL = 512
 
 
+def on_page(tiles: DataFrame, left: str, top: str) -> DataFrame:
+    """Boxes found in tiles, in the coordinates of their page; null offsets count 0."""
+    return tiles.withColumns({"x": F.col("x") + F.coalesce(left, F.lit(0)), "y": F.col("y") + F.coalesce(top, F.lit(0))})
+
+
+def suppress_crowds(boxes: DataFrame, most_iou: float = 0.35, most_inside: float | None = 0.75, cell: int = CELL) -> DataFrame:
+    """The same choice as suppress(), for pages of any number of boxes; `most_inside` None: by their overlap alone. Boxes
+    have different idx on a page; those without area or confidence repeat nothing and stay.
+
+    Boxes that meet become links from the stronger to the weaker. In each round boxes that no undecided one is linked to
+    stay, and what they are linked to goes; the rounds needed grow with the longest chain of links, not with the boxes."""
+    a, b = box("a_"), box("b_")
+    both = intersection(a, b)
+    repeats = both > most_iou * F.greatest(F.lit(1.0), area(a) + area(b) - both)
+    if most_inside is not None:
+        repeats |= both > most_inside * F.greatest(F.lit(1.0), area(b))
+    stronger = (F.col("a_confidence") > F.col("b_confidence")) | (F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_idx") < F.col("b_idx"))
+    sound = boxes.filter("width > 0 and height > 0 and confidence is not null")
+    links = meetings_of(sound, sound, cell, "confidence").filter(stronger & repeats).select("page_key", F.col("a_idx").alias("a"), F.col("b_idx").alias("b")).distinct()
+    links, gone = settled(links), []
+    while not links.isEmpty():
+        waiting = links.select("page_key", F.col("b").alias("a")).distinct()
+        lost = settled(links.join(waiting, ["page_key", "a"], "left_anti").select("page_key", "b").distinct())
+        gone.append(lost)
+        # links from and to boxes that went, and from those that stay, are done with
+        links = settled(links.join(lost, ["page_key", "b"], "left_anti").join(lost.withColumnRenamed("b", "a"), ["page_key", "a"], "left_anti"))
+    out = boxes
+    if gone:
+        out = boxes.join(functools.reduce(DataFrame.unionByName, gone).withColumnRenamed("b", "idx"), ["page_key", "idx"], "left_anti")
+    return out.select(*boxes.columns)
+
+
 def in_cells(boxes: DataFrame, side: str, cell: int, *more: str) -> DataFrame:
     """The boxes' columns with a prefix, once for each grid cell (page_key, cx, cy) that they lie in."""
     steps = lambda start, size: F.explode(F.sequence(floor_div(F.col(start), F.lit(cell)), floor_div(F.col(start) + F.greatest(F.col(size), F.lit(1)) - 1, F.lit(cell))))
@@ -50,14 +85,19 @@ def in_cells(boxes: DataFrame, side: str, cell: int, *more: str) -> DataFrame:
     return spread.select("page_key", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in ("idx", "x", "y", "width", "height", *more)])
 
 
-def meetings(one: DataFrame, other: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pairs of boxes (a_, b_) of a page that overlap. They meet by grid cells, and a pair is taken in the first cell that
-    both lie in, so that crowded pages are not compared all with all."""
+def meetings_of(one: DataFrame, other: DataFrame, cell: int, *more: str) -> DataFrame:
+    """Pairs of boxes (a_, b_) of a page that overlap, with more of their columns. They meet by grid cells, and a pair is
+    taken in the first cell that both lie in, so that crowded pages are not compared all with all."""
+    met = in_cells(one, "a", cell, *more).join(in_cells(other, "b", cell, *more), ["page_key", "cx", "cy"])
     first = (F.col("cx") == floor_div(F.greatest("a_x", "b_x"), F.lit(cell))) & (F.col("cy") == floor_div(F.greatest("a_y", "b_y"), F.lit(cell)))
-    met = in_cells(one, "a", cell).join(in_cells(other, "b", cell), ["page_key", "cx", "cy"])
     return met.filter(first & (intersection(box("a_"), box("b_")) > 0))
 
 
+def meetings(one: DataFrame, other: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs of boxes (a_, b_) of a page that overlap."""
+    return meetings_of(one, other, cell)
+
+
 def without_fragments(boxes: DataFrame, cut: Column) -> DataFrame:
     """Boxes without those cut at a strip's edge that a whole box of at most four times their area covers by 75 %. A box
     without area is covered by any such box, which has none either, so it stays."""

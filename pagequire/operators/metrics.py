@@ -29,6 +29,11 @@ def counts_with_zeros(rows: DataFrame, value: str, wanted: list[str]) -> DataFra
     return names.join(rows.groupBy(value).agg(F.count("*").alias("n")), value, "left").select(value, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def mask_totals(entries: DataFrame, plan: str, pixels: Column, solid: Column) -> DataFrame:
+    """masked_pixels and solid_entries of each plan: what its entries cover, and how many are solid; nulls count nothing."""
+    return entries.groupBy(plan).agg(F.coalesce(F.sum(F.greatest(pixels, F.lit(0))), F.lit(0)).alias("masked_pixels"), F.count_if(flag(solid)).alias("solid_entries"))
+
+
 def patch_layer(kind: Column) -> Column:
     """automatic, restore, or else paint."""
     low = F.lower(F.trim(F.coalesce(kind, F.lit("legacy"))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import matches
 from ..functions.values import first_text, flag, has_text, stripped
+from .strips import sums_before
 
 
 def needs_reading(prefix: str = "") -> Column:
@@ -117,3 +118,8 @@ def visible_with_text(regions: DataFrame) -> DataFrame:
     """Regions that are visible (by default) and show a text."""
     text = first_text(F.col("applied_text"), F.col("translation"), F.col("text"))
     return regions.filter(F.coalesce("visible", F.lit(True)) & has_text(text))
+
+
+def reversed_pages(pages: DataFrame, chapter: str, order: str) -> DataFrame:
+    """Pages with place, from 1 for the last of their chapter: how many pages stand behind, counted by ranges of order."""
+    return sums_before(pages.withColumn("__back", -F.col(order)), [chapter], ["__back"], F.lit(1), "place").withColumn("place", F.col("place") + 1).drop("__back")

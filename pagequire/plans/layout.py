@@ -250,6 +250,14 @@ def g14_fitted_text(t: Tables) -> DataFrame:
     return lettering.fit_text(boxes, "text", "width", "height", "size").select("conv_id", "turn", "lines", "font_size", "overflow")
 
 
+@query()
+def g2_tile_suppressed(t: Tables) -> DataFrame:
+    """Parts as boxes of tiles of one page for a thousand, tiles a hundred rows apart, by their overlap alone."""
+    k = F.col("idx")
+    tiles = t.boxes().withColumns({"page_key": F.floor(k / 1000), "top": F.floor(k / 100) % 10 * 100, "left": F.lit(None).cast("int"), "y": F.col("y") % 300})
+    return boxes.suppress_crowds(boxes.on_page(tiles, "left", "top"), 0.35, None).select("page_key", "idx", "x", "y")
+
+
 @query(f"""WITH {STRIPS}, h AS (SELECT chapter_id, sum(height)::BIGINT AS h FROM strips_ GROUP BY chapter_id HAVING sum(height) > 0), n AS (SELECT *, greatest(1, h // 2000 + (h % 2000 >= 500)::INT) AS n FROM h),
 r AS (SELECT *, unnest(range(1, n + 1)) AS number FROM n) SELECT chapter_id, number, (number - 1) * 2000 AS top, CASE WHEN number = n THEN h ELSE number * 2000 END AS bottom FROM r""")
 def s18_slices(t: Tables) -> DataFrame:

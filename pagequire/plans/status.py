@@ -189,4 +189,17 @@ def t9_circuit(t: Tables) -> DataFrame:
     return history.circuit(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", F.col("value") < 60).select("user_id", "event_id", "broken")
 
 
+@query("SELECT l_orderkey AS plan, sum(l_quantity)::BIGINT AS masked_pixels, count_if(l_returnflag = 'R')::BIGINT AS solid_entries FROM lineitem GROUP BY l_orderkey")
+def a14_mask_totals(t: Tables) -> DataFrame:
+    """Lines as the entries of their orders' plans."""
+    rows = t.lineitem.withColumn("plan", F.col("l_orderkey"))
+    return metrics.mask_totals(rows, "plan", F.col("l_quantity").cast("long"), F.col("l_returnflag") == "R")
+
+
+@query("SELECT o_custkey AS chapter_id, o_orderkey AS page_key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place FROM orders")
+def o13_reversed(t: Tables) -> DataFrame:
+    """The pages of a chapter from the last to the first."""
+    return status.reversed_pages(t.order_pages(), "chapter_id", "ord").select("chapter_id", "page_key", "place")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -177,3 +177,20 @@ def test_captions_of_one_chapter_are_counted_by_size(spark):
     rows = [(1, i, w, h) for i, (w, h) in enumerate(sizes)]
     out = {x.idx: x.repeated_caption for x in repeated_captions(spark.createDataFrame(rows, "chapter_id int, idx int, width int, height int")).collect()}
     assert out == {i: i in (0, 1, 2, 6, 7, 8, 9) for i in range(10)}
+
+
+def test_crowds_are_suppressed_like_single_pages(spark):
+    import random
+
+    from pagequire.operators.boxes import on_page, suppress, suppress_crowds
+
+    r = random.Random(7)
+    rows = [(p, i, r.randrange(120), r.randrange(120), r.choice([0, 10, 30]), r.choice([5, 25]), r.choice([0.1, 0.5, 0.5, r.random()])) for p, n in ((1, 150), (2, 5), (3, 1)) for i in range(n)]
+    chain = [(4, i, i * 4, 0, 10, 10, 1 - i / 100) for i in range(30)]
+    frame = spark.createDataFrame(rows + chain, "page_key int, idx int, x int, y int, width int, height int, confidence double")
+    for inside in (0.75, 2.0):
+        want = sorted((x.page_key, x.idx) for x in suppress(frame, 0.35, inside).collect())
+        assert sorted((x.page_key, x.idx) for x in suppress_crowds(frame, 0.35, inside if inside < 1 else None, 32).collect()) == want
+    assert suppress_crowds(frame.limit(0)).count() == 0
+    moved = on_page(spark.createDataFrame([(1, 2, 10, None)], "x int, y int, left int, top int"), "left", "top").first()
+    assert (moved.x, moved.y) == (11, 2)

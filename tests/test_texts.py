@@ -128,3 +128,8 @@ def test_tags_fences_and_titles(apply):
     assert apply(text.reading_text, "```\n", "```x", "a ``` b", "```py\na\n```\n``` tail") == ["", "", "a ``` b", "a\n```"]
     title = lambda c: text.failure_title(c, F.lit("op"))
     assert apply(title, "DashScope: no.", "QWEN (HTTP 12) : what: this", "Qwen (odd): x", "Other: x", "qwen", ":", "") == ["no", "what: this", "Qwen (odd): x", "Other: x", "qwen", ":", "op"]
+
+
+def test_terms_as_text(spark):
+    rows = spark.createDataFrame([(1, "a", "b", "x", " n "), (2, "c", "d", "lugar", None)], "ord int, source string, target string, category string, note string")
+    assert [r.t for r in rows.coalesce(1).orderBy("ord").select(terms.terms_as_text().alias("t")).collect()] == ["a\tb\tx\t n", "c\td\tlugar"]
