@@ -35,14 +35,52 @@ PATTERN_RULES = [
 ]
 # fixed values: words that a host to be blocked has
 HOST_WORDS = ["bingo", "escort", "escorts", "jackpot", "keygen", "lottery", "malware", "nude", "nudes", "phishing", "poker", "roulette", "slots", "sportsbook", "viagra", "xxx"]
-# fixed values: words that make a url to be blocked one behind the other, by a mark between them
-FIRST_WORDS, SECOND_WORDS = ["best", "buy", "cheap", "free", "hot", "win"], ["bets", "casino", "credit", "diploma", "essays", "followers", "loans", "meds", "pills", "poker", "replica", "slots", "spins", "viagra", "watches"]
 # fixed values: words that a path to be blocked has as a whole part
 PATH_WORDS = ["adserver", "clicktrack", "popunder", "signin", "signup", "unsubscribe"]
+# fixed values: endings of domains under which hosts with many digits are blocked
+DIGIT_ENDINGS = ["xyz", "top", "click", "icu", "buzz", "loan", "win"]
 # every rule is made of its words, so these are its tokens
 PATTERN_RULES += [(f"host-{w}", rf"://[^/?#]*\b{w}\b", (w,), "block") for w in HOST_WORDS]
-PATTERN_RULES += [(f"words-{a}-{b}", rf"\b{a}[-_+.]{b}\b", (a, b), "block") for a in FIRST_WORDS for b in SECOND_WORDS]
 PATTERN_RULES += [(f"path-{w}", rf"://[^/?#]*/([^?#]*/)?{w}([/?#.]|$)", (w,), "block") for w in PATH_WORDS]
+PATTERN_RULES += [(f"digits-{w}", rf"://[^/?#]*[0-9]{{4}}[^/?#]*\.{w}([:/?#]|$)", (w,), "block") for w in DIGIT_ENDINGS]
+# fixed values: addresses of machines, lists, copies, carts and sessions instead of texts
+PATTERN_RULES += [
+    ("ad-host", r"://(ads?|adserv(er|ice)?)[0-9]*\.[^/?#]+/[^?#]*\bbanner\b", ("banner",), "block"),
+    ("affiliate", r"[?&](aff(iliate)?_id|aff)=[^&#]*&([^#]*&)?subid=", ("subid",), "block"),
+    ("attachment", r"[?&]attachment_id=[0-9]+", ("attachment", "id"), "block"),
+    ("calendar", r"/calendar/[12][0-9]{3}[-/][01]?[0-9]([-/][0-3]?[0-9])?(/|$)", ("calendar",), "block"),
+    ("cart-add", r"[?&]add-to-cart=[0-9]+", ("add", "to", "cart"), "block"),
+    ("cart-step", r"/cart/(step|payment)\b", ("cart",), "block"),
+    ("checkout-step", r"/checkout/(step|payment)\b", ("checkout",), "block"),
+    ("cgi-script", r"/cgi-bin/[^?#]+\.(cgi|pl)\b", ("cgi", "bin"), "block"),
+    ("comment-feed", r"/comments/feed/?$", ("comments", "feed"), "block"),
+    ("comment-reply", r"[?&]replytocom=[0-9]+", ("replytocom",), "block"),
+    ("directory-sort", r"/\?c=[nmsd];o=[ad]$", ("c", "o"), "block"),
+    ("archive-copy", r"://web\.archive\.org/(web|save)/", ("archive",), "block"),
+    ("download-apk", r"/mirrors?/[^?#]+\.apk([?#]|$)", ("apk",), "block"),
+    ("download-exe", r"/mirrors?/[^?#]+\.exe([?#]|$)", ("exe",), "block"),
+    ("download-iso", r"/mirrors?/[^?#]+\.iso([?#]|$)", ("iso",), "block"),
+    ("empty-search", r"/search/?\?(q|query|s)=(&|#|$)", ("search",), "block"),
+    ("feed-rss", r"/feed/(rss2?|atom)/?$", ("feed",), "block"),
+    ("forum-member", r"/member(list)?\.php\?([^#]*&)?mode=viewprofile\b", ("php", "mode", "viewprofile"), "block"),
+    ("forum-post", r"/posting\.php\?([^#]*&)?mode=(reply|quote)\b", ("posting", "php", "mode"), "block"),
+    ("gallery-slide", r"/gallery/[^?#]+[?&]slide=[0-9]+", ("gallery", "slide"), "block"),
+    ("jsessionid", r";jsessionid=[0-9a-f]{16,}", ("jsessionid",), "block"),
+    ("mailto", r"\bmailto:[^/]+@", ("mailto",), "block"),
+    ("paged-tag", r"/tags?/[^/?#]+/page/[0-9]+", ("page",), "block"),
+    ("parked", r"://[^/?#]*\bparkingcrew\b", ("parkingcrew",), "block"),
+    ("phpsessid", r"[?&]phpsessid=[0-9a-z]{10,}", ("phpsessid",), "block"),
+    ("pixel", r"/pixel\.(gif|png)([?#]|$)", ("pixel",), "block"),
+    ("popup", r"/pop(up|under)\.html?\?([^#]*&)?zone=", ("zone",), "block"),
+    ("printable", r"[?&]printable=(1|yes)([&#]|$)", ("printable",), "block"),
+    ("redirect", r"/redirect(\.php)?\?(url|to|u)=https?(:|%3a)", ("redirect",), "block"),
+    ("sharer", r"/sharer(\.php)?\?([^#]*&)?(u|url)=https?(:|%3a)", ("sharer",), "block"),
+    ("wiki-diff", r"[?&]diff=(prev|next|[0-9]+)&oldid=[0-9]+", ("diff", "oldid"), "block"),
+    ("wiki-edit", r"[?&]action=(edit|history|raw)\b", ("action",), "block"),
+    ("wp-admin", r"/wp-(admin|login)(/|\.php)", ("wp",), "block"),
+    ("wp-json", r"/wp-json/(wp|oembed)/", ("wp", "json"), "block"),
+    ("xmlrpc", r"/xmlrpc\.php\b", ("xmlrpc", "php"), "block"),
+]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
