@@ -67,7 +67,8 @@ PATTERN_RULES += [
     ("gallery-slide", r"/gallery/[^?#]+[?&]slide=[0-9]+", ("gallery", "slide"), "block"),
     ("jsessionid", r";jsessionid=[0-9a-f]{16,}", ("jsessionid",), "block"),
     ("mailto", r"\bmailto:[^/]+@", ("mailto",), "block"),
-    ("paged-tag", r"/tags?/[^/?#]+/page/[0-9]+", ("page",), "block"),
+    ("paged-tag", r"/tag/[^/?#]+/page/[0-9]+", ("tag", "page"), "block"),
+    ("paged-tags", r"/tags/[^/?#]+/page/[0-9]+", ("tags", "page"), "block"),
     ("parked", r"://[^/?#]*\bparkingcrew\b", ("parkingcrew",), "block"),
     ("phpsessid", r"[?&]phpsessid=[0-9a-z]{10,}", ("phpsessid",), "block"),
     ("pixel", r"/pixel\.(gif|png)([?#]|$)", ("pixel",), "block"),

@@ -45,7 +45,7 @@ EXAMPLES = {
     "checkout-step": "://x.com/checkout/payment", "cgi-script": "://x.com/cgi-bin/a.pl", "comment-feed": "://x.com/a/comments/feed/", "comment-reply": "://x.com/a?replytocom=3", "directory-sort": "://x.com/?c=n;o=d",
     "archive-copy": "://web.archive.org/web/2020/x", "download-apk": "://x.com/mirror/a.apk", "download-exe": "://x.com/mirrors/b/a.exe?x", "download-iso": "://x.com/mirror/a.iso", "empty-search": "://x.com/search/?q=", "feed-rss": "://x.com/feed/rss2",
     "forum-member": "://x.com/memberlist.php?u=2&mode=viewprofile", "forum-post": "://x.com/posting.php?mode=reply", "gallery-slide": "://x.com/gallery/a?slide=4", "jsessionid": "://x.com/a;jsessionid=0123456789abcdef", "mailto": "://x/mailto:a@x.com",
-    "paged-tag": "://x.com/tag/a/page/3", "parked": "://a.parkingcrew.net", "phpsessid": "://x.com/?phpsessid=0123456789", "pixel": "://x.com/pixel.gif?x", "popup": "://x.com/pop.html?zone=3", "printable": "://x.com/a?printable=yes",
+    "paged-tag": "://x.com/tag/a/page/3", "paged-tags": "://x.com/tags/a/page/3", "parked": "://a.parkingcrew.net", "phpsessid": "://x.com/?phpsessid=0123456789", "pixel": "://x.com/pixel.gif?x", "popup": "://x.com/popup.html?zone=3", "printable": "://x.com/a?printable=yes",
     "redirect": "://x.com/redirect?url=https://y", "sharer": "://x.com/sharer.php?u=http%3a", "wiki-diff": "://x.com/w?diff=prev&oldid=3", "wiki-edit": "://x.com/w?title=a&action=edit", "wp-admin": "://x.com/wp-login.php", "wp-json": "://x.com/wp-json/oembed/", "xmlrpc": "://x.com/xmlrpc.php",
     "digits-xyz": "://a12345b.xyz/", "digits-win": "://a.1234.win", "adult-site": "://my-adult.x", "porn-site": "://porn.x", "free-bets": "://free-bets.x", "casino": "://a.casino", "cheap-pills": "://x/cheap-meds", "warez": "://x/warez", "torrent-file": "://x/a.torrent", "tracker-path": "://x/ads/click", "login-page": "://x/login",
 }
