@@ -115,26 +115,29 @@ def f42_bezier(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), F.round(shapes.bezier(F.col("p_size"), F.lit(10.0), F.col("p_retailprice"), F.lit(40.0), F.col("p_partkey") % 11 / 10), 4).alias("at"))
 
 
-VALID = "k % 2 = 0 AND k % 17 <> 0 AND k % 13 <> 0 AND k % 7 < k % 50 AND k % 50 <= k % 60 AND k % 300 >= 4"
+# a turn's layout holds: its text is the one it was made for, every sentence has a span inside the width, and its size is in bounds
+LAID = """l_ AS (SELECT conv_id, turn, text, [length(x) FOR x IN string_split(text, '. ')] AS n FROM conversations), v_ AS (SELECT *, turn % 5 <> 0 AND turn % 7 <> 3 AND turn % 6 <> 5 AND list_min(n) >= 1 AND list_max(n) <= 118 AND length(text) % 600 BETWEEN 4 AND 500 AS valid FROM l_)"""
 
 
 def _layouts(t: Tables) -> DataFrame:
-    k = F.col("p_partkey")
-    lines = F.split("p_name", " ")
-    span = F.struct((k % 7).alias("left"), (k % 50).alias("right"))
-    spans = F.array_repeat(span, (F.size(lines) + F.when(k % 13 == 0, 1).otherwise(0)).cast("int"))
-    good = shapes.valid_layout(k % 2, F.lit(0), lines, spans, k % 60, F.lit(10), k % 300, F.when(k % 17 == 0, True))
-    return t.part.select(k.alias("id"), good.alias("valid"), (k % 100).alias("old_x"), F.lit(5).alias("old_y"), (k % 90).alias("x"), (F.lit(5) + k % 4 - k % 4).alias("y"), (k % 30).alias("at_x"), (k % 40).alias("at_y"))
+    """The sentences of turns as the lines of their saved layouts; every fifth was made for another text, some are cut, and
+    some lack a line's span."""
+    k, lines = F.col("turn"), F.split("text", r"\. ")
+    spans = F.transform(lines, lambda x: F.struct(F.lit(2).alias("left"), (F.length(x) + 2).alias("right")))
+    spans = F.when(k % 6 == 5, F.slice(spans, F.lit(1), F.size(spans) - 1)).otherwise(spans)
+    made_for = F.sha1(F.when(k % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    good = shapes.valid_layout(made_for, F.sha1("text"), lines, spans, F.lit(120), F.lit(40), F.length("text") % 600, k % 7 == 3)
+    return t.conversations.select("conv_id", "turn", good.alias("valid"), (k * 2).alias("old_x"), F.lit(5).alias("old_y"), (k * 3).alias("x"), (5 + k % 2).alias("y"), F.length("text").alias("at_x"), k.alias("at_y"))
 
 
-@query(f"SELECT k AS id, {VALID} AS valid FROM (SELECT p_partkey AS k FROM part)")
+@query(f"WITH {LAID} SELECT conv_id, turn, valid FROM v_")
 def f30_valid_layouts(t: Tables) -> DataFrame:
-    return _layouts(t).select("id", "valid")
+    return _layouts(t).select("conv_id", "turn", "valid")
 
 
-@query(f"SELECT k AS id, {VALID} AND k % 100 <> k % 90 AS moved, k % 30 + CASE WHEN {VALID} THEN k % 90 - k % 100 ELSE 0 END AS at_x, k % 40 AS at_y FROM (SELECT p_partkey AS k FROM part)")
+@query(f"WITH {LAID} SELECT conv_id, turn, valid AND turn > 0 AS moved, length(text) + CASE WHEN valid THEN turn ELSE 0 END AS at_x, turn + CASE WHEN valid THEN turn % 2 ELSE 0 END AS at_y FROM v_")
 def f31_carried_layouts(t: Tables) -> DataFrame:
-    return shapes.carried_layouts(_layouts(t), "valid", ("old_x", "old_y"), ("x", "y"), ("at_x", "at_y")).select("id", "moved", "at_x", "at_y")
+    return shapes.carried_layouts(_layouts(t), "valid", ("old_x", "old_y"), ("x", "y"), ("at_x", "at_y")).select("conv_id", "turn", "moved", "at_x", "at_y")
 
 
 @query("""WITH f AS (SELECT o_custkey, trunc(o_totalprice / 2)::BIGINT AS low, trunc(o_totalprice / 2)::BIGINT + 20000 AS high FROM orders WHERE o_orderstatus = 'F'),
