@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import functools
 import heapq
+import operator
 import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, count, repeat
+from itertools import chain, compress, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ ITEMS, SLICE, RUN_BYTES = 1 << 19, 4096, 1 << 20
 SPACE = re.compile(rb"[\t-\r ]")
 # fixed value: how the tokenizer parts a text, for ASCII and the letters of Latin-1, A-Z lowered
 PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[!-/:-@\[-`{-~×÷]+")
+#: A part that stays one beside others.
+SINGLE = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~×÷]+")
 #: Texts that consist of white space and what PARTS knows.
 PLAIN = re.compile(r"[\t-\r -~À-ÿ]*")
 #: Rows of the table of ranks up to which it is broadcast (24 bytes each), instead of shuffling documents to meet it.
@@ -55,11 +58,21 @@ class Items:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        last = self.tokenizer.model.end_of_word_suffix or ""
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a part
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if last and t.endswith(last)]] = True
+        self.known: dict[str, int] = {}
+        self.starts, self.ids, self.hits = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        """Keep the parts that were looked up most often, half of the table at most and none that came once."""
+        least = max(2, int(np.partition(self.hits, -(ITEMS // 2))[-(ITEMS // 2)]) + 1) if len(self.hits) > ITEMS // 2 else 2
+        stay = np.flatnonzero(self.hits >= least)
+        names, sizes = list(self.known), np.diff(self.starts)[stay]  # a dict keeps its order, which is that of the numbers
+        self.known = dict(zip([names[i] for i in stay.tolist()], range(len(stay)), strict=True))
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.starts[stay] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.starts, self.hits = np.concatenate([[0], ends]), np.zeros(len(stay), np.int64)
 
     def parted(self, text: bytes) -> list[str]:
         """The text's parts. A-Z are lowered before, as the tokenizer does after composing, but for marks that compose with
@@ -104,9 +117,11 @@ class Items:
             fresh = dict.fromkeys([flat[i] for i in missing.tolist()])
             if self.known and len(self.known) + len(fresh) > ITEMS:
                 self.forget()
-                fresh, missing = dict.fromkeys(flat), np.arange(len(flat))
+                missing = np.arange(len(flat))
+                fresh = dict.fromkeys(x for x in flat if x not in self.known)
             self.learn(list(fresh))
             at[missing] = find([flat[i] for i in missing.tolist()], len(missing))
+        self.hits += np.bincount(at, minlength=len(self.hits))
         sizes = self.starts[at + 1] - self.starts[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         made.append(self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])])
@@ -114,14 +129,29 @@ class Items:
         np.add.at(counts, np.array(owners, np.int64), np.diff(ends[edges]))
 
     def learn(self, items: list[str]) -> None:
+        single = list(map(bool, map(SINGLE.fullmatch, items)))
         sizes, ids = [np.zeros(0, np.int64)], [self.ids]
-        for lo in range(0, len(items), SLICE):
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(items[lo : lo + SLICE], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
-            ids.append(np.fromiter(chain.from_iterable(made), np.int32, int(sizes[-1].sum())))
+        items = [*compress(items, single), *compress(items, map(operator.not_, single))]
+        n = sum(single)
+        for lo, hi in [*((i, min(i + SLICE, n)) for i in range(0, n, SLICE)), *((i, i + SLICE) for i in range(n, len(items), SLICE))]:
+            flat, counts = self.encoded(items[lo:hi], lo < n)
+            ids.append(flat)
+            sizes.append(counts)
         self.known.update(zip(items, range(len(self.known), len(self.known) + len(items)), strict=True))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
-        self.ids = np.concatenate(ids)
+        self.ids, self.hits = np.concatenate(ids), np.concatenate([self.hits, np.zeros(len(items), np.int64)])
+
+    def encoded(self, items: list[str], single: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The items' ids and their numbers: single parts as one text, each up to the id that ends it; if these are not as
+        many as the items, one by one."""
+        if single:
+            flat = np.array(self.tokenizer.encode(" ".join(items), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            if len(ends) == len(items) and ends[-1] == len(flat):
+                return flat, np.diff(ends, prepend=0)
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+        counts = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.int32, int(counts.sum())), counts
 
 
 @functools.cache
