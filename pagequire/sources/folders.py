@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,18 +42,52 @@ def image_size(head: bytes) -> tuple[int, int] | None:
     return None
 
 
+#: Bytes in which sizes are looked for first, and, in a JPEG with much before its size, then.
+HEAD, MORE = 1 << 16, 1 << 22
+#: Schemes that tasks open by themselves, to read heads only; of other stores Spark reads whole files.
+OWN = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+
+
+def _sizes_of_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    known: dict[str, FileSystem] = {}
+    for b in batches:
+        sizes = []
+        for path in b.column(0).to_pylist():
+            scheme = path.partition(":")[0]
+            if scheme == "file":
+                fs, at = known.setdefault(scheme, LocalFileSystem()), "/" + path[5:].lstrip("/")
+            else:
+                fs, at = FileSystem.from_uri(path)
+            with fs.open_input_file(at) as f:
+                head = f.read(HEAD)
+                size = image_size(head)
+                if size is None and head[:2] == b"\xff\xd8":
+                    size = image_size(head + f.read(MORE))
+            sizes.append(size or (None, None))
+        made = [pa.array([s[i] for s in sizes], pa.int32()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "width", "height"])
+
+
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The pages under a folder, each folder a chapter: chapter_id, ord (natural order of names), page_key, name, width,
-    height, size_label, modified, length."""
+    height, size_label, modified, length. Sizes are null where a file's head does not tell; empty
+    files are no pages. Of files only the heads are
+    read, where tasks can open the store themselves."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join([*ENDINGS, *map(str.upper, ENDINGS)]) + "}").load(folder)
+    if (folder.partition("://")[0] if "://" in folder else "file") in OWN:
+        listed = files.select("path", "length", "modificationTime")  # without their content, which is not read then
+        rows = listed.mapInArrow(_sizes_of_heads, "path string, length long, modificationTime timestamp, width int, height int")
+    else:
 
-    @F.pandas_udf("struct<width:int,height:int>")
-    def measured(heads: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([image_size(bytes(h)) or (None, None) for h in heads], columns=["width", "height"]).astype("Int32")
+        @F.pandas_udf("struct<width:int,height:int>")
+        def measured(heads: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([image_size(bytes(h)) or (None, None) for h in heads], columns=["width", "height"]).astype("Int32")
 
-    rows = files.select("path", "length", "modificationTime", measured(F.substring("content", 1, 65536)).alias("size"))
+        rows = files.select("path", "length", "modificationTime", measured(F.substring("content", 1, HEAD)).alias("size")).select("path", "length", "modificationTime", "size.*")
     name, chapter = F.element_at(F.split("path", "/"), -1), F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    rows = rows.select(chapter.alias("chapter_id"), F.col("path").alias("page_key"), name.alias("name"), "size.*", size_label(F.col("length")).alias("size_label"), F.col("modificationTime").alias("modified"), "length")
+    rows = rows.select(chapter.alias("chapter_id"), F.col("path").alias("page_key"), name.alias("name"), "width", "height", size_label(F.col("length")).alias("size_label"), F.col("modificationTime").alias("modified"), "length")
     return rows.withColumn("ord", (F.row_number().over(W.partitionBy("chapter_id").orderBy(natural_key(F.col("name")), "name")) - 1).cast("int"))
 
 

@@ -113,3 +113,16 @@ def test_slice_plan(spark):
     for r in slice_plan(rows, 1000).orderBy("number").collect():
         got.setdefault(r.chapter_id, []).append((r.top, r.bottom))
     assert got == {"a": [(0, 1000), (1000, 2000)], "b": [(0, 1000), (1000, 2240)], "c": [(0, 1000), (1000, 2000), (2000, 2250)], "d": [(0, 30)]}
+
+
+def test_heads_of_odd_files(spark, tmp_path):
+    """A JPEG whose size stands behind much else, names with spaces and signs, empty and broken files."""
+    segment = b"\xff\xe1\xff\xff" + b"\0" * 65533
+    (tmp_path / "deep er").mkdir()
+    (tmp_path / "deep er" / "a #1 %20é.jpg").write_bytes(b"\xff\xd8" + segment * 3 + b"\xff\xc0\x00\x11\x08\x00\x05\x00\x07" + b"\0" * 20)
+    (tmp_path / "empty.png").write_bytes(b"")
+    (tmp_path / "broken.jpg").write_bytes(b"\xff\xd8\xff")
+    rows = {r.name: (r.width, r.height, r.ord, r.length) for r in scan_pages(spark, str(tmp_path)).collect()}
+    assert rows == {"a #1 %20é.jpg": (7, 5, 0, 196642), "broken.jpg": (None, None, 0, 3)}
+    plan = scan_pages(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "content" not in plan[plan.index("Physical Plan") :]
