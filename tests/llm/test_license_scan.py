@@ -58,3 +58,29 @@ def test_every_template_accepts_its_own_wording(spark, table):
     plain = [re.sub(r"\[\[|\]\]|\{\{\d+\}\}", " ", m) for _, m in TEMPLATES]
     out = {r.doc_id: r.labels.split(",") for r in scan_licenses(table([(i, f"Start. {t.upper()}; end") for i, t in enumerate(plain)])).collect()}
     assert all(label in out[i] for i, (label, _) in enumerate(TEMPLATES))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scans_of_whole_texts_equal_plain_expressions(spark, table, seed):
+    """From left to right the longest run that the expression accepts, none over another; with base phrases between."""
+    r = random.Random(seed)
+    templates = [("t1", "ax [[bx cx]] dxx {{2}} ex"), ("t2", "ax bx"), ("t3", "cx [[{{1}} ax]] ax"), ("t4", "[[dxx]] ex ex")]
+    texts = ["".join(r.choice(["ax", "bx", "cx", "dxx", "ex", "mit", "license", "LICENSE"]) + r.choice([" ", "\n", ", "]) for _ in range(r.randrange(60))) for _ in range(60)]
+    out = {x.doc_id: x for x in scan_licenses(table(list(enumerate(texts))), templates=templates).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[a-z]+", text.lower())
+        want = []
+        for label, markup in templates:
+            pattern, at = expand(markup), 0
+            while at < len(words):
+                ends = [k for k in range(at + 1, len(words) + 1) if pattern.fullmatch("".join(w + " " for w in words[at:k]))]
+                if ends:
+                    want.append((label, at, max(ends)))
+                at = max(ends) if ends else at + 1
+        assert sorted((s.label, s.first, s["past"]) for s in out[i].spans) == sorted(want)
+        assert out[i].score == 1.0 if want else out[i].score < 1.0
+
+
+def test_repeated_rows_and_null_ids(spark, table):
+    rows = scan_licenses(table([(1, "mit license"), (1, "mit license"), (None, "mit license"), (2, "none")])).collect()
+    assert sorted((str(x.doc_id), x.labels) for x in rows) == [("1", "mit"), ("1", "mit"), ("2", ""), ("None", "mit")]

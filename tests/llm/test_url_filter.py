@@ -93,3 +93,9 @@ def test_url_without_a_scheme(spark):
 
     rows = spark.createDataFrame([(1, "foo/login"), (2, "foo.com/en"), (3, None)], "page_id long, url string")
     assert sorted(tuple(x) for x in filter_urls(rows).collect()) == [(1, "", "", None, "login-page", "block"), (2, "", "", None, None, "allow"), (3, "", "", None, None, "allow")]
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(1, "http://a.com/x", "h", "r"), (1, "http://a.com/x", "h", "r"), (None, "http://b.net/es/", "h", "r"), (2, None, "h", "r")]
+    out = filter_urls(spark.createDataFrame(rows, "page_id long, url string, Host string, rule string")).collect()
+    assert sorted((str(x.page_id), x.host, x.verdict) for x in out) == [("1", "a.com", "allow"), ("1", "a.com", "allow"), ("2", "", "allow"), ("None", "b.net", "block")]
