@@ -107,6 +107,12 @@ def search_rect(page_width: Column, page_height: Column) -> dict[str, Column]:
     return {"left": left, "top": top, "room_width": F.greatest(F.lit(1), right - left), "room_height": F.greatest(F.lit(1), bottom - top)}
 
 
+def edge_sides(page_width: Column, page_height: Column, room: dict[str, Column]) -> dict[str, Column]:
+    """Which sides of a box's room are edges of the page."""
+    left, top = room["left"], room["top"]
+    return {"at_left": left <= 0, "at_top": top <= 0, "at_right": left + room["room_width"] >= page_width, "at_bottom": top + room["room_height"] >= page_height}
+
+
 def padding(requested: Column, stroke: Column) -> Column:
     """The space kept to a balloon's outline: the requested one, or what its size and stroke ask for, up to a quarter."""
     short = F.greatest(F.lit(1), F.least("width", "height"))

@@ -138,6 +138,19 @@ def json_terms(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return listed.unionByName(pairs).filter(has_text(F.col("source")))
 
 
+def memory_pairs(context: Column, most: int = 12) -> Column:
+    """The first pairs (source, target) of a context, a line each with an arrow between them; lines without one, or with a
+    blank side, do not count. Null has none."""
+    parts = F.transform(F.split(F.coalesce(context, F.lit("")), "\r\n|\r|\n"), lambda line: F.split(line, "→", 2))
+    pairs = F.transform(F.filter(parts, lambda p: F.size(p) == 2), lambda p: F.struct(stripped(p[0]).alias("source"), stripped(p[1]).alias("target")))
+    return F.slice(F.filter(pairs, lambda p: (p["source"] != "") & (p["target"] != "")), 1, most)
+
+
+def first_terms(found: DataFrame, key: str, order: str, most: int = 100) -> DataFrame:
+    """The first terms of each batch: ranked before the shuffle's end, so that a batch keeps `most` rows a task."""
+    return found.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(order))).filter(F.col("__n") <= most).drop("__n")
+
+
 def prompt_terms(found: DataFrame, key: str, order: str) -> DataFrame:
     """One text for each batch: its terms as `source = target (note)`, in order."""
     note = F.when(has_text(F.col("note")), F.concat(F.lit(" ("), stripped(F.col("note")), F.lit(")"))).otherwise("")

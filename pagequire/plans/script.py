@@ -171,6 +171,30 @@ def f43_search_rects(t: Tables) -> DataFrame:
     return t.boxes().select("page_key", "idx", *[c.alias(n) for n, c in room.items()], choices.padding(F.lit(3), F.lit(2)).alias("padding"))
 
 
+@query(f"""WITH {BOXES}, s AS (SELECT *, greatest(96, 2 * width, 2 * height) AS a, greatest(96, 3 * height, width) AS d FROM boxes_)
+SELECT page_key, idx, x - a <= 0 AS at_left, y - d <= 0 AS at_top, x + width + a >= 800 AS at_right, y + height + d >= 2000 AS at_bottom FROM s""")
+def f43_edge_sides(t: Tables) -> DataFrame:
+    sides = choices.edge_sides(F.lit(800), F.lit(2000), choices.search_rect(F.lit(800), F.lit(2000)))
+    return t.boxes().select("page_key", "idx", *[c.alias(n) for n, c in sides.items()])
+
+
+@query("""WITH l AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS source, role AS target, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE turn % 3 <> 0 AND trim(text) <> '')
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) - 1 AS place, source, target FROM l QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n) <= 2""")
+def o9_memory(t: Tables) -> DataFrame:
+    """The first two pairs of each conversation's turns; every third turn has no arrow."""
+    clean = F.trim(F.regexp_replace("text", r"\s+", " "))
+    tie = F.when(F.col("turn") % 3 == 0, F.lit(" - ")).otherwise(F.lit(" → "))
+    context = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text", F.concat(clean, tie, "role").alias("line")))), lambda s: s["line"]), "\n")
+    pairs = t.conversations.groupBy("conv_id").agg(context.alias("c")).select("conv_id", F.posexplode(script.memory_pairs(F.col("c"), 2)).alias("place", "p"))
+    return pairs.select("conv_id", "place", "p.source", "p.target")
+
+
+@query("SELECT p_brand AS batch, p_partkey AS ord, p_name AS source FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 5")
+def o9_first_terms(t: Tables) -> DataFrame:
+    found = t.part.select(F.col("p_brand").alias("batch"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("source"))
+    return script.first_terms(found, "batch", "ord", 5)
+
+
 @query("SELECT user_id, list_slice(list_distinct_ordered, 1, 20) AS saved FROM (SELECT user_id, [event_type] || [x FOR x IN ['view', 'click', 'a', 'b'] IF x <> event_type] AS list_distinct_ordered FROM (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id))")
 def o10_remembered(t: Tables) -> DataFrame:
     last = t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("name"))

@@ -133,3 +133,10 @@ def test_tags_fences_and_titles(apply):
 def test_terms_as_text(spark):
     rows = spark.createDataFrame([(1, "a", "b", "x", " n "), (2, "c", "d", "lugar", None)], "ord int, source string, target string, category string, note string")
     assert [r.t for r in rows.coalesce(1).orderBy("ord").select(terms.terms_as_text().alias("t")).collect()] == ["a\tb\tx\t n", "c\td\tlugar"]
+
+
+def test_memory_of_odd_contexts(apply):
+    from pagequire.operators import script
+
+    out = apply(script.memory_pairs, "a → b\r\n → c\nd →\nno arrow\n e→f → g \n", None, "", "\n".join(f"s{i} → t" for i in range(20)))
+    assert [[tuple(p) for p in x] for x in out[:3]] == [[("a", "b"), ("e", "f → g")], [], []] and len(out[3]) == 12
