@@ -13,7 +13,6 @@ import heapq
 import operator
 import os
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import chain, compress, count, repeat
 
@@ -27,7 +26,7 @@ from pyspark.sql import Window as W
 from .text import LOWER, byte_texts, kept, map_rows, scratch
 
 #: Items whose ids a worker remembers, how many are encoded at once, and bytes of text that are looked up at once.
-ITEMS, SLICE, RUN_BYTES = 1 << 19, 4096, 1 << 20
+ITEMS, SLICE, RUN_BYTES = 3 << 17, 4096, 1 << 20
 SPACE = re.compile(rb"[\t-\r ]")
 # fixed value: how the tokenizer parts a text, for ASCII and the letters of Latin-1, A-Z lowered
 PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[!-/:-@\[-`{-~×÷]+")
@@ -264,8 +263,15 @@ class Plan:
         return out
 
 
+def packed_ids(flat: np.ndarray, sizes: np.ndarray, kind: str) -> pa.Array:
+    """Ids of rows one after the other as the bytes of numbers of a kind."""
+    width = np.dtype(kind).itemsize
+    offsets = np.concatenate([[0], np.cumsum(sizes) * width]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype(kind).tobytes())])
+
+
 def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, room: int) -> DataFrame:
-    """Rows with id, ids (of the text, then end_id), n (how many), last (what is left of n beyond full sequences), part (the task that
+    """Rows with id, ids (of the text, then end_id, as bytes of two or four to an id), n (how many), last (what is left of n beyond full sequences), part (the task that
     made the row), nth (rows of the part with the same `last` before it) and full (full sequences of the part before it)."""
     state: list = []  # one for each task
 
@@ -281,11 +287,10 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
             full.append(state[1])
             state[0][last] += 1
             state[1] += whole
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
-        return {"id": batch.column(0), "ids": lists, "n": sizes, "last": pa.array(sizes % room, pa.int32()), "part": [part] * len(nth), "nth": nth, "full": full}
+        return {"id": batch.column(0), "ids": packed_ids(flat, sizes, "<u2" if len(items_of(tokenizer).ends) <= 1 << 16 and end_id < 1 << 16 else "<u4"), "n": sizes, "last": pa.array(sizes % room, pa.int32()), "part": [part] * len(nth), "nth": nth, "full": full}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text_col), work, f"id {kind}, ids array<int>, n long, last int, part int, nth long, full long")
+    return map_rows(docs.select(id_col, text_col), work, f"id {kind}, ids binary, n long, last int, part int, nth long, full long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, cut: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +300,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, cut
     empty, so every document has ids. It is cut into full sequences and one rest; rests are packed by their lengths. With
     `cut`, the packs that would be padded and are emptiest are given up, and their rests, cut where needed, fill the others;
     what then remains makes full sequences and ones of a power of two, so that none has to be padded. Without it rests stay
-    whole. Returns a row for each piece: the id, start (its document's ids before it), length, ids, doc_tokens (all ids of
+    whole. Returns a row for each piece: the id, start (its document's ids before it), length, ids (little-endian unsigned 32-bit numbers), doc_tokens (all ids of
     the document), sequence_id (from 0, without holes) and offset (in the sequence, without gaps).
 
     Each row is packed by itself: repeated rows and null ids too. Other columns are not read; an empty table gives no rows.
@@ -303,7 +308,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, cut
     length in the parts before, at most `room` + 1 counts a part, so documents are not shuffled while these are few enough to
     be broadcast. The histogram and its packing patterns, bounded by `room`, reach the driver and the tasks.
     """
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     with scratch(docs.sparkSession) as spare:
         rows = spare(encoded(docs, id_col, text_col, tokenizer, end_id, room))
         counts = rows.filter("last > 0").groupBy("part", "last").agg(F.count("*").alias("n"))
@@ -321,8 +326,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, cut
 
     def lay(batch: pa.RecordBatch) -> dict:
         n, rank, full = (batch.column(i).to_numpy() for i in (2, 3, 4))
-        flat = batch.column(1).flatten()
-        first = np.concatenate([[0], np.cumsum(n)])
+        raw = b"".join(batch.column(1).to_pylist())
+        flat = np.frombuffer(raw, f"<u{len(raw) // int(n.sum())}")
         rest = n % room
         some = np.flatnonzero(rest)
         tails = dict(zip(some.tolist(), plan.lay(rest[some], rank[some]), strict=True)) if len(some) else {}
@@ -335,22 +340,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, cut
             pieces += mine
         start, length, seq, at = np.array(pieces, np.int64).reshape(-1, 4).T
         # the pieces of a row follow each other, so their ids are the batch's
-        ends = np.concatenate([[0], np.cumsum(length)])
-        return {id_col: batch.column(0).take(pa.array(owner)), "start": start, "length": length, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "doc_tokens": (first[1:] - first[:-1])[np.array(owner, np.int64)], "sequence_id": seq, "offset": at}
+        return {id_col: batch.column(0).take(pa.array(owner)), "start": start, "length": length, "ids": packed_ids(flat, length, "<u4"), "doc_tokens": n[np.array(owner, np.int64)], "sequence_id": seq, "offset": at}
 
     return map_rows(placed, lay, schema)
-
-
-def with_crc(rows: DataFrame, ids_col: str, crc_col: str) -> DataFrame:
-    """The rows with the ids' unsigned crc32, as little-endian unsigned 32-bit numbers, in place of the ids. Null ids give
-    null."""
-    names = [c for c in rows.columns if c not in (ids_col, crc_col)]
-
-    def work(batch: pa.RecordBatch) -> dict:
-        cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-        raw = memoryview(cols[ids_col].flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes())
-        ends = np.concatenate([[0], np.cumsum(cols[ids_col].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
-        known = cols[ids_col].is_valid().to_pylist()
-        return {c: cols[c] for c in names} | {crc_col: [zlib.crc32(raw[4 * a : 4 * b]) if ok else None for a, b, ok in zip(ends, ends[1:], known, strict=False)]}
-
-    return map_rows(rows.select(*names, ids_col), work, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + f", `{crc_col}` long")

@@ -119,9 +119,9 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2,048 ids, with the crc of each piece's ids."""
-    from .packing import pack, with_crc
+    from .packing import pack
 
-    return with_crc(pack(table(spark, sf_dir, "documents"), TOKENIZER), "ids", "ids_crc32")
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
