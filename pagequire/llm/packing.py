@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from .text import LOWER, byte_texts, kept, map_rows, scratch
 
 #: Items whose ids a worker remembers, how many are encoded at once, and bytes of text that are looked up at once.
-ITEMS, SLICE, RUN_BYTES = 3 << 17, 4096, 1 << 20
+ITEMS, SLICE, RUN_BYTES = 1 << 20, 4096, 1 << 20
 SPACE = re.compile(rb"[\t-\r ]")
 # fixed value: how the tokenizer parts a text, for ASCII and the letters of Latin-1, A-Z lowered
 PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[!-/:-@\[-`{-~×÷]+")
