@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold
+from ..functions.text import casefold, lowered, simple_lower
 from ..functions.values import flag, has_text
 
 
@@ -102,31 +102,33 @@ def term_changes(stored: DataFrame, imported: DataFrame, key: str) -> DataFrame:
 SHARD_TERMS, SHARD_CHARS = 1 << 17, 1 << 23
 
 
-def relevant_terms(terms: DataFrame, texts: DataFrame, batch: str, text: str, shard_terms: int = SHARD_TERMS) -> DataFrame:
-    """The terms whose source stands anywhere in a text of a batch, in any case: batch with the terms' columns.
+def relevant_terms(terms: DataFrame, texts: DataFrame, batch: str, text: str, shard_terms: int = SHARD_TERMS, folded: bool = True) -> DataFrame:
+    """The terms whose source stands anywhere in a text of a batch, in any case: batch with the terms' columns. Cases are
+    folded (ß is ss) or, without `folded`, lowered character by character as by SQL's lower().
 
     Blank sources and null texts match nothing; repeated terms are each returned. The different sources are dealt into
     shards of a bounded size; a task makes an automaton of a shard and reads each text once, whatever its length, so that
     texts are not shuffled. A batch sends on each term it holds once for each of its texts."""
-    keyed = terms.filter(has_text(F.col("source"))).withColumn("__key", casefold(F.col("source")))
+    keyed = terms.filter(has_text(F.col("source"))).withColumn("__key", (casefold if folded else lowered)(F.col("source")))
     size = keyed.select("__key").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("__key")), F.lit(0)).alias("chars")).first()
     shards = max(1, -(-size.n // shard_terms), -(-size.chars // SHARD_CHARS))
     keyed = keyed.withColumn("__shard", F.pmod(F.xxhash64("__key"), F.lit(shards)))
     kind, found = texts.schema[batch].dataType.simpleString(), None
     for shard in range(shards):
         keys = [r[0] for r in keyed.filter(F.col("__shard") == shard).select("__key").distinct().collect()]  # a shard
-        part = texts.select(F.col(batch).alias("batch"), text).mapInArrow(_finder(texts.sparkSession.sparkContext.broadcast(keys)), f"batch {kind}, key string")
+        part = texts.select(F.col(batch).alias("batch"), text).mapInArrow(_finder(texts.sparkSession.sparkContext.broadcast(keys), folded), f"batch {kind}, key string")
         found = part if found is None else found.unionByName(part)
     found = found.distinct().select(F.col("batch").alias(batch), F.col("key").alias("__key"))
     return found.join(keyed, "__key").select(batch, *terms.columns)
 
 
-def _finder(keys: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finder(keys: Broadcast, folded: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For batches of (batch, text): each batch with the keys that its text holds."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        fold = str.casefold if folded else simple_lower
         automaton = ahocorasick.Automaton()
         for k in keys.value:
             automaton.add_word(k, k)
@@ -134,7 +136,7 @@ def _finder(keys: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         for rows in batches if keys.value else ():
             owner, held = [], []
             for i, t in enumerate(rows.column(1)):
-                some = {k for _, k in automaton.iter((t.as_py() or "").casefold())}
+                some = {k for _, k in automaton.iter(fold(t.as_py() or ""))}
                 owner += [i] * len(some)
                 held += some
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(owner, pa.int64())), pa.array(held, pa.string())], names=["batch", "key"])

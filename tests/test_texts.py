@@ -68,6 +68,20 @@ def test_relevant_terms(spark):
     assert [(r.batch, r.id) for r in found.collect()] == [("b", 1)]
 
 
+def test_relevant_terms_as_sql_lowers(spark, tmp_path):
+    import duckdb
+
+    from pagequire.plans import lookups
+
+    spark.createDataFrame([(1, "Erßie entech x"), (2, "ΟΔΟΣ des"), (3, "İst da")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "an erssie entech"), (2, "AN ERßIE ENTECH"), (3, "οδος des"), (4, "οδοσ des"), (5, "ist da"), (6, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.item_id) for r in lookups.QUERIES["j12_relevant_terms"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted((d, i) for d, i, _ in con.execute(lookups.ORACLE_SQL["j12_relevant_terms"]).fetchall()) == [(2, 1), (4, 2), (5, 3)]
+
+
 def test_pasted_text(spark):
     texts = ["1. one\nmore\n2) two\n\n#3 three", "first\n\nsecond\nline", "a\nb", "intro\n1. x", "[1]\nown line\n[2] y"]
     rows = terms.numbered_entries(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").orderBy("id", "place").collect()
