@@ -224,7 +224,7 @@ def g12_lettered_rows(t: Tables) -> DataFrame:
     items = t.benchmark.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.lit(0).alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
     turns = t.conversations.select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
     both = items.withColumn("widths", rows(F.greatest(F.lit(1), size("text")), F.lit(30.0), F.lit(24.0))).unionByName(turns.withColumn("widths", rows(size("text") + 1, F.lit(28.0), F.lit(28.0))))
-    return both.select("kind", "id", "turn", lettering.wrapped(F.col("text"), F.col("widths")).alias("lines"))
+    return lettering.spread(both).select("kind", "id", "turn", lettering.wrapped(F.col("text"), F.col("widths")).alias("lines"))
 
 
 @query()
