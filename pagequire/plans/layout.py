@@ -239,7 +239,7 @@ def g13_effect_lines(t: Tables) -> DataFrame:
     """Part names, every third without its spaces, as sounds in boxes by their sizes."""
     k = F.col("p_partkey")
     name = F.when(k % 3 == 0, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.col("p_name"))
-    return t.part.select(k.alias("id"), lettering.effects(name, F.col("p_size") * 4 + 20, 220 - F.col("p_size") * 4, F.lit(14)).alias("lines"))
+    return lettering.spread(t.part.select("p_partkey", "p_name", "p_size")).select(k.alias("id"), lettering.effects(name, F.col("p_size") * 4 + 20, 220 - F.col("p_size") * 4, F.lit(14)).alias("lines"))
 
 
 @query()
