@@ -231,7 +231,7 @@ def g12_lettered_rows(t: Tables) -> DataFrame:
 def g13_balanced_rows(t: Tables) -> DataFrame:
     """Part names in three rows of unequal widths, by plain rules."""
     widths = F.array(F.lit(8.0), F.lit(10.0), F.lit(8.0))
-    return t.part.select(F.col("p_partkey").alias("id"), lettering.wrapped(F.col("p_name"), widths, lettering.Style(plain=True)).alias("lines"))
+    return lettering.spread(t.part.select("p_partkey", "p_name")).select(F.col("p_partkey").alias("id"), lettering.wrapped(F.col("p_name"), widths, lettering.Style(plain=True)).alias("lines"))
 
 
 @query()
