@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -70,22 +71,29 @@ def section_texts(lines: DataFrame, doc: str, order: str, line: str) -> DataFram
     return rows.groupBy(doc, "section").agg(stripped(F.array_join(F.transform(parts, lambda p: p["s"]), "\n")).alias("content"))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What `then` makes of a value that is reckoned once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def json_context(text: Column) -> Column:
     """title, context and style of a JSON object, by keys in any case and with or without accents: the first key that has
     a value; lists become rows with dashes. Null where the text is no object."""
-    entries = F.map_entries(F.from_json(text, "map<string,string>"))
-
-    def last(name: str) -> Column:
-        """The value of the last key that reads so; null if it is as good as none."""
-        value = F.try_element_at(F.filter(entries, lambda e: alike(e["key"], name)), F.lit(-1))["value"]
-        return F.when(~value.isin("", "[]", "{}", "0", "false", "null"), value)
-
-    def field(names: list[str]) -> Column:
-        value = F.coalesce(*[last(name) for name in names])
-        listed = F.array_join(F.transform(F.from_json(value, "array<string>"), lambda x: F.concat(F.lit("- "), F.coalesce(x, F.lit("None")))), "\n")
-        return F.coalesce(F.when(value.startswith("["), listed), stripped(value), F.lit(""))
-
-    return F.when(stripped(text).startswith("{") & entries.isNotNull(), F.struct(*[field(names).alias(name) for name, names in KEYS.items()]))
+    names = [name for some in KEYS.values() for name in some]
+    # each entry is told apart once: which of the names its key reads as, 0 for none, and whether its value is as good as none
+    number = lambda key: functools.reduce(lambda rest, i: F.when(alike(key, names[i]), i + 1).otherwise(rest), reversed(range(len(names))), F.lit(0))
+    read = lambda entries: F.transform(entries, lambda e: F.struct(number(e["key"]).alias("n"), F.when(~e["value"].isin("", "[]", "{}", "0", "false", "null"), e["value"]).alias("value")))
+
+    def field(known: Column, some: list[str]) -> Column:
+        """The first name whose last key has a value."""
+        last = lambda name: F.try_element_at(F.filter(known, lambda e: e["n"] == names.index(name) + 1), F.lit(-1))["value"]
+        value = F.coalesce(*[last(name) for name in some])
+        rows = lambda v: F.array_join(F.transform(F.from_json(v, "array<string>"), lambda x: F.concat(F.lit("- "), F.coalesce(x, F.lit("None")))), "\n")
+        return once(value, lambda v: F.coalesce(F.when(v.startswith("["), rows(v)), stripped(v), F.lit("")))
+
+    fields = lambda known: F.when(known.isNotNull(), F.struct(*[field(known, some).alias(name) for name, some in KEYS.items()]))
+    entries = F.when(stripped(text).startswith("{"), F.map_entries(F.from_json(text, "map<string,string>")))
+    return once(read(entries), fields)
 
 
 def merged_prompt(prompt: Column, fields: dict[str, Column], start: str, end: str) -> Column:

@@ -69,3 +69,16 @@ def test_odd_values(spark):
     one = [r[0] for r in urls.select(shapes.endpoint(F.col("u"), ".x.org", "/v1", "/v1/chat")).collect()]
     assert one == ["https://a.x.org:443/v1/chat", *[None] * 7]
     assert SimpleNamespace(**spark.range(1).select(shapes.relative_path(F.lit("/a/b"), F.lit("/a")).alias("p"), shapes.relative_path(F.lit("/ab"), F.lit("/a")).alias("q"), shapes.relative_path(F.lit("/ab"), F.lit(None).cast("string")).alias("r")).first().asDict()) == SimpleNamespace(p="b", q=None, r=None)
+
+
+def test_json_is_read_once(spark):
+    """However many fields and names are asked for, a text is parsed once, and each value once more for its rows."""
+    from pyspark.sql import functions as F
+
+    from pagequire.operators import imports
+
+    rows = spark.createDataFrame([('{"TITULO":"","obra":"x","Título":"y"}',), ('{"ＯＢＲＡ":"w","obr\u0301a":"v"}',), ('{"title":[],"titulo":["a",null]}',), ('{"rules":"[1,","estilo":0}',), ("[1]",), (None,)], "t string").coalesce(1)
+    made = rows.select(imports.json_context(F.col("t")).alias("c"))
+    assert [r.c and tuple(r.c) for r in made.collect()] == [("x", "", ""), ("v", "", ""), ("- a\n- None", "", ""), ("", "", "[1,"), None, None]
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") <= 4
