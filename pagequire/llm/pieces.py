@@ -112,7 +112,7 @@ class Pieces:
 
     @staticmethod
     def sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        up, down = powers(1 << max(20, len(codes).bit_length()))
+        up, down = powers(1 << max(18, len(codes).bit_length()))
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])]), down
 
     def of(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:

@@ -59,7 +59,7 @@ def runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, last = np.flatnonzero(ends <= m), np.flatnonzero(starts >= 0)
     both = np.unique(np.concatenate([first * (m + 1) + ends[first], starts[last] * (m + 1) + last + 1]))
     lo, hi = both // (m + 1), both % (m + 1)
-    up, down = powers(1 << max(20, (len(words) - 1).bit_length()))
+    up, down = powers(1 << max(18, (len(words) - 1).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words[:, 0] * up[: len(words)], dtype=np.uint64)])
     rolled = (sums[at[hi]] - sums[at[lo]]) * down[at[lo]] + (at[hi] - at[lo]).astype(np.uint64)
     return mix64(rolled).astype(np.int64), lo * SPAN + hi - lo

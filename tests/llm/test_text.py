@@ -49,3 +49,14 @@ def test_kept_writes_a_table(spark, tmp_path, monkeypatch):
 
 def test_shared_folder_without_a_setting(spark):
     assert text.shared_folder(spark) == text.shared_folder(spark)
+
+
+def test_long_batches_are_hashed_in_small_parts(monkeypatch):
+    """Whatever the batch, a worker keeps few powers, and larger parts give the same hashes."""
+    monkeypatch.setattr(text, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    texts = pa.array(["word " * 500_000 + "end", "x" * 5000, None, "a b c"])
+    got, counts = text.word_hashes(texts)
+    sets = text.shingle_sets(texts, 5)
+    assert len(text._powers[0]) <= 1 << 18 and counts.tolist() == [500_001, 1, 0, 3]
+    monkeypatch.setattr(text, "CHUNK_BYTES", 1 << 20)
+    assert (text.word_hashes(texts)[0] == got).all() and all((a == b).all() for a, b in zip(text.shingle_sets(texts, 5), sets, strict=True))
