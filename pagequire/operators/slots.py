@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import settled
 from ..functions.values import floor_div
 from .boxes import free_rows
+from .lettering import spread
 from .shapes import clear_of
 from .strips import offsets
 
@@ -42,11 +43,14 @@ class Layout:
         return {"alternating": list(other), "adaptive": list(dict.fromkeys([self.side, "left", "right", "center"]))}.get(self.distribution, [self.side])
 
 
-def chapter_pitch(placed: DataFrame, marked: DataFrame, layout: Layout) -> DataFrame:
+FITS = "mark_width is not null and mark_height is not null and mark_height <= height and mark_width <= width"
+
+
+def chapter_pitch(pages: DataFrame, layout: Layout) -> DataFrame:
     """For each chapter with marked pages: total, step (mark and gap), margin, count, pitch, first and drift."""
-    total = placed.groupBy("chapter_id").agg(F.sum("height").alias("total"))
-    most = marked.groupBy("chapter_id").agg(F.max("mark_height").alias("most"), F.max("width").alias("wide"))
-    rows = total.join(most, "chapter_id").withColumn("step", F.col("most") + layout.gap)
+    if_marked = lambda c: F.max(F.when(F.expr(FITS), F.col(c)))
+    rows = pages.groupBy("chapter_id").agg(F.sum("height").alias("total"), if_marked("mark_height").alias("most"), if_marked("width").alias("wide"))
+    rows = rows.filter("most is not null").withColumn("step", F.col("most") + layout.gap)
     rows = rows.withColumn("margin", F.least(F.lit(layout.margin_y), F.greatest(F.lit(0), F.expr("(total - most) div 2"))))
     rows = rows.withColumn("usable", F.greatest(F.lit(0), F.col("total") - 2 * F.col("margin") - F.col("most")))
     if layout.count is None:
@@ -73,8 +77,16 @@ def open_ranges(marked: DataFrame, pitch: DataFrame, boxes: DataFrame, layout: L
     rows = marked.join(pitch.select("chapter_id", "total", "margin"), "chapter_id").withColumn("side", F.explode(F.array(*[F.lit(s) for s in layout.sides()])))
     low, high = F.greatest(F.lit(0), F.col("margin") - F.col("y")), F.least(F.col("height") - F.col("mark_height"), F.col("total") - F.col("margin") - F.col("mark_height") - F.col("y"))
     rows = rows.select("chapter_id", "page_key", "side", F.concat_ws("|", "page_key", "side").alias("slot_id"), side_x(F.col("side"), layout).alias("x"), low.alias("low"), high.alias("high"), "mark_width", "mark_height", F.col("y").alias("above")).filter("low <= high")
-    free = free_rows(rows, boxes)
-    return free.join(rows.select("slot_id", "chapter_id", "side", "x", "above"), "slot_id").select("chapter_id", "side", "page_key", "x", "above", (F.col("start") + F.col("above")).alias("low"), (F.col("end") + F.col("above")).alias("high"))
+    free = free_rows(rows, boxes, keep=("chapter_id", "side", "x", "above"))
+    return free.select("chapter_id", "side", "page_key", "x", "above", (F.col("start") + F.col("above")).alias("low"), (F.col("end") + F.col("above")).alias("high"))
+
+
+def pitched(pitch: DataFrame, span: int = 512) -> DataFrame:
+    """The rows of chapters, once for each mark i: a chapter is one row and its marks may be millions, so runs of `span` marks
+    are dealt over the tasks of a shuffle first."""
+    last = F.col("count") - 1
+    runs = spread(pitch.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(span).cast("long"))).alias("__run")))
+    return runs.select("*", F.explode(F.sequence(F.col("__run"), F.least(F.col("__run") + (span - 1), last))).alias("i")).drop("__run")
 
 
 def choices(pitch: DataFrame, ranges: DataFrame, layout: Layout, cell: int) -> DataFrame:
@@ -82,17 +94,17 @@ def choices(pitch: DataFrame, ranges: DataFrame, layout: Layout, cell: int) -> D
     before its ideal one, and the open ranges from there on. Of these only the first is kept where the mark before cannot
     reach beyond the ideal place; else the band there is shorter than a step, so there are few."""
     sides = layout.sides()
-    marks = pitch.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
-    marks = marks.withColumn("ideal", F.col("first") + F.col("i") * F.col("pitch") + F.greatest(-F.col("drift"), F.least(F.lit(float(layout.offset_y)), F.col("drift"))))
+    marks = pitched(pitch).withColumn("ideal", F.col("first") + F.col("i") * F.col("pitch") + F.greatest(-F.col("drift"), F.least(F.lit(float(layout.offset_y)), F.col("drift"))))
     around = lambda c: F.bround(c).cast("long")
     marks = marks.select("chapter_id", "i", "ideal", around(F.col("ideal")).alias("near"), around(F.col("ideal") - F.col("drift")).alias("from"), around(F.col("ideal") + F.col("drift")).alias("to"), "step", (3 * F.col("pitch") < 4 * F.col("step") + 8).alias("tight"))
     every = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(s).alias("side")) for k, s in enumerate(sides)])
     mine = every if layout.distribution == "adaptive" else F.array(F.element_at(every, (F.col("i") % len(sides) + 1).cast("int")))
     asked = marks.select("*", F.explode(mine).alias("m")).select("*", "m.turn", "m.side").drop("m")
     cells = lambda low, high: F.explode(F.sequence(floor_div(low, F.lit(cell)), floor_div(high, F.lit(cell))))
-    spread = asked.withColumn("__cell", cells(F.col("from"), F.col("to")))
+    wanted = asked.withColumn("__cell", cells(F.col("from"), F.col("to")))
     there = ranges.withColumn("__cell", cells(F.col("low"), F.col("high")))
-    met = spread.join(there, ["chapter_id", "side", "__cell"]).filter("low <= `to` and high >= `from`")
+    # Spark takes the marks to be as few as the chapters that they come from and would broadcast them all
+    met = wanted.hint("merge").join(there, ["chapter_id", "side", "__cell"]).filter("low <= `to` and high >= `from`")
     met = met.filter(F.col("__cell") == floor_div(F.greatest("low", "from"), F.lit(cell))).withColumns({"low": F.greatest("low", "from"), "high": F.least("high", "to")})
     place = F.struct("low", "high", "x", "page_key", "above")
     before, after = F.when(F.col("high") < F.col("near"), F.struct("high", place.alias("r"))), F.when(F.col("high") >= F.col("near"), place)
@@ -158,16 +170,16 @@ def chapter_slots(pages: DataFrame, boxes: DataFrame, layout: Layout = Layout(),
 
     Marks are pitched over the whole chapter, as many as have room; each may drift by a quarter of the pitch to keep clear of
     boxes, at least the gap below the one before, also over page edges. One that finds no place is left out and its place
-    given to no other. Pages without a mark or too small for it take up room only; those without size not even that.
+    given to no other. Pages without a mark or too small for it take up room only; those without size, chapter or order
+    not even that.
 
     `manual`: page_key, x, y of marks that stand by hand: their pages have no others, and others keep the gap to them; a
     page whose marks by hand leave the page or meet each other has its own ones instead. Chapters without a marked page have
     no places. Repeated page keys are not meant. A chapter is nowhere gathered: pages, boxes and marks meet by page or by
     cells of y, and marks are placed by ranges."""
-    valid = pages.filter("width > 0 and height > 0")
-    placed = offsets(valid, span=4096).drop("x")
-    marked = placed.filter("mark_width is not null and mark_height is not null and mark_height <= height and mark_width <= width")
-    pitch = chapter_pitch(placed, marked, layout)
+    valid = pages.filter("width > 0 and height > 0 and chapter_id is not null and ord is not null")
+    marked = offsets(valid, span=4096).drop("x").filter(FITS)
+    pitch = chapter_pitch(valid, layout)
     found = along(choices(pitch, open_ranges(marked, pitch, boxes, layout), layout, cell), span)
     own = found.select("chapter_id", "page_key", "x", (F.col("y") - F.col("above")).alias("y"), "i", F.col("y").alias("__at"))
     if manual is None:

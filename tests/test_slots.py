@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from pagequire.operators.slots import Layout, chapter_slots
+from pyspark.sql import functions as F
+
+from pagequire.operators.slots import Layout, chapter_slots, choices, pitched
 
 PAGES = "chapter_id string, ord long, page_key string, width long, height long, mark_width long, mark_height long"
 BOXES = "page_key string, idx long, x long, y long, width long, height long"
@@ -105,3 +107,31 @@ def test_nothing_to_place(spark):
     empty = spark.createDataFrame([], BOXES)
     assert run(spark, [("c", 0, "p", 10, 10, 40, 40), ("d", 0, "q", 100, 100, None, None)], [], Layout()) == set()
     assert chapter_slots(spark.createDataFrame([], PAGES), empty).count() == 0
+
+
+def long_chapter(spark, count):
+    return spark.createDataFrame([("c", count, 100, 100.0, 0.0, 25.0)], "chapter_id string, count long, step long, pitch double, first double, drift double")
+
+
+def test_marks_of_one_chapter_meet_open_places_by_a_shuffle(spark):
+    """A few chapters have millions of marks: these are neither broadcast nor made in one task."""
+    ranges = spark.range(50).selectExpr("'c' AS chapter_id", "'right' AS side", "id AS page_key", "0L AS x", "id * 400 AS above", "id * 400 + 20 AS low", "id * 400 + 399 AS high")
+    found = choices(long_chapter(spark, 200), ranges, Layout(), 256)
+    assert len(found.collect()) == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_marks_of_one_chapter_are_made_in_several_tasks(spark):
+    marks = pitched(long_chapter(spark, 4000), span=64)
+    tasks = marks.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sorted(r.i for r in marks.select("i").collect()) == list(range(4000))
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 2500
+    assert [r.i for r in pitched(long_chapter(spark, 1), span=64).collect()] == [0]
+
+
+def test_pages_without_a_place_in_the_chapter_take_no_room(spark):
+    """A page without a chapter or order counts neither for the pitch nor for places."""
+    pages, layout = [("c", i, f"p{i}", 300, 900, 60, 40) for i in range(4)], Layout(gap=50, interval=250)
+    odd = [("c", None, "n", 300, 5000, 60, 400), (None, 7, "m", 300, 900, 60, 40), ("d", 0, "q", 300, 900, None, None)]
+    assert run(spark, pages + odd, [], layout) == plain(pages, [], layout)
